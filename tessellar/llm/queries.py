@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from tessellar.llm.op1_best_fit_packing import op1_best_fit_packing
 from tessellar.llm.op2_byte_bpe import op2_byte_bpe
+from tessellar.llm.op3_license_scan import op3_license_scan
+from tessellar.llm.op4_language_id import op4_language_id
 from tessellar.llm.op7_token_counts import op7_token_counts
+from tessellar.llm.op8_telephony_audio import op8_telephony_audio
+from tessellar.llm.op10_html_text import op10_html_text
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_license_scan, op4_language_id, op7_token_counts, op8_telephony_audio, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
