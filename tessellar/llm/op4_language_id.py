@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellar.llm.common import slices, table, texts_of
 
@@ -110,8 +111,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred and score (the posterior with evidence tempered by the root of its length)."""
+def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (id_col if None), lang_pred and score (the posterior with evidence tempered
+    by the root of its length)."""
+    carry = [id_col] if carry is None else carry
     spark = docs.sparkSession
     langs, matrix = model
     shared = spark.sparkContext.broadcast(matrix)  # languages x BUCKETS floats, whatever the corpus
@@ -119,8 +122,9 @@ def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: st
     def run(batches):
         logs = shared.value
         for batch in batches:
-            for part in slices(batch, 1):
-                found, n_kept, n_letters = grams(texts_of(part, 1))
+            last = batch.num_columns - 1
+            for part in slices(batch, last):
+                found, n_kept, n_letters = grams(texts_of(part, last))
                 starts = np.cumsum(n_kept) - n_kept
                 known = (n_letters > 0) & bool(langs)
                 pred, score = np.full(len(n_kept), UNKNOWN, object), np.zeros(len(n_kept))
@@ -130,11 +134,11 @@ def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: st
                     odds = np.exp((total - total.max(axis=0)) / np.sqrt(n_kept))
                     pred[known] = np.array(langs, object)[best[known]]
                     score[known] = (odds.max(axis=0) / odds.sum(axis=0))[known]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(pred, pa.string()), pa.array(score)], schema.names)
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(carry)), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(carry)})
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
