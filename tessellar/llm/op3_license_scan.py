@@ -1,7 +1,8 @@
 """License scans: base phrases by position and license notices by an exact set-similarity join.
 
-A text block (paragraph between blank lines) matches a notice template when it contains at least
-`threshold` of the template's distinct words. The words of all templates are put in one global
+A text block matches a template when it contains at least `threshold` of the template's distinct
+words. Blocks are the paragraphs between blank lines for whole notices, and the lines for one-line
+statements. The words of all templates are put in one global
 order, rarest first, by their document frequency over the whole corpus, counted in a first pass.
 Then, for a template of n words of which r = ceil(threshold * n) are needed:
 
@@ -44,6 +45,15 @@ NOTICES = {
     "warranty-disclaimer": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
 }
 
+#: Public one-line license statements; label -> text.
+LINES = {
+    "apache-line": "Licensed under the Apache License, Version 2.0",
+    "cc-by-nc-line": "Licensed under CC BY-NC 4.0",
+    "gpl-line": "This work is licensed under the GNU General Public License, version 3",
+    "mit-line": "Released under the MIT License",
+    "reserved-line": "All rights reserved",
+}
+
 #: Bytes of words stay, A-Z in lower case; the rest become spaces. Non-ASCII characters are words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLANK_LINE = re.compile(rb"\n[ \t\r\f\v]*\n")
@@ -114,12 +124,13 @@ def word_frequencies(docs: DataFrame, text_col: str, vocabulary: set[bytes]) ->
     return {bytes(r.word): r.n for r in rows}  # at most one row for each template word
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, n_words, places (array of start, label) and blocks (array of label, block, containment)."""
-    templates = NOTICES if templates is None else templates
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, lines: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """id_col, n_words, places (array of start, label) and blocks (array of label, number of the block, containment)."""
+    templates, lines = NOTICES if templates is None else templates, LINES if lines is None else lines
     split = [(words_of(p.encode()), label) for p, label in (PHRASES if phrases is None else phrases).items()]
-    vocabulary = {w for t in templates.values() for w in words_of(t.encode())}
-    index = TemplateIndex(templates, word_frequencies(docs, text_col, vocabulary), threshold)
+    vocabulary = {w for t in [*templates.values(), *lines.values()] for w in words_of(t.encode())}
+    frequency = word_frequencies(docs, text_col, vocabulary)
+    indexes = [(TemplateIndex(templates, frequency, threshold), _BLANK_LINE.split), (TemplateIndex(lines, frequency, threshold), bytes.splitlines)]
 
     def run(batches):
         for batch in batches:
@@ -131,8 +142,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n_words.append(len(words))
                     places.append([{"start": at, "label": label} for at, label in base_places(words, split)])
                     found = []
-                    if not index.prefixes.keys().isdisjoint(words):
-                        for k, block in enumerate(_BLANK_LINE.split(raw)):
+                    for index, split_blocks in indexes:
+                        if index.prefixes.keys().isdisjoint(words):
+                            continue
+                        for k, block in enumerate(split_blocks(raw)):
                             found += [{"label": label, "block": k, "containment": c} for label, c in index.matches(set(words_of(block)))]
                     blocks.append(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(pa.struct({"start": pa.int64(), "label": pa.string()}))), pa.array(blocks, pa.list_(pa.struct({"label": pa.string(), "block": pa.int64(), "containment": pa.float64()})))], ["id", "n_words", "places", "blocks"])

@@ -28,6 +28,10 @@ def brute_licenses(text):
         need = set(re.findall(r"[a-z0-9]+", t.lower()))
         if any(len(need & set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b))) >= 0.8 * len(need) for b in re.split(r"\n[ \t\r\f\v]*\n", low)):
             labels.add(label)
+    for label, t in op3.LINES.items():
+        need = set(re.findall(r"[a-z0-9]+", t.lower()))
+        if any(len(need & set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b))) >= 0.8 * len(need) for b in re.split("\r\n|\n|\r", low)):
+            labels.add(label)
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({b for _, b in places})), ",".join(sorted(labels))
 
@@ -35,7 +39,7 @@ def brute_licenses(text):
 def test_licenses_against_brute_force(spark, sf_dir):
     notice = op3.NOTICES["mit-notice"]
     half = " ".join(notice.split()[: len(notice.split()) // 2])
-    rows = [(-1, None), (-2, ""), (-3, "MIT License. the MIT\nlicense; mit-license"), (-4, "xGeneral Public License GNU GENERAL public license"), (-5, f"Ünder\n\n{notice}\n\nother"), (-6, half), (-7, op3.NOTICES["gpl-notice"].upper()), (-7, "apache license Éapache license"), (-8, "mit" * 40_000), (-9, notice.replace("Permission is hereby granted", "Leave") + " x" * 3000)]
+    rows = [(-1, None), (-2, ""), (-3, "MIT License. the MIT\nlicense; mit-license"), (-4, "xGeneral Public License GNU GENERAL public license"), (-5, f"Ünder\n\n{notice}\n\nother"), (-6, half), (-7, op3.NOTICES["gpl-notice"].upper()), (-7, "apache license Éapache license"), (-8, "mit" * 40_000), (-10, "x\nLicensed under the Apache License, Version 2.0.\nAll rights\nreserved."), (-9, notice.replace("Permission is hereby granted", "Leave") + " x" * 3000)]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = op3.digest(op3.license_scan(frame(spark, rows + docs)))
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got.collect()), key=str) == sorted(((k, *brute_licenses(t)) for k, t in rows + docs), key=str)
