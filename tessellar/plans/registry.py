@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in ("retrieval",):
+    _module = import_module(f"tessellar.plans.{_part}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
