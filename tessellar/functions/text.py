@@ -81,7 +81,7 @@ def squeeze(text: Column) -> Column:
 
 def trim_lines(text: Column) -> Column:
     """Lines trimmed, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def clean_text(text: Column) -> Column:
