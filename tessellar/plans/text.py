@@ -198,3 +198,64 @@ def font_mapping_suspects(spark, sf_dir):
 def retry_pages(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("term")).agg(F.count("*").alias("total"))
     return t.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / 50)))
+
+
+LABELS = ["date", "place", "cause"]
+
+
+@query("labelled_values", "SELECT o_orderkey, o_orderdate::DATE AS day, 'site ' || (o_custkey % 9) AS place, nullif(o_orderpriority, '5-LOW') AS cause FROM orders")
+def labelled_values(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    cause = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority"))
+    text = F.concat(F.lit("report d a t e : "), F.date_format("o_orderdate", "yyyy.M.d"), F.lit("\nplace: site  "), F.col("o_custkey") % 9, F.lit(" cause : "), cause)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    t = F.col("t")
+    return rows.select("o_orderkey", D.accident_date(t, "date", LABELS).alias("day"), D.labelled_value(t, "place", LABELS).alias("place"), D.labelled_value(t, "cause", LABELS).alias("cause"))
+
+
+@query("title_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
+def title_dates(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    year = F.year("o_orderdate").cast("string")
+    title = F.concat(F.date_format("o_orderdate", "M"), F.lit("/"), F.date_format("o_orderdate", "d"), F.lit(" fall"))
+    text = F.concat(F.lit("in "), year, F.when(F.col("o_orderkey") % 3 == 0, ", before 1990").otherwise(", at work"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.title_date(title, text).alias("day"))
+
+
+@query("final_text", "SELECT doc_id, nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x NOT IN ('', '.')), chr(10)), '') AS text FROM documents")
+def final_text(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    return table(spark, sf_dir, "documents").select("doc_id", D.final_text(F.col("text")).alias("text"))
+
+
+@query("best_locations", "WITH c AS (SELECT l_partkey, l_suppkey % 6 AS location, (l_quantity)::INT AS score FROM lineitem), k AS (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY score DESC) AS k FROM c WHERE score >= 20) SELECT l_partkey, CASE WHEN count(DISTINCT location) = 1 THEN min(location) END AS location, CASE WHEN count(DISTINCT location) = 1 THEN 'ok' ELSE 'conflict' END AS status FROM k WHERE k = 1 GROUP BY l_partkey")
+def best_locations(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 6).alias("location"), F.col("l_quantity").cast("int").alias("score"))
+    return D.best_location(rows, "l_partkey")
+
+
+@query("document_profiles", f"WITH {CHUNKS}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, content_hash ORDER BY chunk_index) AS rn FROM chunks WHERE chunk_index < 12) WHERE rn = 1) SELECT document_id, count(*) AS n, left(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 18000) AS sample FROM h GROUP BY document_id")
+def document_profiles(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    return D.profile_sample(chunks(spark, sf_dir), ["tion"])
+
+
+@query("profile_routing", f"WITH {CHUNKS} SELECT chunk_id, round(CASE WHEN title = 'src3' THEN 4.0 + 0.2 ELSE 0 END + CASE WHEN title IN ('src3', 'src30') OR contains('whatissrc3here', title) THEN 0 ELSE 0 END + CASE WHEN contains(lower(title), 'src3') THEN 1.2 ELSE 0 END, 6) AS score FROM chunks")
+def profile_routing(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    s = D.profile_score("what is src3 here", F.array().cast("array<string>"), F.array("title"), F.col("title"), F.col("source_type"), F.col("source_type"), ["src3"])
+    return chunks(spark, sf_dir).select("chunk_id", F.round(s, 6).alias("score"))
+
+
+@query("broken_fonts", "SELECT doc_id, false AS broken FROM documents")
+def broken_fonts(spark, sf_dir):
+    from tessellar.operators import accidents as D
+
+    return table(spark, sf_dir, "documents").select("doc_id", D.broken_font_mapping(F.col("text")).alias("broken"))
