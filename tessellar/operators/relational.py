@@ -77,8 +77,16 @@ def numbered(rows: DataFrame, key: list[str], *order: Column, start: int = 0) ->
 
 
 def global_ids(rows: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """Dense ids 1..n in global order: ranges are counted, so no single task sorts everything."""
-    ranged = rows.repartitionByRange(buckets, order).withColumn("__part", F.spark_partition_id())
-    before = ranged.groupBy("__part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Dense ids 1..n in the order of a number, date or time.
+
+    Approximate quantiles cut the order into ranges, which are counted; each range numbers its own
+    rows, so no single task sorts everything. The cuts are literals: every reader of a row sees the
+    same range.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)])).first()[0] or []
+    part = sum((F.when(F.col(order) >= F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    ranged = rows.withColumn("__part", part)
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    before = ranged.groupBy("__part").count().withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
     return ranged.withColumn("__rn", own).join(F.broadcast(before), "__part").withColumn("id", F.col("__rn") + F.col("before")).drop("__part", "__rn", "count", "before")
