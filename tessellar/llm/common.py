@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Bytes and rows that the JVM hands a Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: each is held by the JVM and by the worker, several times over.
+
+    A lower setting of the session stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +81,24 @@ def slices(batch: pa.RecordBatch, column: int, budget: int = SLICE_BYTES) -> Ite
         at = to
 
 
+_owner: list = [None, None]
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Makes owner the one operator whose caches this worker process holds.
+
+    Workers outlive stages: without this each stage's caches would stay beside the next one's.
+    """
+    if _owner[0] == owner:
+        return
+    if _owner[0] is not None:
+        _owner[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _owner[:] = owner, drop
+
+
 def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import gather, slices, table, texts_of
+from tessellar.llm.common import claim, gather, slices, table, texts_of
 
 #: Entries of each of a worker's caches; a full one is emptied between slices.
 CACHE = 400_000
@@ -210,6 +210,7 @@ _loaded: dict = {}
 
 
 def loaded(path: str, pattern: str) -> ByteBpe:
+    claim("byte_bpe", _loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ByteBpe(path, pattern)
     return _loaded[path, pattern]

@@ -31,7 +31,7 @@ from tessellar.llm.shingles import Levels, set_hash, shingle_sets
 from tessellar.llm.signature_tree import linked
 
 #: Signatures that a task gathers before it emits each distinct one once.
-GATHERED = 1_000_000
+GATHERED = 400_000
 #: Shingles of one block of a cluster, about.
 BLOCK_SHINGLES = 1_000_000
 #: Documents whose shingles are counted to find frequent ones: so many and a share of all.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellar.llm.common import slices, table, texts_of, written
+from tessellar.llm.common import claim, slices, table, texts_of, written
 
 BUCKETS = 1 << 18
 #: About so many labelled documents are learned from.
@@ -42,7 +42,7 @@ LEAST_DOCUMENTS, LEAST_ERRORS = 4, 4.0
 BROADCAST_SITES = 200_000
 SALTS = 32
 #: Entries of a worker's cache of word buckets; a full one is emptied between slices.
-CACHE = 500_000
+CACHE = 250_000
 STRIPPED = ".,;:!?*$%&#|\"'()[]"
 _UPPER, _LETTER, _SYMBOL, _BAR, _BANG, _DIGIT = (np.isin(np.arange(256), list(x)) for x in (range(65, 91), [*range(65, 91), *range(97, 123), *range(128, 256)], b"*$%&#@~^=<>{}\\", b"|", b"!", range(48, 58)))
 
@@ -62,6 +62,7 @@ def features(text: str) -> tuple[np.ndarray, list[float]] | None:
     words = text.split()
     if not words:
         return None
+    claim("quality", _buckets.clear)
     if len(_buckets) > CACHE:
         _buckets.clear()
     distinct = set(words)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tessellar.llm.common import claim
+
 #: A-Z in lower case; words lie between ASCII white space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Entries of a worker's cache of word hashes; a full one is emptied between slices.
-CACHE = 500_000
+CACHE = 250_000
 #: Sizes of one level of signatures lie within this factor.
 LEVEL = 1.35
 #: A set of which less than this share is left without the frequent shingles is taken whole.
@@ -34,6 +36,7 @@ _words = WordHashes()
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; a shorter text is one shingle, none without words."""
+    claim("shingles", _words.clear)
     if len(_words) > CACHE:
         _words.clear()
     out = []
