@@ -250,3 +250,69 @@ def covers(words: list[str], wanted: list[str]) -> list[tuple[int, int]]:
 def max_view_similarity(pages: DataFrame, views: list[list[float]]) -> Column:
     """The largest inner product with one of a few query views."""
     return F.greatest(*(dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in v))) for v in views)) if len(views) > 1 else dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in views[0])))
+
+
+def expand_query(question: str, synonyms: dict[str, list[str]], groups: list[dict[str, list[str]]] = ()) -> list[str]:
+    """A request's terms: its own tokens, the synonyms of those that occur in it, and the aliases of
+    phrase groups that one of their triggers sets off; ordered, each once. Runs on the driver for one
+    question."""
+    low = question.lower()
+    squeezed = "".join(c for c in low if not c.isspace() and c not in "_-")
+    terms = [w for w in "".join(c if c.isalnum() or c in "_-" else " " for c in low).split() if len(w) >= 2]
+    for word, more in synonyms.items():
+        if word.lower() in low:
+            terms += more
+    for group in groups:
+        if any("".join(t.lower().split()) in squeezed for t in group["triggers"]):
+            terms += group["aliases"]
+    return list(dict.fromkeys(terms))
+
+
+@dataclass(frozen=True)
+class DropRules:
+    """What a candidate must show to be kept; lower-case terms."""
+
+    topic: tuple[str, ...] = ()
+    domain: tuple[str, ...] = ()
+    negative: tuple[str, ...] = ()
+    safety: tuple[str, ...] = ()
+    least_similarity: float = MIN_SIMILARITY
+    least_keyword: float = 0.08
+    no_incidents: bool = False
+
+
+def kept_by_rules(rows: DataFrame, rules: DropRules) -> DataFrame:
+    """Candidates that no drop rule removes, with topic_hits, domain_hit and safety.
+
+    In order: negative phrases without a positive one; a domain question needs the domain in public
+    rows; enough topic terms; some topic, safety or domain evidence; similarity or keyword above its
+    least; incidents only where wanted.
+    """
+    from tessellar.functions.text import signal_score, term_matches, topic_threshold
+
+    low = F.lower(F.concat_ws(" ", "title", "content"))
+    any_of = lambda terms: F.lit(False) if not terms else F.greatest(*(F.coalesce(term_matches(t, low), F.lit(False)) for t in (*terms, terms[0])))
+    hits = sum((F.when(term_matches(t, low), 1).otherwise(0) for t in rules.topic), F.lit(0))
+    out = rows.withColumn("topic_hits", hits).withColumn("domain_hit", any_of(rules.domain)).withColumn("safety", signal_score(list(rules.safety), low) if rules.safety else F.lit(0.0))
+    keep = ~(any_of(rules.negative) & ~F.col("domain_hit"))
+    if rules.domain:
+        keep &= F.col("domain_hit") | (F.col("document_scope") != "public")
+    enough = F.col("topic_hits") >= topic_threshold(F.lit(len(rules.topic)))
+    keep &= (enough & F.lit(bool(rules.topic))) | F.col("domain_hit") | (F.col("safety") > 0)
+    keep &= (F.col("similarity") >= rules.least_similarity) | (F.col("keyword") >= rules.least_keyword)
+    if rules.no_incidents:
+        keep &= F.col("source_type") != "public_incident"
+    return out.where(keep)
+
+
+def card_pages(chunks: DataFrame, signals: list[str], precautions: list[str], n: int = 3) -> DataFrame:
+    """Of each document the first n pages whose section holds every signal word and no precaution,
+    one chunk for a section."""
+    low = F.lower("content")
+    good = F.lit(True)
+    for w in signals:
+        good &= low.contains(w)
+    for w in precautions:
+        good &= ~low.contains(w)
+    first = chunks.where(good).withColumn("rn", F.row_number().over(Window.partitionBy("document_id", "title").orderBy("chunk_index"))).where("rn = 1")
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("page", "chunk_index"))).where(F.col("rn") <= n).drop("rn")
