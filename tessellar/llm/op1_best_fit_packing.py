@@ -29,7 +29,7 @@ from tessellar.llm.common import slices, table, texts_of, written
 
 CAPACITY = 2048
 #: Pieces that are ranked together in one window partition, on average.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 500
 
 
 def pack_histogram(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -135,10 +135,11 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for length, n in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
     runs = runs_of(pack_histogram(counts, capacity))
-    salts = 1 + int(counts.max()) // RANKED_TOGETHER
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(salts)).cast("int"))
+    # a row for each length: at most `capacity`
+    salts = spark.createDataFrame([(length, 1 + int(counts[length]) // RANKED_TOGETHER) for length in range(1, capacity + 1)], "length long, salts int")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.col("salts")).cast("int"))
     by_length = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most lengths x salts rows, each for about RANKED_TOGETHER pieces
+    # a row for about RANKED_TOGETHER pieces of a frequent length
     before = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = salted.withColumn("place", F.row_number().over(within) - 1).join(before, ["length", "salt"])
