@@ -42,7 +42,7 @@ LEAST_DOCUMENTS, LEAST_ERRORS = 4, 4.0
 BROADCAST_SITES = 200_000
 SALTS = 32
 #: Entries of a worker's cache of word buckets; a full one is emptied between slices.
-CACHE = 250_000
+CACHE = 80_000
 STRIPPED = ".,;:!?*$%&#|\"'()[]"
 _UPPER, _LETTER, _SYMBOL, _BAR, _BANG, _DIGIT = (np.isin(np.arange(256), list(x)) for x in (range(65, 91), [*range(65, 91), *range(97, 123), *range(128, 256)], b"*$%&#@~^=<>{}\\", b"|", b"!", range(48, 58)))
 

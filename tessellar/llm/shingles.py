@@ -10,7 +10,7 @@ from tessellar.llm.common import claim
 #: A-Z in lower case; words lie between ASCII white space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Entries of a worker's cache of word hashes; a full one is emptied between slices.
-CACHE = 250_000
+CACHE = 80_000
 #: Sizes of one level of signatures lie within this factor.
 LEVEL = 1.35
 #: A set of which less than this share is left without the frequent shingles is taken whole.

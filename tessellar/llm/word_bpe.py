@@ -15,10 +15,10 @@ from array import array
 
 import numpy as np
 
-from tessellar.llm.common import gather
+from tessellar.llm.common import claim, gather
 
 #: Entries of a worker's piece cache; a full cache is emptied between slices.
-CACHE = 400_000
+CACHE = 80_000
 #: A run of ASCII or Latin-1 letters and a run of punctuation without apostrophes or angle
 #: brackets: lower-casing and splitting these needs no Unicode tables.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:*$%&#|()\"/-]*)")
@@ -52,7 +52,8 @@ class PieceIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
+        #: Word -> place and number of its identifiers in the list.
+        self.words: dict[str, int] = {}
         self.empty()
 
     def empty(self) -> None:
@@ -60,21 +61,28 @@ class PieceIds(dict):
         self.words.clear()
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
-    def word(self, word: str) -> list[int]:
+    def append(self, word: str) -> None:
+        """Adds the word's identifiers to the list."""
         found = self.words.get(word)
         if found is None:
-            found = self.words[word] = [t.id for t in self.tokenizer.model.tokenize("".join(LETTERS[b] for b in word.encode()))] if word else []
-        return found
+            at = len(self.flat)
+            self.flat.extend(t.id for t in self.tokenizer.model.tokenize("".join(LETTERS[b] for b in word.encode())))
+            self.words[word] = at << 32 | len(self.flat) - at
+        else:
+            at = found >> 32
+            self.flat.extend(self.flat[at : at + (found & 0xFFFFFFFF)])
 
     def __missing__(self, piece: str) -> int:
         plain = PLAIN.fullmatch(piece)
+        at = len(self.flat)
         if plain:
-            ids = self.word(plain[1].lower()) + self.word(plain[2])
+            for word in plain.groups():
+                if word:
+                    self.append(word.lower())
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+            self.flat.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.starts.append(at)
+        self.sizes.append(len(self.flat) - at)
         self[piece] = n = len(self.starts) - 1
         return n
 
@@ -186,6 +194,7 @@ _loaded: dict = {}
 
 def loaded(kind: type, path: str):
     """One cache of a kind for a worker process."""
+    claim(f"word_bpe.{kind.__name__}", _loaded.clear)
     if (kind, path) not in _loaded:
         _loaded[kind, path] = kind(path)
     return _loaded[kind, path]
