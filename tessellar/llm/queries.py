@@ -7,7 +7,7 @@ from tessellar.llm.op2_byte_bpe import op2_byte_bpe
 from tessellar.llm.op3_license_scan import op3_license_scan
 from tessellar.llm.op4_language_id import op4_language_id
 from tessellar.llm.op5_embedding_near_dedup import OP5_SQL, op5_embedding_near_dedup
-from tessellar.llm.op6_ngram_jaccard_join import op6_ngram_jaccard_join
+from tessellar.llm.op6_ngram_jaccard_join import OP6_SQL, op6_ngram_jaccard_join
 from tessellar.llm.op7_token_counts import op7_token_counts
 from tessellar.llm.op8_telephony_audio import op8_telephony_audio
 from tessellar.llm.op9_quality_classifier import op9_quality_classifier
@@ -15,4 +15,4 @@ from tessellar.llm.op10_html_text import op10_html_text
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_license_scan, op4_language_id, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_token_counts, op8_telephony_audio, op9_quality_classifier, op10_html_text)}
 
-ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}

@@ -105,3 +105,13 @@ def test_shingles_follow_the_word_rule():
     assert [len(s) for s in shingle_sets(["", "a", "a b", "a b c", "a a a a a"], 3)] == [0, 1, 1, 1, 1]
     one, two = shingle_sets(["a b", "a b x"], 3)
     assert not np.array_equal(one, two)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    got = op6.op6_ngram_jaccard_join(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(db.execute(op6.OP6_SQL).fetchall())
