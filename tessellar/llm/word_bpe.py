@@ -18,7 +18,7 @@ import numpy as np
 from tessellar.llm.common import claim, gather
 
 #: Entries of a worker's piece cache; a full cache is emptied between slices.
-CACHE = 80_000
+CACHE = 150_000
 #: A run of ASCII or Latin-1 letters and a run of punctuation without apostrophes or angle
 #: brackets: lower-casing and splitting these needs no Unicode tables.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:*$%&#|()\"/-]*)")
