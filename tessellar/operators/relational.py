@@ -57,7 +57,7 @@ def profile_versions(versions: DataFrame, user: int) -> DataFrame:
     return latest(active.unionByName(drafts), ["document_id"], F.asc("rank"), F.desc("version"))
 
 
-def sample_text(rows: DataFrame, key: str, order: str, text: str, most: int, separator: str = "\n") -> DataFrame:
+def sample_text(rows: DataFrame, key: str, order: str | list[str], text: str, most: int, separator: str = "\n") -> DataFrame:
     """The first `most` texts of each key in order, joined."""
     w = Window.partitionBy(key).orderBy(order)
     kept = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most)

@@ -152,6 +152,13 @@ def profile_sample_listagg(spark, sf_dir):
     return R.sample_text(rows, "title", "chunk_id", "head", 40)
 
 
+@query("profile_sample_whole", f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY CASE WHEN page <= 4 THEN 0 ELSE 1 END, chunk_index, chunk_id) AS rn FROM chunks) SELECT title, string_agg(content, ' ' ORDER BY rn) AS sample, count(*) AS n FROM r WHERE rn <= 40 GROUP BY title")
+def profile_sample_whole(spark, sf_dir):
+    late = F.when(F.coalesce("page", F.lit(9999)) <= 4, 0).otherwise(1)
+    rows = chunks(spark, sf_dir).select("title", late.alias("late"), "chunk_index", "chunk_id", "content")
+    return R.sample_text(rows, "title", ["late", "chunk_index", "chunk_id"], "content", 40, " ")
+
+
 @query("id_sequence", f"WITH {CHUNKS} SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS place FROM chunks")
 def id_sequence(spark, sf_dir):
     rows = R.numbered(chunks(spark, sf_dir).select("chunk_id", "document_id", "chunk_index"), ["document_id"], F.col("chunk_index"))
