@@ -152,10 +152,13 @@ def section_paths(headings: list[tuple[int, str]]) -> list[list[str]]:
 
 
 def with_section_paths(headings: DataFrame, document: str, order: str) -> DataFrame:
-    """headings (document, order, level, title) with path, one document's bounded outline at a time."""
+    """headings (document, order, level, title) with path, one document's bounded outline at a time.
+
+    Headings of equal order follow each other by level, then title.
+    """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order)
+        own = own.sort_values([order, "level", "title"])
         return own.assign(path=section_paths(list(zip(own["level"], own["title"], strict=True))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in headings.schema.fields)
