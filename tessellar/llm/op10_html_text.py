@@ -2,8 +2,10 @@
 
 Markup is read with one tolerant scan into a tree (unclosed and crossed tags, void elements, raw
 script and style text). Subtrees that are never an article's text go: by element (nav, form, script
-and so on), by role, when hidden, or when a word of their class or id says so (comments, cookie
-notices, adverts, sidebars). Of what is left each paragraph passes points for its length and its
+and so on), by role, when hidden, or when a whole class or id says so (comments, cookie-notice,
+left-sidebar; not no-sidebar or content-sidebar-wrap). What holds a main element or an article (but
+one marked itself, as comments are), or more than half of the page's points and no other article
+or main has any, is never dropped by its name. Of what is left each paragraph passes points for its length and its
 commas to its ancestors, halved with every level and discounted by the share of its text in links.
 The container with the most points wins; an article or main element around it is preferred whole,
 else siblings with a good part of its points, or long paragraphs with few links, are kept with it.
@@ -49,46 +51,61 @@ ENDS = {
 }
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea label iframe object embed svg math canvas audio video map menu dialog title noembed noframes xmp".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
-#: Fixed words of a class or id that mark what isn't an article's text.
+#: Fixed words that mark what isn't an article's text: a class or id of them alone, or of them and NEUTRAL ones.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer footnav masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations widget widgets toolbar pager pagination copyright disclaimer skip hidden search tags tagcloud outbrain taboola".split())
 #: These mark the head of a page, but inside an article its own head.
 HEAD_WORDS = frozenset("header topbar site-header".split())
+#: Words that may stand beside a marking one in a class or id: places, boxes, what they belong to.
+NEUTRAL = frozenset("left right top bottom upper lower first second primary secondary main global site page pages post posts article articles entry entries story stories blog news user area bar block body box btn button buttons col column container count form group head heading icon icons inline inner item items label link links list outer panel row section small sticky strip text title unit wrap wrapper slot zone".split())
+#: These words mark by themselves only: beside others they name a state, a list of results or the like.
+ALONE = frozenset("hidden skip search alert".split())
 NEVER_BY_NAME = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article main body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "score", "own", "commas", "links", "article")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "score", "own", "commas", "links", "article")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
-        self.dropped = False
+        self.dropped = self.named = False
         self.score = 0.0
         self.own = self.commas = self.links = 0  # characters and commas of its direct text, characters in links
         self.article = parent is not None and (parent.article or parent.tag in ("article", "main"))
 
 
-def boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
+def marked(value: str, inside: bool) -> bool:
+    """Whether a whole class or id among those given marks what isn't an article's text."""
+    for token in value.split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        marks = [w for w in words if w in DROPPED_WORDS or not inside and w in HEAD_WORDS]
+        if marks and (len(words) == 1 or any(w not in ALONE for w in marks) and all(w in marks or w in NEUTRAL for w in words)):
+            return True
+    return False
+
+
+def boilerplate(tag: str, attributes: str) -> bool:
+    """Whether the element is never an article's text, whatever it holds."""
+    if tag in DROPPED:
         return True
     if not attributes or tag in NEVER_BY_NAME:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)} | set(value.lower().split())
-            if not words.isdisjoint(DROPPED_WORDS) or not inside and not words.isdisjoint(HEAD_WORDS):
-                return True
-        elif name == "role" and value.lower() in DROPPED_ROLES:
+        if name == "role" and value.lower() in DROPPED_ROLES:
             return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def by_name(attributes: str, inside: bool) -> bool:
+    return any(name.lower() in ("class", "id") and marked(a or b or c, inside) for name, a, b, c in ATTRIBUTE.findall(attributes))
+
+
 def parse(page: str) -> Node:
     root = here = Node("#root", None)
     at, n = 0, len(page)
@@ -123,7 +140,8 @@ def parse(page: str) -> Node:
         if tag in ENDS:
             here = closed(here, *ENDS[tag])
         node = Node(tag, here)
-        node.dropped = here.dropped or boilerplate(tag, attributes, node.article)
+        node.dropped = here.dropped or boilerplate(tag, attributes) or tag == "header" and not node.article
+        node.named = bool(attributes) and not node.dropped and tag not in ("html", "body") and by_name(attributes, node.article)
         here.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -147,15 +165,16 @@ def closed(here: Node, tags: set[str], border: set[str]) -> Node:
     return out
 
 
-def scored(root: Node) -> list[Node]:
-    """Containers with points."""
-    containers: dict[int, Node] = {}
+def gathered(root: Node) -> tuple[list[Node], list[Node]]:
+    """What isn't dropped, parents first, and its blocks with their direct text, that of inline elements included."""
+    nodes, blocks = [], []
     stack: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
-    blocks = []
-    while stack:  # gathers each block's direct text, that of inline elements included
+    while stack:
         node, block, link = stack.pop()
         if node.dropped:
             continue
+        nodes.append(node)
+        node.own = node.commas = node.links = 0
         if node.tag in BLOCKS and node.tag != "br" or block is None:
             block = node
             blocks.append(node)
@@ -168,14 +187,56 @@ def scored(root: Node) -> list[Node]:
                 block.links += size * link
             else:
                 stack.append((part, block, link))
+    return nodes, blocks
+
+
+def points(block: Node) -> float:
+    if block.own < 1 or block.tag not in PARAGRAPHS:
+        return 0.0
+    return (1 + block.commas + min(block.own / 100, 3) + block.own / 1000) * (1 - block.links / block.own)
+
+
+def drop_named(root: Node) -> None:
+    """Drops what a class or id marks, unless it holds an article or most of the page."""
+    nodes, blocks = gathered(root)
+    if not any(node.named for node in nodes):
+        return
+    inner = dict.fromkeys(map(id, nodes), 0.0)  # points of all blocks inside
     for block in blocks:
+        inner[id(block)] = points(block)
+    holds: set[int] = set()
+    articles = 0
+    for node in reversed(nodes):
+        article = node.tag == "main" or node.tag == "article" and not node.named
+        articles += article and inner[id(node)] > 0
+        if node.parent is not None:
+            inner[id(node.parent)] += inner[id(node)]
+            if article or id(node) in holds:
+                holds.add(id(node.parent))
+    around = {id(root): 0}  # articles with points that a node is in
+    for node in nodes:
+        up = node.parent
+        if up is None:
+            continue
+        around[id(node)] = around[id(up)] + ((up.tag == "main" or up.tag == "article" and not up.named) and inner[id(up)] > 0)
+        if up.dropped:
+            node.dropped = True
+        elif node.named and node.tag not in NEVER_BY_NAME and id(node) not in holds:
+            most = inner[id(node)] > inner[id(root)] / 2
+            node.dropped = not most or articles > around[id(node)]
+
+
+def scored(root: Node) -> list[Node]:
+    """Containers with points."""
+    containers: dict[int, Node] = {}
+    for block in gathered(root)[1]:
         if block.own < 1 or block.tag not in PARAGRAPHS:
             continue
-        points = (1 + block.commas + min(block.own / 100, 3) + block.own / 1000) * (1 - block.links / block.own)
         up, share = (block if block.tag in ("div", "section", "article", "main", "body") else block.parent), 1.0
+        own = points(block)
         while up is not None and share > 0.05:
             if up.tag in BLOCKS or up.parent is None:
-                up.score += points * share
+                up.score += own * share
                 containers[id(up)] = up
                 share /= 2
             up = up.parent
@@ -184,6 +245,7 @@ def scored(root: Node) -> list[Node]:
 
 def chosen(root: Node) -> list[Node]:
     """The nodes whose text is the article, in page order."""
+    drop_named(root)
     containers = scored(root)
     if not containers:
         return [root]
