@@ -8,7 +8,8 @@ one marked itself, as comments are), or more than half of the page's points and
 or main has any, is never dropped by its name. Of what is left each paragraph passes points for its length and its
 commas to its ancestors, halved with every level and discounted by the share of its text in links.
 The container with the most points wins; an article or main element around it is preferred whole,
-else siblings with a good part of its points, or long paragraphs with few links, are kept with it.
+else all that stands beside it (text, lists, tables, paragraphs of any length) is kept with it, but
+for what is mostly links.
 
 All text of the chosen nodes is returned in page order: character references are decoded, white
 space inside a block becomes one space, blocks are joined by one space.
@@ -59,6 +60,8 @@ HEAD_WORDS = frozenset("header topbar site-header".split())
 NEUTRAL = frozenset("left right top bottom upper lower first second primary secondary main global site page pages post posts article articles entry entries story stories blog news user area bar block body box btn button buttons col column container count form group head heading icon icons inline inner item items label link links list outer panel row section small sticky strip text title unit wrap wrapper slot zone".split())
 #: These words mark by themselves only: beside others they name a state, a list of results or the like.
 ALONE = frozenset("hidden skip search alert".split())
+#: What stands beside the best container stays if less than this share of its text is in links.
+MOST_LINKS = 0.5
 NEVER_BY_NAME = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article main body".split())
 
@@ -243,7 +246,7 @@ def scored(root: Node) -> list[Node]:
     return list(containers.values())
 
 
-def chosen(root: Node) -> list[Node]:
+def chosen(root: Node) -> list[str | Node]:
     """The nodes whose text is the article, in page order."""
     drop_named(root)
     containers = scored(root)
@@ -261,17 +264,37 @@ def chosen(root: Node) -> list[Node]:
         return alike
     if top.parent is None or top.tag in ("body", "html"):
         return [top]
-    out = []
-    for x in top.parent.parts:
-        if isinstance(x, str) or x.dropped:
-            continue
-        good = x is top or x.score > 0.2 * top.score or x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and x.own and x.links < 0.25 * x.own and (x.own > 80 or x.tag in ("h1", "h2", "h3"))
-        if good:
-            out.append(x)
+    return [x for run in runs(top.parent.parts) if top in run or few_links(run) for x in run]
+
+
+def runs(parts: list[str | Node]) -> list[list[str | Node]]:
+    """Blocks by themselves; text and inline elements that follow each other together, as they are one text."""
+    out: list[list[str | Node]] = []
+    inline = False
+    for x in parts:
+        block = isinstance(x, Node) and x.tag in BLOCKS and x.tag != "br"
+        if block or not inline:
+            out.append([])
+        out[-1].append(x)
+        inline = not block
     return out
 
 
-def text_of(nodes: list[Node]) -> str:
+def few_links(nodes: list[str | Node]) -> bool:
+    size = links = 0
+    stack: list[tuple[str | Node, bool]] = [(x, False) for x in nodes]
+    while stack:
+        x, link = stack.pop()
+        if isinstance(x, str):
+            size += len(x.strip())
+            links += len(x.strip()) * link
+        elif not x.dropped:
+            link = link or x.tag == "a"
+            stack += [(part, link) for part in x.parts]
+    return links < MOST_LINKS * size or not size
+
+
+def text_of(nodes: list[str | Node]) -> str:
     blocks: list[list[str]] = [[]]
     stack: list[str | Node | None] = list(reversed(nodes))
     while stack:

@@ -26,3 +26,14 @@ def test_names_still_drop_what_is_no_article():
         assert op10.main_text(f'<div>{P}{P}<div class="{name}"><p>Not, of, it</p></div></div>') == f"{TEXT} {TEXT}", name
     long = "<article class='comment-body'>" + P.replace("article", "reader") * 5 + "</article>"
     assert op10.main_text(f"<article>{P}</article><div id='comments'>{long}</div>") == TEXT
+
+
+def test_what_stands_beside_the_best_container_stays():
+    long = "<section>" + ("<p>" + "word " * 100 + "</p>") * 10 + "</section>"
+    short = "<p>" + "other " * 50 + "</p>"
+    got = op10.main_text(f"<div>{long}<section>{short}</section></div><footer>f</footer>").split()
+    assert got.count("word") == 1000 and got.count("other") == 50
+    beside = 'Bare text, <a href="x">a link</a> in it.<br>A line.<ul><li>one<li>two</ul><table><tr><td>1<td>2</table><figure><img><figcaption>Figure.</figcaption></figure><h4>Small</h4><p>The end.</p>'
+    links = '<ul><li><a href="a">First other page</a><li><a href="b">Second other page</a></ul><p>See: <a href="c">another page altogether</a></p>'
+    got = op10.main_text(f'<div>{beside}{long}{links}<div class="share">Share</div>Last.</div>').split("word")
+    assert got[0].strip() == "Bare text, a link in it. A line. one two 1 2 Figure. Small The end." and got[-1].strip() == "Last."
