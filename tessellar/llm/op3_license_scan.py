@@ -2,7 +2,11 @@
 
 A text block matches a template when it contains at least `threshold` of the template's distinct
 words. Blocks are the paragraphs between blank lines for whole notices, and the lines for one-line
-statements. The words of all templates are put in one global
+statements. As published notices go over several paragraphs and statements are wrapped, the words
+around each blank line or line break are a block too: as many before and after it as the template
+has, over further breaks. Such a block has the number of the paragraph or line before the break, and
+is left out where one of those two has as good a match itself. Statements of fewer than WRAPPED_WORDS
+words are looked for within a line only. The words of all templates are put in one global
 order, rarest first, by their document frequency over the whole corpus, counted in a first pass.
 Then, for a template of n words of which r = ceil(threshold * n) are needed:
 
@@ -11,7 +15,7 @@ Then, for a template of n words of which r = ceil(threshold * n) are needed:
 - positional filter: while the template's words are looked up in order, the search ends as soon as
   hits so far plus words still to come fall below r.
 
-All three are exact, so every matching block is found. The index of templates is a parameter, not
+A text whose words as a whole don't match a template has no matching block. All are exact, so every matching block is found. The index of templates is a parameter, not
 data: it doesn't grow with the corpus. Two map-only passes; the only exchange sums frequencies of
 template words (a few hundred rows).
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +59,9 @@ LINES = {
     "reserved-line": "All rights reserved",
 }
 
+#: Words of a statement from which it is looked for over line breaks too; words as near as those of a shorter one may be chance.
+WRAPPED_WORDS = 4
+
 #: Bytes of words stay, A-Z in lower case; the rest become spaces. Non-ASCII characters are words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLANK_LINE = re.compile(rb"\n[ \t\r\f\v]*\n")
@@ -83,13 +91,15 @@ class TemplateIndex:
     """Templates with their words in global order, and the prefixes' inverted index."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
-        self.templates, self.prefixes = [], {}
+        self.templates, self.prefixes, self.lengths = [], {}, {}
         for label, text in sorted(templates.items()):
-            words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
+            every = words_of(text.encode())
+            words = sorted(set(every), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             for w in words[: len(words) - need + 1]:
                 self.prefixes.setdefault(w, []).append(len(self.templates))
             self.templates.append((label, words, need))
+            self.lengths[label] = len(every)
 
     def matches(self, block: set[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that the block meets."""
@@ -109,6 +119,29 @@ class TemplateIndex:
         return out
 
 
+def blocks_found(index: TemplateIndex, blocks: list[bytes], least: int = 1) -> list[dict]:
+    """Matches of the blocks, and of the words around the breaks between them for templates of `least` words or more."""
+    split = [words_of(block) for block in blocks]
+    words = list(chain.from_iterable(split))
+    possible = [label for label, _ in index.matches(set(words))]
+    if not possible:
+        return []
+    own = [dict(index.matches(set(block))) for block in split]
+    found = [{"label": label, "block": k, "containment": c} for k, of in enumerate(own) for label, c in of.items()]
+    filled = [k for k, block in enumerate(split) if block]
+    at = 0
+    for k, after in zip(filled, filled[1:], strict=False):
+        at += len(split[k])
+        for label in possible:
+            n = index.lengths[label]
+            if n < least:
+                continue
+            for other, c in index.matches(set(words[max(at - n, 0) : at + n])):
+                if other == label and c > max(own[k].get(label, 0.0), own[after].get(label, 0.0)):
+                    found.append({"label": label, "block": k, "containment": c})
+    return found
+
+
 def word_frequencies(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
     """Documents of the whole corpus that hold each word of the bounded vocabulary."""
 
@@ -130,7 +163,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = [(words_of(p.encode()), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     vocabulary = {w for t in [*templates.values(), *lines.values()] for w in words_of(t.encode())}
     frequency = word_frequencies(docs, text_col, vocabulary)
-    indexes = [(TemplateIndex(templates, frequency, threshold), _BLANK_LINE.split), (TemplateIndex(lines, frequency, threshold), bytes.splitlines)]
+    indexes = [(TemplateIndex(templates, frequency, threshold), _BLANK_LINE.split, 1), (TemplateIndex(lines, frequency, threshold), bytes.splitlines, WRAPPED_WORDS)]
 
     def run(batches):
         for batch in batches:
@@ -142,11 +175,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n_words.append(len(words))
                     places.append([{"start": at, "label": label} for at, label in base_places(words, split)])
                     found = []
-                    for index, split_blocks in indexes:
-                        if index.prefixes.keys().isdisjoint(words):
-                            continue
-                        for k, block in enumerate(split_blocks(raw)):
-                            found += [{"label": label, "block": k, "containment": c} for label, c in index.matches(set(words_of(block)))]
+                    for index, split_blocks, least in indexes:
+                        if not index.prefixes.keys().isdisjoint(words):
+                            found += blocks_found(index, split_blocks(raw), least)
                     blocks.append(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(pa.struct({"start": pa.int64(), "label": pa.string()}))), pa.array(blocks, pa.list_(pa.struct({"label": pa.string(), "block": pa.int64(), "containment": pa.float64()})))], ["id", "n_words", "places", "blocks"])
 

@@ -1,5 +1,6 @@
 """Nothing of a text is lost to names, lengths or layout."""
 
+from tessellar.llm import op3_license_scan as op3
 from tessellar.llm import op10_html_text as op10
 
 P = "<p>A paragraph of the article, with some words, a few commas, and an end.</p>"
@@ -37,3 +38,55 @@ def test_what_stands_beside_the_best_container_stays():
     links = '<ul><li><a href="a">First other page</a><li><a href="b">Second other page</a></ul><p>See: <a href="c">another page altogether</a></p>'
     got = op10.main_text(f'<div>{beside}{long}{links}<div class="share">Share</div>Last.</div>').split("word")
     assert got[0].strip() == "Bare text, a link in it. A line. one two 1 2 Figure. Small The end." and got[-1].strip() == "Last."
+
+
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+
+#     http://www.apache.org/licenses/LICENSE-2.0
+
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+def license_rows(spark, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.labels.split(","), r.score) for r in sorted(op3.digest(op3.license_scan(docs, **how)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_published_layouts_of_licenses(spark):
+    filler = "\n\n".join(["Some words of another kind stand here."] * 5)
+    bsd, apache, wrapped = license_rows(spark, [BSD, f"{filler}\n\n{APACHE}\n{filler}", "// Licensed under CC\n//   BY-NC 4.0\n"])
+    assert bsd[0] == ["bsd-notice", "reserved-line"] and bsd[1] == 1.0
+    assert apache[0] == ["apache", "apache-line", "apache-notice"]
+    assert wrapped == (["cc-by-nc-line"], 1.0)
+
+
+def test_licenses_broken_anywhere(spark):
+    cases = []
+    for templates, gap in ((op3.NOTICES, "\n\n"), (op3.LINES, "\n")):
+        for label, text in templates.items():
+            words = text.split()
+            if len(words) >= op3.WRAPPED_WORDS:
+                cases += [(label, f"one two{gap}" + " ".join(words[:k]) + gap + " ".join(words[k:]) + f"{gap}three") for k in range(1, len(words))]
+    for (label, text), (labels, score) in zip(cases, license_rows(spark, [t for _, t in cases], phrases={"no such phrase": "none"}), strict=True):
+        assert label in labels and score == 1.0, text
+    apart = op3.NOTICES["bsd-notice"].split()
+    apart = " ".join(apart[:20]) + "\n\n" + "filler " * 60 + "\n\n" + " ".join(apart[20:])
+    assert license_rows(spark, [apart]) == [([""], 0.0)]
