@@ -6,7 +6,7 @@ back as the next stage's documents.
 
 Quality drops low quality and toxic documents; language ID drops those without a recognisable
 language; of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more, by
-links) the document with the smallest id stays; packing places what is left in sequences.
+links) the row with the smallest id stays; packing places what is left in sequences.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from tessellar.llm.op9_quality_classifier import quality_scores
 LEAST_LANGUAGE_SCORE = 0.5
 #: Rejected ids up to which they are broadcast (about 16 bytes each); beyond, they are joined.
 BROADCAST_IDS = 2_000_000
+#: Names a row while near copies are removed.
+ROW_KEY = "__near_row"
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -47,14 +49,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(spark, jaccard_components(docs, width=5, percent=80), "near")
-    # rows without id: only those alone in their group, which have no component, stay
-    gone = found.where("doc_id <> component_id").select("doc_id").dropDuplicates()
+    """Of each component one row, that of the smallest id, rows without id last; rows without words are alone."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        # ids don't tell rows apart: id and text do, but for copies; a row without id comes after all others
+        key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+        rows = docs.withColumn(ROW_KEY, key)
+    else:
+        rows = docs.withColumn(ROW_KEY, F.col("doc_id"))
+    found = written(spark, jaccard_components(rows, ROW_KEY, width=5, percent=80), "near")
+    gone = found.where(~F.col(ROW_KEY).eqNullSafe(F.col("component_id"))).select(ROW_KEY).dropDuplicates()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count():  # an id given more than once stays once
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = rows.join(gone, ROW_KEY, "left_anti")
+    again = found.where(F.col(ROW_KEY).eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(ROW_KEY).count().where("count > 1").select(ROW_KEY)
+    if again.limit(1).count():  # copies of the row that stays
+        kept = kept.join(again, ROW_KEY, "left_anti").unionByName(kept.join(again, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]))
     return kept.select(docs.columns)
 
 
