@@ -215,6 +215,11 @@ def keyword_rank(spark, sf_dir):
     return R.cover_density(chunks(spark, sf_dir), ["the", "is", "for"], "chunk_id", "content").select("chunk_id", "all_terms")
 
 
+@query("keyword_cover_rank")
+def keyword_cover_rank(spark, sf_dir):
+    return R.cover_density(chunks(spark, sf_dir), ["the", "is", "for"], "chunk_id", "content")
+
+
 @query("max_view_similarity", f"WITH {VECTORS}, q AS (SELECT list(embedding ORDER BY chunk_id) AS qs FROM vectors WHERE chunk_id < 7) SELECT chunk_id, round(list_max(list_transform(qs, lambda q: list_dot_product(embedding, q))), 6) AS best FROM vectors, q")
 def max_view_similarity(spark, sf_dir):
     v = vectors(spark, sf_dir)
