@@ -1,7 +1,7 @@
 """Telephony audio columns: G.711 and ADPCM decoding to resampled PCM.
 
 Mu-law and A-law bytes are expanded through 256-entry tables made from the coding rule. IMA ADPCM
-blocks all have one length, so numpy steps through the samples of a block with every block of a
+blocks all have one length but the last, which may be shorter, so numpy steps through the samples of a block with every block of a
 recording side by side. PCM is resampled by linear interpolation in integers and stored as WAV.
 
 Defined cases: null or unreadable media has null results; silence (no samples) has zero features;
@@ -48,9 +48,16 @@ IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 
 
 def decode_ima(data: bytes, block: int) -> np.ndarray:
-    """Mono IMA ADPCM: blocks of a 4-byte header (first sample, step index) and 4-bit codes, low first."""
+    """Mono IMA ADPCM: blocks of a 4-byte header (first sample, step index) and 4-bit codes, low first.
+
+    A shorter last block is decoded by itself; less than a header holds no sample.
+    """
     raw = np.frombuffer(data, np.uint8)
-    raw = raw[: len(raw) // block * block].reshape(-1, block)
+    whole = len(raw) // block * block
+    if whole < len(raw):
+        rest = decode_ima(data[whole:], len(raw) - whole) if len(raw) - whole >= 4 else np.empty(0, np.int16)
+        return np.concatenate([decode_ima(data[:whole], block), rest])
+    raw = raw.reshape(-1, block)
     value = (raw[:, 0] | raw[:, 1].astype(np.int32) << 8).astype(np.int16).astype(np.int32)
     index = np.minimum(raw[:, 2], 88).astype(np.int32)
     codes = np.empty((len(raw), 2 * (block - 4)), np.int32)
@@ -71,7 +78,9 @@ def wav(data: bytes, tag: int, rate: int, bits: int, block: int | None = None) -
     block = block or bits // 8
     extra = b"" if tag == PCM else struct.pack("<H", 0) if tag != IMA else struct.pack("<HH", 2, 2 * (block - 4) + 1)
     head = struct.pack("<HHIIHH", tag, 1, rate, rate * block if tag != IMA else rate // 2, block, bits) + extra
-    fact = b"" if tag == PCM else b"fact" + struct.pack("<II", 4, len(data) if tag != IMA else len(data) // block * (2 * (block - 4) + 1))
+    rest = len(data) % block
+    samples = len(data) if tag != IMA else len(data) // block * (2 * (block - 4) + 1) + (2 * (rest - 4) + 1 if rest >= 4 else 0)
+    fact = b"" if tag == PCM else b"fact" + struct.pack("<II", 4, samples)
     body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
