@@ -10,6 +10,17 @@ from tessellar.llm.common import forget, written
 
 #: Edges that a task contracts to a forest at once.
 CONTRACTED = 500_000
+#: Rows of a lookup table up to which it is broadcast (16 bytes each); beyond, it is joined.
+BROADCAST_ROWS = 1_000_000
+
+
+def looked_up(rows: DataFrame, by: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined to a written table of distinct keys, which many rows may share.
+
+    A table of at most BROADCAST_ROWS goes to every task; a larger one is a plain shuffled join of two
+    scans, of which Spark splits the partitions of hot keys.
+    """
+    return rows.join(F.broadcast(by) if by.count() <= BROADCAST_ROWS else by, key, how)
 
 
 def forest(pairs: list[tuple]) -> list[tuple]:
@@ -55,24 +66,29 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Tasks first contract their own edges to forests. Rounds then give every node its smallest known
     neighbour (an aggregation with partial sums), link its other neighbours to that one, and jump
-    from each neighbour to the neighbour's own smallest, until the table is a set of stars. Nodes
-    that appear as r only are their own component. Null nodes are left out.
+    from each neighbour to the neighbour's own smallest, until the table is a set of stars. Only
+    neighbours that have a smaller one themselves are looked up, so the centre of a large star is no
+    key of a shuffle. Nodes that appear as r only are their own component. Null nodes are left out.
     """
     a, b = edges.columns
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("r")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
     now = written(spark, pairs.mapInArrow(_contract, f"v {kind}, r {kind}").dropDuplicates(), "edges")
     while True:
-        least = now.groupBy("v").agg(F.min("r").alias("m"), F.count("*").alias("n"))
-        jump = least.select(F.col("v").alias("r"), F.col("m").alias("up"), F.col("n").alias("n_up"))
+        least = written(spark, now.groupBy("v").agg(F.min("r").alias("m"), F.count("*").alias("n")), "least")
+        inner = now.select(F.col("r").alias("v")).dropDuplicates()
+        jump = written(spark, least.join(inner, "v", "left_semi").select(F.col("v").alias("r"), F.col("m").alias("up")), "jump")
         # a star forest: every node has one neighbour, which has none
-        open_ = now.join(jump, "r", "left_semi").limit(1).count() or least.where("n > 1").limit(1).count()
-        if not open_:
+        done = not jump.limit(1).count() and not least.where("n > 1").limit(1).count()
+        if not done:
+            linked = now.join(least, "v").select("v", "r", "m")
+            pairs = linked.select("v", F.col("m").alias("r")).union(linked.where("r <> m").select(F.col("r").alias("v"), F.col("m").alias("r")))
+            jumped = looked_up(pairs.dropDuplicates(), jump, "r").select("v", F.coalesce("up", "r").alias("r"), F.when(F.col("up").isNotNull(), F.col("r")).alias("via"))
+            # keeps both the jump and the link it came by
+            both = jumped.select("v", "r").union(jumped.where("via is not null").select(F.col("via").alias("v"), "r")).where("v <> r")
+            before, now = now, written(spark, both.select(F.greatest("v", "r").alias("v"), F.least("v", "r").alias("r")).mapInArrow(_contract, f"v {kind}, r {kind}").dropDuplicates(), "edges")
+            forget(spark, before)
+        forget(spark, least)
+        forget(spark, jump)
+        if done:
             return now
-        linked = now.join(least, "v").select("v", "r", "m")
-        pairs = linked.select("v", F.col("m").alias("r")).union(linked.where("r <> m").select(F.col("r").alias("v"), F.col("m").alias("r")))
-        jumped = pairs.dropDuplicates().join(jump, "r", "left").select("v", F.coalesce("up", "r").alias("r"), F.when(F.col("up").isNotNull(), F.col("r")).alias("via"))
-        # keeps both the jump and the link it came by
-        both = jumped.select("v", "r").union(jumped.where("via is not null").select(F.col("via").alias("v"), "r")).where("v <> r")
-        before, now = now, written(spark, both.select(F.greatest("v", "r").alias("v"), F.least("v", "r").alias("r")).mapInArrow(_contract, f"v {kind}, r {kind}").dropDuplicates(), "edges")
-        forget(spark, before)

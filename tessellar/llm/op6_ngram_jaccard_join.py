@@ -1,21 +1,28 @@
-"""N-gram Jaccard join: near-duplicate components by exact set similarity.
+"""N-gram Jaccard join: near-duplicate components by exact set similarity with signature trees.
 
 1. Equal shingle sets are one class, named by a 64-bit hash.
-2. Pigeonhole signatures (shingles.Levels) are emitted once a class and task; classes that share one
-   may be similar, and no similar pair shares none. The classes reachable from each other by shared
-   signatures form a cluster; only clusters of several classes go on. Signatures leave out shingles
-   frequent in a sample, which changes how selective they are but not which pairs must meet.
-3. Each cluster is joined by signature trees. A cluster too large for a task is cut into blocks and
-   every pair of blocks is a task of its own.
-4. Components of the links found, then of all documents through their classes.
+2. Classes sign themselves (shingles.Levels): no similar pair shares no signature. The holders of one
+   signature form a group under the smallest of their names, its head; a class is in the groups of its
+   own signatures' heads and in no other, so groups do not grow through chains of shared signatures.
+   Signatures put shingles frequent in a sample last, which changes how selective they are but not
+   which pairs must meet.
+3. A signature tree of each group's bitmaps (about a sixteenth of a set) leaves the classes that can
+   have a similar partner there. Only their sets are fetched.
+4. Each group that is left is joined by a signature tree of the sets. A group too large for a task is
+   cut into blocks that all hold one class: near copies link to it or to one another in their block, and
+   only the classes that end outside that one's component are compared with the other blocks too.
+5. Components of the links found, then of all documents through their classes.
 
 Links are never listed by pairs: a task returns a spanning forest of its own. Hot groups: copies are
 collapsed in the task that reads them and again by partial aggregation; rows of one signature are at
-most one for each slice of input; clusters are cut by a bound on their shingles.
+most one for each slice of input; groups are cut by a bound on their shingles; lookups that many
+rows share are broadcast within a checked size and else joined so that Spark can split them.
 
 Defined cases: null text or text without words has 0 shingles and is alone; a text of fewer words
-than the width is one shingle; rows without id link others but take no part in choosing a component's
-name (null if no row has one); repeated rows and ids share a component; other columns are ignored.
+than the width is one shingle; a very long text is one set like any other, its signatures in proportion;
+rows without id link others but take no part in choosing a component's name (null if no row has
+one); repeated rows and ids share a component; of equal candidates for a name the smallest id is
+taken; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,19 +33,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellar.llm.common import forget, slices, table, texts_of, written
-from tessellar.llm.components import components
+from tessellar.llm.components import components, looked_up
 from tessellar.llm.shingles import Levels, set_hash, shingle_sets
-from tessellar.llm.signature_tree import linked
+from tessellar.llm.signature_tree import bitmap, linked, possible, wide_enough
 
 #: Signatures that a task gathers before it emits each distinct one once.
 GATHERED = 400_000
-#: Shingles of one block of a cluster, about.
+#: Members of a group up to which its bitmaps are joined first; a larger one goes on to the sets at once.
+SIEVED = 1_000
+#: Shingles of one block of a group, about.
 BLOCK_SHINGLES = 1_000_000
 #: Documents whose shingles are counted to find frequent ones: so many and a share of all.
 SAMPLED, SAMPLED_SHARE = 5_000, 0.02
 #: Shingles in so many sampled documents are frequent; at most so many are broadcast (8 bytes each).
 FREQUENT, MOST_FREQUENT = 4, 1_000_000
-#: Clustered classes up to which their names are broadcast (8 bytes each); beyond, they are joined.
+#: Grouped classes up to which their names are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_CLASSES = 2_000_000
 
 
@@ -58,26 +67,35 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy().view(np.uint64))
 
 
-def signature_edges(docs: DataFrame, text_col: str, width: int, levels: Levels, frequent: np.ndarray) -> DataFrame:
-    """Edges (a, b) between classes that share a signature."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT hashes
+def signature_groups(docs: DataFrame, text_col: str, width: int, levels: Levels, frequent: np.ndarray) -> DataFrame:
+    """Written table (h, head) of the groups' members that may have a similar partner there."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT hashes
 
     def flush(sigs: list[np.ndarray], names: list[np.ndarray]):
+        """One row (kind 0) for a signature with one holder in the slice; else one of kind 1 and the others of kind 2."""
         sig, name = np.concatenate(sigs), np.concatenate(names)
         order = np.argsort(sig, kind="stable")
         sig, name = sig[order], name[order]
         first = np.append(True, sig[1:] != sig[:-1])
-        head = np.repeat(name[first], np.diff(np.append(np.flatnonzero(first), len(sig))))
-        more = np.unique(np.stack([name, head])[:, (name != head)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(name[first]), pa.nulls(int(first.sum()), pa.int64())], ["sig", "a", "b"])
-        if more.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.nulls(more.shape[1], pa.int64()), pa.array(more[0]), pa.array(more[1])], ["sig", "a", "b"])
+        more = np.append(~first[1:], False)
+        kind = np.where(first, more, 2).astype(np.int8)
+        nothing = pa.nulls(len(sig))
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(name), pa.array(kind), nothing.cast(pa.int64()), nothing.cast(pa.binary())], schema)
+
+    def described(classes: list[tuple[int, int, bytes]]):
+        """Rows of kind 3: a class's size and bitmap."""
+        h, n, bits = zip(*classes, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h), pa.array([3] * len(h), pa.int8()), pa.array(n), pa.array(bits)], schema)
+
+    schema = ["sig", "h", "kind", "n", "bits"]
 
     def run(batches):
         seen: set[int] = set()
         sigs, names, n = [], [], 0
         for batch in batches:
             for part in slices(batch, 0):
+                classes = []
                 for own in shingle_sets(texts_of(part, 0), width):
                     if len(own) and (name := set_hash(own)) not in seen:
                         seen.add(name)
@@ -85,6 +103,10 @@ def signature_edges(docs: DataFrame, text_col: str, width: int, levels: Levels,
                         sigs.append(s)
                         names.append(np.full(len(s), name, np.int64))
                         n += len(s)
+                        if len(s):
+                            classes.append((name, len(own), bitmap(own, wide_enough(len(own)))))
+                if classes:
+                    yield from described(classes)
                 if n >= GATHERED:
                     yield from flush(sigs, names)
                     sigs, names, n = [], [], 0
@@ -92,18 +114,58 @@ def signature_edges(docs: DataFrame, text_col: str, width: int, levels: Levels,
         if n:
             yield from flush(sigs, names)
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "sig long, a long, b long")
-    met = rows.withColumn("b", F.coalesce("b", F.when(F.col("sig").isNotNull(), F.min("a").over(Window.partitionBy("sig", F.when(F.col("sig").isNull(), F.col("a")))))))
-    return met.where("a <> b").select("a", "b").dropDuplicates()
+    rows = written(spark, docs.select(F.col(text_col).cast("string")).mapInArrow(run, "sig long, h long, kind byte, n long, bits binary"), "signatures")
+    of = Window.partitionBy("sig")
+    met = rows.where("kind < 2").select("sig", "h", "kind").withColumn("head", F.min("h").over(of)).where("h <> head or kind = 1")
+    met = written(spark, met, "met")
+    heads = written(spark, met.where("kind = 1").groupBy("sig").agg(F.min("head").alias("head")), "heads")
+    rest = looked_up(rows.where("kind = 2").select("sig", "h"), heads, "sig", "inner")
+    pairs = met.select("h", "head").union(rest.select("h", "head")).where("h <> head").dropDuplicates()
+    groups = written(spark, pairs.union(pairs.select("head", "head").dropDuplicates()), "groups")
+    kept = written(spark, sieved(groups, rows.where("kind = 3").select("h", "n", "bits"), levels.percent), "kept")
+    for used in (rows, met, heads, groups):
+        forget(spark, used)
+    return kept
+
 
+def sieved(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows (h, head) of groups whose bitmaps leave a similar partner possible."""
+    spark = groups.sparkSession
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, clusters: DataFrame) -> DataFrame:
-    """id, n, h (class) of every row, and the shingles once a task for classes in a cluster."""
+    def run(batches):
+        head, held = None, []
+        for batch in batches:
+            kept: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[0] != head:
+                    kept += left(held)
+                    head, held = row[0], []
+                held.append(row)
+            if kept:
+                yield rows_of(kept)
+        if kept := left(held):
+            yield rows_of(kept)
+
+    def left(held: list[tuple]) -> list[tuple[int, int]]:
+        return [(held[i][1], held[i][0]) for i in possible([x[3] for x in held], [x[2] for x in held], percent)] if len(held) > 1 else []
+
+    def rows_of(kept: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["h", "head"])
+
+    large = written(spark, groups.groupBy("head").count().where(F.col("count") > SIEVED), "large")
+    marked = looked_up(groups, large, "head")
+    once = classes.groupBy("h").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    small = marked.where("count is null").select("h", "head").join(once, "h").select("head", "h", "n", "bits")
+    some = small.repartition("head").sortWithinPartitions("head").mapInArrow(run, "h long, head long")
+    return some.union(marked.where("count is not null").select("h", "head"))
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """id, n, h (class) of every row, and the shingles once a task for the wanted classes."""
     spark = docs.sparkSession
-    n = clusters.count()
-    few = n <= BROADCAST_CLASSES
-    wanted = np.sort(clusters.select("h").toArrow()["h"].to_numpy()) if few else None
-    shared = spark.sparkContext.broadcast(wanted)  # at most BROADCAST_CLASSES names; else every set goes on to the join
+    few = wanted.count() <= BROADCAST_CLASSES
+    names_ = np.sort(wanted.select("h").toArrow()["h"].to_numpy()) if few else None
+    shared = spark.sparkContext.broadcast(names_)  # at most BROADCAST_CLASSES names; else every set goes on to the join
 
     def run(batches):
         seen: set[int] = set()
@@ -129,60 +191,101 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, clusters:
     return source.mapInArrow(run, f"id {kind}, n long, h long, shingles binary")
 
 
-def tree_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the similar classes of each cluster."""
-    blocks = sets.select("h", "n").dropDuplicates(["h"]).join(clusters, "h").groupBy("cluster").agg((F.sum("n") / BLOCK_SHINGLES).cast("int").alias("more"))
-    own = sets.dropDuplicates(["h"]).join(clusters.join(blocks, "cluster"), "h")
-    block = F.when(F.col("more") > 0, F.pmod(F.xxhash64("h"), F.col("more") + 1).cast("int")).otherwise(0)
-    dealt = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "h", "shingles")
-
-    def joined(rows: list[tuple[int, int, bytes]], cross: bool):
-        sets_ = [np.frombuffer(s, np.uint64) for _, _, s in rows]
-        side = [b != rows[0][0] for b, _, _ in rows] if cross else None
-        found = linked(sets_, percent, side)
-        return [rows[i][1] for i, _ in found], [rows[r][1] for _, r in found]
+def tree_tasks(dealt: DataFrame, percent: int) -> DataFrame:
+    """Joins every (head, x, y) of rows (head, x, y, side, centre, h, shingles) by signature trees.
+
+    Without sides (null) all rows are joined with one another, else those of side 0 with those of side 1.
+    Gives edges (a, b) of a spanning forest; where a centre is given, also (a, null, head) for every
+    class a that isn't in the centre's component then.
+    """
+
+    def joined(key: tuple, rows: list[tuple]):
+        names = [h for _, _, h, _ in rows]
+        sets = [np.frombuffer(own, np.uint64) for *_, own in rows]
+        found = linked(sets, percent, None if rows[0][0] is None else [bool(side) for side, *_ in rows])
+        for i, r in found:
+            yield names[i], names[r], None
+        if rows[0][1] is not None:
+            root = dict(found)
+            centre = names.index(rows[0][1])
+            centre = root.get(centre, centre)
+            for i, h in enumerate(names):
+                if root.get(i, i) != centre:
+                    yield h, None, key[0]
 
     def run(batches):
-        key, held = None, []
-        a, b = [], []
+        key, held, out = None, [], []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for cluster, x, y, block_, h, own_ in zip(*columns, strict=True):
-                if (cluster, x, y) != key:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for head, x, y, *row in zip(*columns, strict=True):
+                if (head, x, y) != key:
                     if len(held) > 1:
-                        more = joined(held, key[1] != key[2])
-                        a += more[0]
-                        b += more[1]
-                    key, held = (cluster, x, y), []
-                held.append((block_, h, own_))
+                        out += joined(key, held)
+                    key, held = (head, x, y), []
+                held.append(tuple(row))
+            if len(out) >= GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "head"])
+                out = []
         if len(held) > 1:
-            more = joined(held, key[1] != key[2])
-            a += more[0]
-            b += more[1]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long")
+            out += joined(key, held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "head"])
+
+    dealt = dealt.select("head", "x", "y", "side", "centre", "h", "shingles")
+    return dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(run, "a long, b long, head long")
+
+
+def tree_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Written edges (a, b) that join the similar classes of each group; sets (h, n, shingles) may repeat."""
+    spark = sets.sparkSession
+    sizes = sets.groupBy("h").agg(F.first("n").alias("n"))
+    large = groups.join(sizes, "h").groupBy("head").agg((F.sum("n") / BLOCK_SHINGLES).cast("int").alias("more"), F.min("h").alias("centre")).where("more > 0")
+    large = written(spark, large, "large")
+    own = sets.groupBy("h").agg(F.first("shingles").alias("shingles"))
+    own = looked_up(groups.join(own, "h"), large, "head").withColumn("more", F.coalesce("more", F.lit(0)))
+    block = F.pmod(F.xxhash64("h"), F.col("more") + 1).cast("int")
+    all_ = F.sequence(F.lit(0), F.col("more"))
+    dealt = own.withColumn("x", F.explode(F.when(F.col("h") == F.col("centre"), all_).otherwise(F.array(block))))
+    found = [written(spark, tree_tasks(dealt.withColumns({"y": F.lit(0), "side": F.lit(None).cast("int")}), percent), "links")]
+    rest = written(spark, found[0].where("head is not null").select(F.col("a").alias("h"), "head").dropDuplicates(), "rest")
+    if rest.limit(1).count():
+        # of large groups, what isn't like the centre: against every block, in parts of a block's size
+        parts = written(spark, rest.join(sizes, "h").groupBy("head").agg((F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts")), "parts")
+        some = looked_up(own, parts, "head", "inner")
+        left = some.withColumns({"x": block, "y": F.explode(F.sequence(F.lit(0), F.col("parts"))), "side": F.lit(0)})
+        right = some.join(rest, ["h", "head"], "left_semi").withColumns({"x": F.explode(all_), "y": F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts") + 1).cast("int"), "side": F.lit(1)})
+        found.append(written(spark, tree_tasks(left.unionByName(right).withColumn("centre", F.lit(None).cast("long")), percent), "links"))
+        forget(spark, parts)
+    edges = found[0].where("b is not null")
+    for more in found[1:]:
+        edges = edges.union(more)
+    roots = components(spark, edges.select("a", "b"))
+    for used in (*found, rest, large):
+        forget(spark, used)
+    return roots
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles and component_id of every row: rows link at Jaccard similarity >= percent / 100."""
     spark = docs.sparkSession
-    frequent = frequent_shingles(docs, text_col, width)
-    stars = components(spark, signature_edges(docs, text_col, width, Levels(percent), frequent))
-    clusters = stars.select(F.col("v").alias("h"), F.col("r").alias("cluster")).union(stars.select("r", "r").dropDuplicates())
-    clusters = written(spark, clusters, "clusters")
-    forget(spark, stars)
-    every = written(spark, shingled(docs, id_col, text_col, width, clusters), "shingles")
-    roots = components(spark, tree_links(every.where("shingles is not null").select("h", "n", "shingles"), clusters, percent))
-    forget(spark, clusters)
-
-    classes = every.where("h is not null").groupBy("h").agg(F.min("id").alias("least"))
-    classes = classes.join(roots.select(F.col("v").alias("h"), "r"), "h", "left").select("h", F.coalesce("r", "h").alias("root"), "least")
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "root").select("h", "component_id")
-    out = every.select("id", "n", "h").join(named, "h", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    groups = signature_groups(docs, text_col, width, Levels(percent), frequent_shingles(docs, text_col, width))
+    wanted = written(spark, groups.select("h").dropDuplicates(), "wanted")
+    held = written(spark, shingled(docs, id_col, text_col, width, wanted), "shingles")
+    roots = tree_links(held.where("shingles is not null").select("h", "n", "shingles"), groups, percent)
+    every = written(spark, held.select("id", "n", "h"), "classes")
+    for used in (groups, wanted, held):
+        forget(spark, used)
+
+    # only classes of several rows, or linked ones, have another name than their row's
+    classes = every.where("h is not null").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    linked_ = roots.select(F.col("v").alias("h"), "r").union(roots.select("r", "r").dropDuplicates())
+    classes = written(spark, classes.join(linked_, "h", "left").where("rows > 1 or r is not null").select("h", F.coalesce("r", "h").alias("root"), "least"), "named")
+    names = written(spark, classes.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = written(spark, looked_up(classes, names, "root").select("h", "component_id", F.lit(True).alias("known")), "named")
+    for used in (roots, classes, names):
+        forget(spark, used)
+    out = looked_up(every, named, "h")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Entries of a worker's cache of word hashes; a full one is emptied between slices.
 CACHE = 80_000
 #: Sizes of one level of signatures lie within this factor.
-LEVEL = 1.35
-#: A set of which less than this share is left without the frequent shingles is taken whole.
-LEAST_KEPT = 0.6
+LEVEL = 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,16 +59,14 @@ def set_hash(own: np.ndarray) -> int:
 
 
 class Levels:
-    """Pigeonhole signatures for Jaccard similarity >= percent / 100.
-
-    Two such sets of at most r shingles differ in at most k = (100 - p) * 2r / (100 + p) of them. Split
-    the shingles by hash into k + 1 + s parts: at least s + 1 parts are equal in both. So the two share
-    a non-empty part, or s + 1 empty ones. A set emits the hashes of its non-empty parts at its level
-    of sizes, and at the next if a partner may lie there.
-
-    Very frequent shingles may be left out of all sets: what is left differs in no more than k. A set
-    that keeps too little of itself emits its whole parts instead, and one in between both, so that
-    every pair meets in one way or the other.
+    """Prefix signatures by levels of sizes, for Jaccard similarity >= percent / 100.
+
+    In any one order of all shingles, two such sets of n and m shingles share at least percent / 100 of
+    the larger, so each has one of the shared ones among its first n - ceil(n * percent / 100) + 1: those
+    prefixes meet. The order is by hash, with the shingles that are frequent in a sample last, so
+    that prefixes are rare; which are taken as frequent changes how many sets meet by chance, not
+    which similar ones must. A set signs its prefix at its level of sizes, and at the next if a
+    partner may lie there, so that sets of very different sizes do not meet.
     """
 
     def __init__(self, percent: int):
@@ -79,59 +74,27 @@ class Levels:
         self.bounds = [0]
         while self.bounds[-1] < 1 << 32:
             low = self.bounds[-1] + 1
-            self.bounds.append(max(low * 100 // percent, int(low * LEVEL)))
+            self.bounds.append(max(low * 100 // percent, low * LEVEL))
         self.upper = np.array(self.bounds)
 
-    def differing(self, size: int) -> int:
-        return (100 - self.percent) * 2 * size // (100 + self.percent)
-
-    def differing_from(self, size: int) -> int:
-        """The most shingles in which a set of this size and a similar one differ."""
-        return (100 - self.percent) * (size + size * 100 // self.percent) // (100 + self.percent)
-
-    def parts(self, level: int) -> int:
-        k = self.differing(self.bounds[level])
-        return k + 4 + k // 6
-
     def of(self, size: int) -> list[int]:
         level = int(np.searchsorted(self.upper, size))
         return [level] if size * 100 // self.percent <= self.bounds[level] else [level, level + 1]
 
     def signatures(self, sets: list[np.ndarray], frequent: np.ndarray | None = None) -> list[np.ndarray]:
-        """The int64 signatures of each set."""
+        """The int64 signatures of each set; none if only an equal set could be similar."""
         return [self._own(own, frequent) for own in sets]
 
     def _own(self, own: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
         n = len(own)
-        out = []
-        rest = own
-        if n and frequent is not None and len(frequent):
+        if 100 * n < self.percent * (n + 1):
+            return np.zeros(0, np.int64)
+        length = n - -(-self.percent * n // 100) + 1
+        if frequent is not None and len(frequent):
             at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-            rest = own[frequent[at] != own]
-        for level in self.of(n) if n else ():
-            k = self.differing(self.bounds[level])
-            if not k:
-                continue  # only equal sets are similar
-            # If a set keeps less than the share a of itself, similar ones keep less than a * 100 / p.
-            if len(rest) >= LEAST_KEPT * n:
-                out.append(self._parts(rest, n, level, 0))
-            if len(rest) < min(1.0, LEAST_KEPT * 100 / self.percent + 1e-9) * n and len(rest) < n:
-                out.append(self._parts(own, n, level, 1))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def _parts(self, own: np.ndarray, size: int, level: int, way: int) -> np.ndarray:
-        parts = self.parts(level)
-        of = ((own & _LOW) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        mixed = mix(own)
-        count = np.bincount(of, minlength=parts)
-        low = np.bincount(of, (mixed & _LOW).astype(np.float64), parts).astype(np.uint64)
-        high = np.bincount(of, (mixed >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 24 | way << 60)
-        keys = mix(mix(low * _M1 + high) + mix(place))[count > 0]
-        if np.count_nonzero(count) <= min(self.differing_from(size), self.differing(self.bounds[level])):
-            # a partner may differ in each of the few non-empty parts
-            keys = np.append(keys, np.uint64(xxhash.xxh3_64_intdigest(repr((level, way)))))
-        return keys.view(np.int64)
+            rare = frequent[at] != own
+            own = np.concatenate([own[rare], own[~rare]])
+        return np.concatenate([mix(own[:length] + np.array([level], np.uint64) * _M1) for level in self.of(n)]).view(np.int64)
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
