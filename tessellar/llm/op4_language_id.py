@@ -3,14 +3,21 @@
 Texts are lower-cased, everything that isn't a letter becomes one space, and the 1- to 3-grams of
 what is left are hashed into a fixed number of buckets. Training counts buckets by language in the
 executors; the driver gets languages x buckets sums, turns them into a matrix of log probabilities
-and broadcasts it. Scoring gathers the matrix at the hashes of a whole batch and sums by document.
+and broadcasts it. Scoring gathers the matrix at the hashes of a whole batch and sums by document;
+only the text crosses to Python, all other columns stay where they are.
 
 Training uses only rows with a language whose crc32(id) mod 5 isn't 0, and of those a sample of
 about TRAIN_ROWS whole texts, chosen by a hash of the id (a documented bound; scoring has none).
 
-Defined cases: null text, or text without a letter, is `und` with score 0; without training rows
-everything is `und`; ties go to the alphabetically first language; a row without id is neither held
-out nor trained on; repeated rows give repeated rows; other columns are ignored.
+The score says which language is likelier than the others; `fit`, the mean log probability of a gram
+under the predicted one, says whether the text looks like any learned language at all.
+
+Defined cases: null text, or text without a letter, is `und` with score 0 and no fit; without training
+rows everything is `und`, and an empty table gives an empty result; ties go to the alphabetically first
+language; a very long text is scored whole, like any other; a row without id is neither held out nor
+trained on; repeated rows give repeated rows; other columns are ignored, whatever their names (the
+result's own names must not be among those asked to be carried). More than MOST_LANGUAGES languages are
+refused, since the matrix is broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessellar.llm.common import slices, table, texts_of
 
@@ -31,6 +37,8 @@ GRAMS = 3
 #: About so many labelled rows are learned from, of all languages together.
 TRAIN_ROWS = 20_000
 UNKNOWN = "und"
+#: The matrix is broadcast: at most 4 * BUCKETS * MOST_LANGUAGES bytes (64 MB).
+MOST_LANGUAGES = 256
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 _letters: list[np.ndarray] = []
@@ -90,6 +98,9 @@ def counted(labelled: DataFrame, text_col: str, lang_col: str) -> dict[str, np.n
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     out: dict[str, np.ndarray] = {}
+    n_langs = labelled.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} holds more than {MOST_LANGUAGES} languages")
     summed = labelled.select(text_col, lang_col).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = summed.toArrow()  # at most languages x BUCKETS
     for lang, bucket, n in zip(rows["lang"].to_pylist(), rows["bucket"].to_numpy(), rows["n"].to_numpy(), strict=True):
@@ -112,37 +123,40 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows
 
 
 def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (id_col if None), lang_pred and score (the posterior with evidence tempered
-    by the root of its length)."""
+    """The carried columns (id_col if None), lang_pred, score (the posterior with evidence tempered by
+    the root of its length) and fit."""
     carry = [id_col] if carry is None else carry
-    spark = docs.sparkSession
     langs, matrix = model
-    shared = spark.sparkContext.broadcast(matrix)  # languages x BUCKETS floats, whatever the corpus
-
-    def run(batches):
-        logs = shared.value
-        for batch in batches:
-            last = batch.num_columns - 1
-            for part in slices(batch, last):
-                found, n_kept, n_letters = grams(texts_of(part, last))
-                starts = np.cumsum(n_kept) - n_kept
-                known = (n_letters > 0) & bool(langs)
-                pred, score = np.full(len(n_kept), UNKNOWN, object), np.zeros(len(n_kept))
-                if known.any():
-                    total = np.stack([sum(np.add.reduceat(row[g], starts, dtype=np.float64) for g in found) for row in logs])
-                    best = total.argmax(axis=0)
-                    odds = np.exp((total - total.max(axis=0)) / np.sqrt(n_kept))
-                    pred[known] = np.array(langs, object)[best[known]]
-                    score[known] = (odds.max(axis=0) / odds.sum(axis=0))[known]
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(pred, pa.string()), pa.array(score)], schema.names)
-
-    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(carry)), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(carry)})
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # at most MOST_LANGUAGES x BUCKETS floats
+    names = ["lang_pred", "score", "fit"]
+
+    def part_of(texts: list[str]) -> list[pa.Array]:
+        found, n_kept, n_letters = grams(texts)
+        starts = np.cumsum(n_kept) - n_kept
+        known = (n_letters > 0) & bool(langs)
+        pred, score, fit = np.full(len(n_kept), UNKNOWN, object), np.zeros(len(n_kept)), np.zeros(len(n_kept))
+        if known.any():
+            total = np.stack([sum(np.add.reduceat(row[g], starts, dtype=np.float64) for g in found) for row in shared.value])
+            best, most = total.argmax(axis=0), total.max(axis=0)
+            odds = np.exp((total - most) / np.sqrt(n_kept))
+            pred[known] = np.array(langs, object)[best[known]]
+            score[known] = (odds.max(axis=0) / odds.sum(axis=0))[known]
+            fit[known] = (most / (GRAMS * n_kept))[known]
+        return [pa.array(pred, pa.string()), pa.array(score), pa.array(fit, mask=~known)]
+
+    @F.arrow_udf("lang_pred string, score double, fit double")
+    def scores(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [pa.StructArray.from_arrays(part_of(texts_of(part, 0)), names) for part in slices(batch, 0)]
+        return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays(part_of([""]), names)[:0]
+
+    # as if not deterministic: else a filter on the result would evaluate it once more
+    scored = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(carry)), scores.asNondeterministic()(F.col(text_col).cast("string")).alias("found"))
+    return scored.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(carry)), *(F.col(f"found.{n}") for n in names))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id(docs, train(docs, "doc_id", "text", "lang"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "fit")

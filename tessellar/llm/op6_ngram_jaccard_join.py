@@ -42,7 +42,7 @@ GATHERED = 400_000
 #: Members of a group up to which its bitmaps are joined first; a larger one goes on to the sets at once.
 SIEVED = 1_000
 #: Shingles of one block of a group, about.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 200_000
 #: Documents whose shingles are counted to find frequent ones: so many and a share of all.
 SAMPLED, SAMPLED_SHARE = 5_000, 0.02
 #: Shingles in so many sampled documents are frequent; at most so many are broadcast (8 bytes each).

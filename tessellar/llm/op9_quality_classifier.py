@@ -7,16 +7,20 @@
 3. Sites: expected numbers of good documents are summed by (host, path), then by host, then over
    all. The spread between hosts, and between paths of a host, gives each level's prior strength by
    moments; a path's posterior shrinks to its host's, a host's to the global mean, so sparse sites
-   follow their parents. A document's own evidence is left out of its site's.
+   follow their parents. A document's own evidence is left out of its path's and its host's.
 4. A document's log odds are its own evidence plus the shift of its path from the global mean.
 
 Host and path are columns, for `documents` its source and, below it, its language section. Every sum
 is an aggregation with partial sums; the site table is broadcast only up to BROADCAST_SITES rows and
-otherwise joined under salted keys, so a host with a third of all rows is never one task.
-
-Defined cases: null text or text without words has score 0 and is rejected; a head without labels of
-both classes abstains (its documents are kept); null host or path is a site of its own; labels of
-one id given more than once count as the worst of them; repeated rows give repeated rows.
+otherwise joined under keys salted by row, so a host with a third of all rows is never one task.
+
+Defined cases: null text or text without words has score 0 and is rejected; a very long text is scored
+whole; a head without labels of both classes abstains (its documents are kept); null host or path is
+a site of its own; a document alone at its host has the global mean as its prior; labels of one id
+given more than once count as the worst of them, and an id with several texts is learned from one of
+them; a score of exactly 0.5 is good, a toxic score of 0.5 is toxic; repeated rows give repeated rows; an
+empty table gives an empty result; other columns are ignored, whatever their names (the result's own
+names must not be among those asked to be carried).
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessellar.llm.common import claim, slices, table, texts_of, written
 
@@ -138,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 keep = [i for i, f in enumerate(found) if f]
                 yield pa.RecordBatch.from_arrays([pa.array([found[i][0].astype(np.int32) for i in keep], pa.list_(pa.int32())), pa.array([found[i][1] for i in keep], pa.list_(pa.float64())), *(part.column(c).take(pa.array(keep, pa.int64())) for c in (1, 2))], ["words", "shape", "good", "toxic"])
 
-    # the sample is bounded by train_rows, so its side may be broadcast
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    # the sample is bounded by train_rows, so its side may be broadcast; one text of each id keeps it bounded
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    joined = texts.groupBy("id", "good", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("one.text", "good", "toxic")
     rows = joined.select("text", "good", "toxic").mapInArrow(run, "words array<int>, shape array<double>, good int, toxic int").toArrow()
     words = rows["words"].combine_chunks()
     shape = np.array(rows["shape"].to_pylist()).reshape(-1, SHAPE)
@@ -161,21 +165,21 @@ def evidence(model: dict, text: str) -> tuple[float | None, float | None]:
     return tuple(None if h is None else float(h[0][own].sum(dtype=np.float64) + unit @ h[1]) for h in (model["heads"]["low"], model["heads"]["toxic"]))
 
 
-def scored(docs: DataFrame, model: dict, text_col: str, carry: list[str]) -> DataFrame:
-    """The carried columns with z_low, z_toxic (log odds) and blank (no words)."""
+def scored(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
+    """docs with z_low, z_toxic (log odds) and blank (no words) in place of the text; only the text crosses to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a head
+    names = ["z_low", "z_toxic", "blank"]
 
-    def run(batches):
-        for batch in batches:
-            last = batch.num_columns - 1
-            for part in slices(batch, last):
-                out = [evidence(shared.value, t) if t.split() else None for t in texts_of(part, last)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], *(pa.array([o and o[k] for o in out], pa.float64()) for k in range(2)), pa.array([o is None for o in out])], [*names, "z_low", "z_toxic", "blank"])
+    @F.arrow_udf("z_low double, z_toxic double, blank boolean")
+    def odds(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+            out += [evidence(shared.value, t) if t.split() else None for t in texts_of(part, 0)]
+        return pa.StructArray.from_arrays([*(pa.array([o and o[k] for o in out], pa.float64()) for k in range(2)), pa.array([o is None for o in out], pa.bool_())], names)
 
-    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(carry)), F.col(text_col).cast("string").alias("text"))
-    names = [f"k{i}" for i in range(len(carry))]
-    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in ("z_low", "z_toxic")), T.StructField("blank", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    kept = [c for c in docs.columns if c != text_col]
+    found = docs.select(*kept, odds.asNondeterministic()(F.col(text_col)).alias("found"))
+    return found.select(*kept, *(F.col(f"found.{n}") for n in names))
 
 
 def between(n_groups: float, total: float, squares: float, spread: float, mean: float) -> float:
@@ -186,8 +190,9 @@ def between(n_groups: float, total: float, squares: float, spread: float, mean:
     return min(max(noise / variance - 1, 1.0), 1e6) if variance > 1e-12 and noise > 0 else 1e6
 
 
-def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float, float]:
-    """rows (host, path, p) -> (host, path, n, p_sum, host_posterior), the global mean, the paths' strength."""
+def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """rows (host, path, p) -> (host, path, n, p_sum, host_n, host_sum, host_posterior), the global mean, the
+    strengths of hosts and of paths."""
     paths = written(rows.sparkSession, rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("p_sum")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("p_sum").alias("host_sum"))
     total = hosts.agg(F.sum("host_n"), F.sum("host_sum")).first()
@@ -195,10 +200,10 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float, float]:
     m = F.col("host_sum") / F.col("host_n")
     of_hosts = hosts.agg(F.count("*"), F.sum(F.col("host_n").cast("double") ** 2), F.sum(F.col("host_n") * (m - mean) ** 2)).first()
     strength = between(of_hosts[0], n, of_hosts[1] or 0, of_hosts[2] or 0, mean)
-    posteriors = hosts.select("host", ((strength * mean + F.col("host_sum")) / (strength + F.col("host_n"))).alias("host_posterior"))
+    posteriors = hosts.select("host", "host_n", "host_sum", ((strength * mean + F.col("host_sum")) / (strength + F.col("host_n"))).alias("host_posterior"))
     sites = paths.join(posteriors, "host")
     of_paths = sites.agg(F.count("*"), F.sum(F.col("n").cast("double") ** 2), F.sum(F.col("n") * (F.col("p_sum") / F.col("n") - F.col("host_posterior")) ** 2)).first()
-    return sites, mean, between(of_paths[0], n, of_paths[1] or 0, of_paths[2] or 0, mean)
+    return sites, mean, strength, between(of_paths[0], n, of_paths[1] or 0, of_paths[2] or 0, mean)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", carry: list[str] | None = None, model: dict | None = None) -> DataFrame:
@@ -209,24 +214,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     carry = [id_col] if carry is None else carry
     model = model or train(docs, labels, id_col, text_col)
-    site = docs.select("*", F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("__path"))
-    rows = written(spark, scored(site, model, text_col, [*carry, "__host", "__path"]), "scored")
     names = [f"k{i}" for i in range(len(carry))]
-    h, p = f"k{len(carry)}", f"k{len(carry) + 1}"
+    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    source = docs.select(*(F.col(c).alias(n) for n, c in zip(names, carry, strict=True)), site(host_col).alias("host"), site(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
+    rows = written(spark, scored(source, model, "text"), "scored")
     own = 1 / (1 + F.exp(F.least(F.greatest(F.col("z_low"), F.lit(-30.0)), F.lit(30.0))))
-    rows = rows.withColumnsRenamed({h: "host", p: "path"}).withColumn("p", F.when(F.col("blank"), 0.0).otherwise(F.coalesce(own, F.lit(1.0))))
-    sites, mean, strength = site_posteriors(rows)
+    rows = rows.withColumn("p", F.when(F.col("blank"), 0.0).otherwise(F.coalesce(own, F.lit(1.0))))
+    sites, mean, of_hosts, of_paths = site_posteriors(rows)
+    sites = sites.drop("host_posterior")
     if sites.count() <= BROADCAST_SITES:
         joined = rows.join(F.broadcast(sites), ["host", "path"])
     else:
         salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("z_low", "z_toxic"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+        joined = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda x: F.log(clip(x) / (1 - clip(x)))
-    path_posterior = (strength * F.col("host_posterior") + F.col("p_sum") - F.col("p")) / (strength + F.col("n") - 1)
+    # both levels without the document itself
+    host_posterior = (of_hosts * mean + F.col("host_sum") - F.col("p")) / (of_hosts + F.col("host_n") - 1)
+    path_posterior = (of_paths * F.col("host_posterior") + F.col("p_sum") - F.col("p")) / (of_paths + F.col("n") - 1)
     z = odds(F.col("p")) + odds(F.col("path_posterior")) - odds(F.lit(float(mean)))
     toxic = F.coalesce(1 / (1 + F.exp(-F.least(F.greatest(F.col("z_toxic"), F.lit(-30.0)), F.lit(30.0)))), F.lit(0.0))
-    out = joined.withColumn("path_posterior", path_posterior).withColumn("score", F.when(F.col("blank"), 0.0).when(F.col("z_low").isNull(), 1.0).otherwise(1 / (1 + F.exp(-z)))).withColumn("toxic_score", toxic)
+    out = joined.withColumn("host_posterior", host_posterior).withColumn("path_posterior", path_posterior)
+    out = out.withColumn("score", F.when(F.col("blank"), 0.0).when(F.col("z_low").isNull(), 1.0).otherwise(1 / (1 + F.exp(-z)))).withColumn("toxic_score", toxic)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), F.col("p").alias("doc_score"), "host_posterior", "path_posterior", "score", "toxic_score", ((F.col("score") >= 0.5) & (F.col("toxic_score") < 0.5)).alias("kept"))
 
 

@@ -1,8 +1,9 @@
 """The word-level BPE vocabulary: identifiers by the tokenizers library, counts by heap merging.
 
-Both sides rest on one fact about this tokenizer: white space separates tokens and is dropped, so
-the pieces between spaces and newlines are encoded independently. Each distinct piece is encoded
-once and kept in a bounded cache.
+Both sides rest on two facts about this tokenizer: white space separates tokens and is dropped, and
+runs of letters and of punctuation are encoded by themselves. So each distinct run is encoded once
+and kept in a bounded cache; what holds any other character goes to the library's own rules as a whole
+piece between spaces.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from array import array
 
 import numpy as np
 
-from tessellar.llm.common import claim, gather
+from tessellar.llm.common import claim
 
-#: Entries of a worker's piece cache; a full cache is emptied between slices.
-CACHE = 150_000
-#: A run of ASCII or Latin-1 letters and a run of punctuation without apostrophes or angle
-#: brackets: lower-casing and splitting these needs no Unicode tables.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:*$%&#|()\"/-]*)")
+#: Entries of each of a worker's two generations of runs, and the longest run kept: bounds the bytes.
+CACHE, KEPT = 120_000, 48
+#: ASCII or Latin-1 letters, and punctuation without apostrophes or angle brackets: lower-casing and
+#: splitting these needs no Unicode tables.
+RUN = re.compile(r"[a-zß-öø-ÿ]+|[.,!?;:*$%&#|()\"/-]+")
+OTHER = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,!?;:*$%&#|()\"/\- \n]")
+SPACE = re.compile(r"[ \n]")
 
 
 def default_path() -> str:
@@ -40,73 +43,82 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
-def pieces_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+#: The same as a table for str.translate over Latin-1.
+_TABLE = {b: letter for b, letter in LETTERS.items() if chr(b) != letter}
 
 
-class PieceIds(dict):
-    """piece -> number of its entry in a growing list of identifier runs."""
+class Runs(dict):
+    """run -> value, in two generations: what is used again moves to the young one, the rest goes."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def value(self, run: str):
+        """Of letters or of punctuation."""
+        raise NotImplementedError
+
+    def other(self, piece: str):
+        """Of anything else without spaces."""
+        raise NotImplementedError
+
+    def __missing__(self, run: str):
+        found = self.old.get(run)
+        if found is None:
+            found = self.other(run) if OTHER.search(run) else self.value(run)
+        if len(run) <= KEPT:
+            self[run] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    def values_of(self, text: str) -> list:
+        """The values of a text's runs and other pieces, in order."""
+        look, at, out = self.__getitem__, 0, []
+        other = OTHER.search(text)
+        while other:
+            start = max(at, text.rfind(" ", at, other.start()) + 1, text.rfind("\n", at, other.start()) + 1)
+            space = SPACE.search(text, other.end())
+            end = space.start() if space else len(text)
+            out += map(look, RUN.findall(text[at:start].lower()))
+            out.append(look(text[start:end]))
+            at = end
+            other = OTHER.search(text, at)
+        out += map(look, RUN.findall(text[at:].lower() if at else text.lower()))
+        return out
+
+
+class PieceIds(Runs):
+    """run -> its identifiers as bytes."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Word -> place and number of its identifiers in the list.
-        self.words: dict[str, int] = {}
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
-        self.words.clear()
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
-
-    def append(self, word: str) -> None:
-        """Adds the word's identifiers to the list."""
-        found = self.words.get(word)
-        if found is None:
-            at = len(self.flat)
-            self.flat.extend(t.id for t in self.tokenizer.model.tokenize("".join(LETTERS[b] for b in word.encode())))
-            self.words[word] = at << 32 | len(self.flat) - at
-        else:
-            at = found >> 32
-            self.flat.extend(self.flat[at : at + (found & 0xFFFFFFFF)])
-
-    def __missing__(self, piece: str) -> int:
-        plain = PLAIN.fullmatch(piece)
-        at = len(self.flat)
-        if plain:
-            for word in plain.groups():
-                if word:
-                    self.append(word.lower())
-        else:
-            self.flat.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self.starts.append(at)
-        self.sizes.append(len(self.flat) - at)
-        self[piece] = n = len(self.starts) - 1
-        return n
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def value(self, run: str) -> bytes:
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(_TABLE)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def other(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 identifiers of each text."""
-        if len(self) > CACHE or len(self.words) > CACHE:
-            self.empty()
-        numbers, counts = [], []
-        look = self.__getitem__
-        for text in texts:
-            own = list(map(look, pieces_of(text)))
-            counts.append(len(own))
-            numbers += own
-        at = np.array(numbers, np.int64)
-        sizes = np.array(self.sizes, np.int64)[at]
-        ids = gather(np.array(self.flat, np.uint32), np.array(self.starts, np.int64)[at], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        return np.split(ids, ends[:-1])
-
-
-class PieceCounts(dict):
-    """piece -> its number of tokens, by merging pairs and counting the merges."""
+        self.trim()
+        return [np.frombuffer(b"".join(self.values_of(t)), np.uint32) for t in texts]
+
+
+class PieceCounts(Runs):
+    """run -> its number of tokens, by merging pairs and counting the merges."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
@@ -125,7 +137,6 @@ class PieceCounts(dict):
         self.inner = [self.vocab[LETTERS[b]] for b in range(256)]
         self.last = [self.vocab[LETTERS[b] + self.end] for b in range(256)]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]))
-        self.words: dict[str, int] = {}
 
     def merged(self, raw: bytes) -> int:
         """Symbols left of one word: initial symbols less merges."""
@@ -163,30 +174,17 @@ class PieceCounts(dict):
                     heapq.heappush(heap, (found[0], h, found[1], symbol[h], new, i))
         return left
 
-    def word(self, word: str) -> int:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self.merged(word.encode())
-        return found
+    def value(self, run: str) -> int:
+        return self.merged(run.encode())
 
-    def __missing__(self, piece: str) -> int:
-        plain = PLAIN.fullmatch(piece)
-        if plain:
-            n = self.word(plain[1].lower()) + self.word(plain[2])
-        else:
-            n = sum(1 for _ in self.special.finditer(piece))
-            for part in self.special.split(piece):
-                n += sum(self.merged(bytes(map(self.byte_of.__getitem__, word))) for word, _ in self.split(self.normalized(part)))
-        self[piece] = n
+    def other(self, piece: str) -> int:
+        n = sum(1 for _ in self.special.finditer(piece))
+        for part in self.special.split(piece):
+            n += sum(self.merged(bytes(map(self.byte_of.__getitem__, word))) for word, _ in self.split(self.normalized(part)))
         return n
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, pieces_of(text)))
-
-    def trim(self) -> None:
-        if len(self) > CACHE or len(self.words) > CACHE:
-            self.clear()
-            self.words.clear()
+        return sum(self.values_of(text))
 
 
 _loaded: dict = {}

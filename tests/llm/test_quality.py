@@ -23,7 +23,7 @@ def test_held_out_accuracy(tables):
 
 def test_sites_shrink_to_their_parents(spark):
     rows = [("big", "a", 0.9)] * 400 + [("big", "b", 0.1)] * 400 + [("other", "x", 0.9)] * 300 + [("tiny", "t", 0.0)]
-    sites, mean, strength = op9.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    sites, mean, _, strength = op9.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
     assert abs(mean - np.mean([r[2] for r in rows])) < 1e-9
     own = {(r.host, r.path): r for r in sites.collect()}
     assert own["tiny", "t"].host_posterior > 0.2 > own["tiny", "t"].p_sum
