@@ -5,22 +5,28 @@ script and style text). Subtrees that are never an article's text go: by element
 and so on), by role, when hidden, or when a whole class or id says so (comments, cookie-notice,
 left-sidebar; not no-sidebar or content-sidebar-wrap). What holds a main element or an article (but
 one marked itself, as comments are), or more than half of the page's points and no other article
-or main has any, is never dropped by its name. Of what is left each paragraph passes points for its length and its
+or main has any, is never dropped by its name; nor is what lies inside an article, has a good part of
+its points and is named by a word that prose may have too (tags, notice). Of what is left each paragraph passes points for its length and its
 commas to its ancestors, halved with every level and discounted by the share of its text in links.
-The container with the most points wins; an article or main element around it is preferred whole,
-else all that stands beside it (text, lists, tables, paragraphs of any length) is kept with it, but
+The container with the most points wins; an article or main element around it is preferred whole, with
+those beside it that aren't mostly links, else all that stands beside it (text, lists, tables, paragraphs of any length) is kept with it, but
 for what is mostly links.
 
 All text of the chosen nodes is returned in page order: character references are decoded, white
 space inside a block becomes one space, blocks are joined by one space.
 
 Defined cases: null or empty html gives an empty text and 0 characters; a page without paragraphs
-gives what is left of its body; repeated rows give repeated rows; other columns are ignored.
-Map-only: no shuffle, memory bounded by one slice of pages; time linear in a page's length.
+gives what is left of its body; a comment, script or declaration without an end reaches to the end of the
+page, and CDATA is a comment, as in browsers; of containers with equal points the first met wins; repeated
+rows give repeated rows; an empty table gives an empty result; other columns are ignored, whatever their
+names. Map-only: no shuffle, memory bounded by one slice of pages. Time is linear in a page's length for
+any markup: open elements are found by lists of their places, and no character is searched twice for
+the end of a tag but for one search of each kind of quote.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 
@@ -30,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tessellar.llm.common import slices, table, texts_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -60,6 +67,10 @@ HEAD_WORDS = frozenset("header topbar site-header".split())
 NEUTRAL = frozenset("left right top bottom upper lower first second primary secondary main global site page pages post posts article articles entry entries story stories blog news user area bar block body box btn button buttons col column container count form group head heading icon icons inline inner item items label link links list outer panel row section small sticky strip text title unit wrap wrapper slot zone".split())
 #: These words mark by themselves only: beside others they name a state, a list of results or the like.
 ALONE = frozenset("hidden skip search alert".split())
+#: Words that name parts of an article's prose as well; inside one they drop only what has little of it.
+PROSE_WORDS = frozenset("alert aside header hidden masthead notice notices notification recommended related search skip tags topbar widget widgets".split())
+#: Such a part is kept with at least this share of its article's points.
+PROSE_SHARE = 0.25
 #: What stands beside the best container stays if less than this share of its text is in links.
 MOST_LINKS = 0.5
 NEVER_BY_NAME = frozenset("html body article main".split())
@@ -67,25 +78,28 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article m
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "named", "score", "own", "commas", "links", "article")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "prose", "score", "own", "commas", "links", "article", "around")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
-        self.dropped = self.named = False
+        self.dropped = self.named = self.prose = False
+        #: The nearest block or root above.
+        self.around = parent if parent is None or parent.parent is None or parent.tag in BLOCKS else parent.around
         self.score = 0.0
         self.own = self.commas = self.links = 0  # characters and commas of its direct text, characters in links
         self.article = parent is not None and (parent.article or parent.tag in ("article", "main"))
 
 
-def marked(value: str, inside: bool) -> bool:
-    """Whether a whole class or id among those given marks what isn't an article's text."""
+def marks_of(value: str, inside: bool) -> set[str]:
+    """The words by which whole classes or ids among those given mark what isn't an article's text."""
+    out: set[str] = set()
     for token in value.split():
         words = [w.lower() for w in WORDS.findall(token)]
         marks = [w for w in words if w in DROPPED_WORDS or not inside and w in HEAD_WORDS]
         if marks and (len(words) == 1 or any(w not in ALONE for w in marks) and all(w in marks or w in NEUTRAL for w in words)):
-            return True
-    return False
+            out.update(marks)
+    return out
 
 
 def boilerplate(tag: str, attributes: str) -> bool:
@@ -105,69 +119,133 @@ def boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def by_name(attributes: str, inside: bool) -> bool:
-    return any(name.lower() in ("class", "id") and marked(a or b or c, inside) for name, a, b, c in ATTRIBUTE.findall(attributes))
+def by_name(attributes: str, inside: bool) -> set[str]:
+    return {w for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in marks_of(a or b or c, inside)}
+
+
+class Ends:
+    """Where tags end. Searches go forwards and remember what they found, so that none is repeated."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.clear = (0, 0)  # from, to: no stop in between
+        self.plain = (0, 0)  # likewise for ">"
+        #: Opening quotes after which no tag ends.
+        self.doomed: set[int] = set()
+
+    def stop(self, at: int) -> int:
+        if not self.clear[0] <= at <= self.clear[1]:
+            found = STOP.search(self.page, at)
+            self.clear = at, found.start() if found else len(self.page)
+        return self.clear[1]
+
+    def of(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name ends at `at`, outside quotes if they are closed; -1 if none does."""
+        page, passed = self.page, []
+        now = self.stop(at)
+        while now < len(page) and page[now] != ">" and now not in self.doomed:
+            passed.append(now)
+            close = page.find(page[now], now + 1)
+            if close < 0:
+                break
+            now = self.stop(close + 1)
+        if now < len(page) and page[now] == ">":
+            return now
+        self.doomed.update(passed)
+        if not self.plain[0] <= at <= self.plain[1]:
+            self.plain = at, page.find(">", at) % (len(page) + 1)
+        return self.plain[1] if self.plain[1] < len(page) else -1
+
+
+class Open:
+    """The open elements, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Ends the element at a place and all in it."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags; 0, the root's, if none is open."""
+        return max((own[-1] for tag in tags if (own := self.places.get(tag))), default=0)
+
+    def end(self, tags, border) -> None:
+        """Ends what is open of the tags inside the innermost border: p alone the innermost, else from the outermost on."""
+        edge = self.last(border)
+        if tags == {"p"}:
+            at = self.last(tags)
+        else:
+            at = min((own[k] for tag in tags if (own := self.places.get(tag)) and (k := bisect.bisect(own, edge)) < len(own)), default=0)
+        if at > edge:
+            self.cut(at)
 
 
 def parse(page: str) -> Node:
-    root = here = Node("#root", None)
-    at, n = 0, len(page)
-    while at < n:
-        found = TOKEN.search(page, at)
-        if found is None:
-            here.parts.append(page[at:])
+    root = Node("#root", None)
+    opened, ends = Open(root), Ends(page)
+    at = text = 0
+    n = len(page)
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 == n:
             break
-        if found.start() > at:
-            here.parts.append(page[at : found.start()])
-        at = found.end()
-        closing, tag, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
-        if tag is None:
-            if page.startswith("<![CDATA[", found.start()):
-                here.parts.append(page[found.start() + 9 : at - 3].replace("&", "&amp;"))
+        name = TAG_NAME.match(page, start + 1)
+        if name is None and page[start + 1] not in "!?":
+            at = start + 1
+            continue
+        if name is None:
+            end = page.find("-->" if page.startswith("<!--", start) else ">", start + 2)
+            after = n if end < 0 else end + (3 if page.startswith("<!--", start) else 1)
+        else:
+            end = ends.of(name.end())
+            if end < 0:
+                break  # no tag ends any more
+            after = end + 1
+        here = opened.nodes[-1]
+        if start > text:
+            here.parts.append(page[text:start])
+        at = text = after
+        if name is None:
             continue
-        tag = tag.lower()
+        closing, tag, attributes = name[1], name[2].lower(), page[name.end() : end]
         if closing:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in BLOCKS:
-                    up = root  # an inline end tag doesn't leave a cell
-                    break
-                up = up.parent
-            if up.parent is not None:
-                here = up.parent
+            place = opened.last((tag,))
+            if tag not in BLOCKS and place < opened.last(("td", "th", "table")):
+                continue  # an inline end tag doesn't leave a cell
+            if place:
+                opened.cut(place)
             elif tag == "p":
                 here.parts.append(Node("p", here))
             continue
         if tag in CLOSES_P:
-            here = closed(here, {"p"}, {"table", "td", "th", "button", "object"})
+            opened.end({"p"}, ("table", "td", "th", "button", "object"))
         if tag in ENDS:
-            here = closed(here, *ENDS[tag])
+            opened.end(*ENDS[tag])
+        here = opened.nodes[-1]
         node = Node(tag, here)
         node.dropped = here.dropped or boilerplate(tag, attributes) or tag == "header" and not node.article
-        node.named = bool(attributes) and not node.dropped and tag not in ("html", "body") and by_name(attributes, node.article)
+        if attributes and not node.dropped and tag not in ("html", "body"):
+            words = by_name(attributes, node.article)
+            node.named, node.prose = bool(words), bool(words) and node.article and words <= PROSE_WORDS
         here.parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not attributes.endswith("/"):
-            here = node
-        elif tag not in VOID and tag not in ("svg", "path"):
-            here = node  # "/>" doesn't close an HTML element
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = text = close.end() if close else n
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path")):
+            opened.push(node)  # "/>" doesn't close an HTML element
+    if text < n:
+        opened.nodes[-1].parts.append(page[text:])
     return root
 
 
-def closed(here: Node, tags: set[str], border: set[str]) -> Node:
-    """Where an opening element stands after it has ended those of the tags that are open."""
-    up, out = here, here
-    while up.parent is not None and up.tag not in border:
-        if up.tag in tags:
-            out = up.parent
-            if tags == {"p"}:
-                break
-        up = up.parent
-    return out
-
-
 def gathered(root: Node) -> tuple[list[Node], list[Node]]:
     """What isn't dropped, parents first, and its blocks with their direct text, that of inline elements included."""
     nodes, blocks = [], []
@@ -217,16 +295,20 @@ def drop_named(root: Node) -> None:
             if article or id(node) in holds:
                 holds.add(id(node.parent))
     around = {id(root): 0}  # articles with points that a node is in
+    of_article = {id(root): 0.0}  # points of the innermost one
     for node in nodes:
         up = node.parent
         if up is None:
             continue
+        of_article[id(node)] = inner[id(up)] if up.tag in ("article", "main") else of_article[id(up)]
         around[id(node)] = around[id(up)] + ((up.tag == "main" or up.tag == "article" and not up.named) and inner[id(up)] > 0)
         if up.dropped:
             node.dropped = True
         elif node.named and node.tag not in NEVER_BY_NAME and id(node) not in holds:
             most = inner[id(node)] > inner[id(root)] / 2
             node.dropped = not most or articles > around[id(node)]
+            if node.dropped and node.prose:
+                node.dropped = inner[id(node)] < PROSE_SHARE * of_article[id(node)]
 
 
 def scored(root: Node) -> list[Node]:
@@ -235,14 +317,13 @@ def scored(root: Node) -> list[Node]:
     for block in gathered(root)[1]:
         if block.own < 1 or block.tag not in PARAGRAPHS:
             continue
-        up, share = (block if block.tag in ("div", "section", "article", "main", "body") else block.parent), 1.0
+        up, share = (block if block.tag in ("div", "section", "article", "main", "body") else block.around), 1.0
         own = points(block)
         while up is not None and share > 0.05:
-            if up.tag in BLOCKS or up.parent is None:
-                up.score += own * share
-                containers[id(up)] = up
-                share /= 2
-            up = up.parent
+            up.score += own * share
+            containers[id(up)] = up
+            share /= 2
+            up = up.around
     return list(containers.values())
 
 
@@ -260,8 +341,7 @@ def chosen(root: Node) -> list[str | Node]:
         up = up.parent
     if whole is not None:
         outer = whole.parent
-        alike = [x for x in outer.parts if isinstance(x, Node) and x.tag == whole.tag and not x.dropped and (x is whole or x.score > 0.2 * whole.score)]
-        return alike
+        return [x for x in outer.parts if isinstance(x, Node) and x.tag == whole.tag and not x.dropped and (x is whole or few_links([x]))]
     if top.parent is None or top.tag in ("body", "html"):
         return [top]
     return [x for run in runs(top.parent.parts) if top in run or few_links(run) for x in run]

@@ -16,12 +16,15 @@ number of distinct vectors, a multiply-add for each pair and dimension (see the
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 without id, link with nothing (n_links 0, their own component); vectors of different lengths don't
-link; repeated rows link with each other; other columns are ignored. Classes are named by 64-bit
-hashes.
+link; repeated rows link with each other; a vector of very many dimensions is compared whole; of equal
+candidates for a component's name the smallest id is taken; an empty table gives an empty result; other
+columns are ignored, whatever their names. Classes are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -29,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.llm.common import forget, table, written
-from tessellar.llm.components import components
+from tessellar.llm.components import components, looked_up
 
-#: Vectors of one block, about, and rows of a tile.
-BLOCK, TILE = 8192, 1024
+#: Vectors of one block at most, about; the least of one that is cut to keep all cores busy; rows of a tile.
+BLOCK, LEAST_BLOCK, TILE = 8192, 1024, 1024
 #: Pairs computed again at once.
 AGAIN = 50_000
 #: Rounding of a double-precision cosine stays below this.
@@ -97,11 +100,15 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     v = F.col("v")
     sound = F.coalesce(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # half the bytes; computed in double precision
+    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
     source = source.withColumn("h", F.when(sound, F.xxhash64("v", F.size("v"))))
     kind = source.schema["id"].dataType.simpleString()
     classes = written(spark, source.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
-    blocks = max(1, -(-classes.count() // block))
+    n_classes = classes.count()
+    # pairs of blocks are tasks: at least two for each core, if there is work for them
+    wanted = math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1
+    blocks = max(1, -(-n_classes // block), min(wanted, n_classes // LEAST_BLOCK))
     own = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
     dealt = classes.select("h", "copies", "v", F.size("v").alias("d"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("d", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h", "copies", "v")
@@ -146,10 +153,12 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.groupBy("h").agg(F.sum("links").alias("links"))
     named = classes.select("h", "least", "copies").join(links, "h", "left").join(roots.select(F.col("v").alias("h"), "r"), "h", "left")
     named = named.select("h", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("r", "h").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(spark, named.join(names, "root").select("h", "n_links", "component_id"), "named")
-    forget(spark, found)
-    out = source.select("id", "h").join(named, "h", "left")
+    named = written(spark, named, "named")
+    names = written(spark, named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    known = written(spark, looked_up(named, names, "root").select("h", "n_links", "component_id"), "named")
+    for used in (found, roots, classes, named, names):
+        forget(spark, used)
+    out = looked_up(source.select("id", "h"), known, "h")
     component = F.coalesce("component_id", "id").cast(kind)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

@@ -1,12 +1,18 @@
 """Telephony audio columns: G.711 and ADPCM decoding to resampled PCM.
 
 Mu-law and A-law bytes are expanded through 256-entry tables made from the coding rule. IMA ADPCM
-blocks all have one length but the last, which may be shorter, so numpy steps through the samples of a block with every block of a
-recording side by side. PCM is resampled by linear interpolation in integers and stored as WAV.
-
-Defined cases: null or unreadable media has null results; silence (no samples) has zero features;
-repeated rows give repeated rows; other columns are ignored. Map-only: no shuffle, memory bounded by
-one slice of media.
+blocks all have one length but the last of a recording, which may be shorter, so numpy steps through the
+samples of a block with every block of a slice of recordings side by side. PCM is resampled by linear
+interpolation in integers and stored as WAV.
+
+`decode_media` decodes recordings of any of these formats. `text_audio` stores the bytes of texts in
+each of the three coded formats, reads every file back, decodes it and gives the digests of the first
+(mu-law), its PCM file and the features of all three.
+
+Defined cases: null or unreadable media has null results; null text is empty, one unit of filling; silence
+(no samples) has zero features; a very long text is one recording, held a few times over by its task;
+repeated rows give repeated rows, equal texts equal values; an empty table gives an empty result; other
+columns are ignored, whatever their names. Map-only: no shuffle, memory bounded by one slice of media.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import slices, table, texts_of
+from tessellar.llm.common import SLICE_BYTES, slices, table, texts_of
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE, STORED_RATE = 8000, 16000
@@ -146,9 +152,10 @@ def decode_media(media: DataFrame, id_col: str, media_col: str, rate: int = STOR
         for batch in batches:
             for part in slices(batch, 1):
                 pcm, feature = [], []
-                for raw in part.column(1).to_pylist():
-                    found = read_wav(raw) if raw is not None else None
-                    samples = expand(found[0], found[2], found[3]) if found else None
+                files = [read_wav(raw) if raw is not None else None for raw in part.column(1).to_pylist()]
+                decoded = iter(decode_all([f for f in files if f]))
+                for found in files:
+                    samples = next(decoded) if found else None
                     if samples is not None:
                         samples = resample(samples, found[1], rate)
                     pcm.append(None if samples is None else wav(samples.astype("<i2").tobytes(), PCM, rate, 16))
@@ -165,26 +172,56 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, bytes([FILL]))
 
 
+def decode_all(files: list[tuple[int, int, int, bytes]]) -> list[np.ndarray | None]:
+    """16-bit samples of files as read_wav gives them; ADPCM files of whole, equal blocks are decoded side by side."""
+    out: list[np.ndarray | None] = [None] * len(files)
+    together: dict[int, list[int]] = {}
+    for i, (tag, _, block, data) in enumerate(files):
+        if tag == IMA and block > 4 and len(data) % block == 0:
+            together.setdefault(block, []).append(i)
+        else:
+            out[i] = expand(tag, block, data)
+    for block, own in together.items():
+        samples = decode_ima(b"".join(files[i][3] for i in own), block)
+        ends = np.cumsum([len(files[i][3]) // block * (2 * (block - 4) + 1) for i in own])
+        for i, part in zip(own, np.split(samples, ends[:-1]), strict=True):
+            out[i] = part
+    return out
+
+
+#: Format, bits of a sample and bytes of a block of the forms in which a payload is stored; UNIT is a whole number of blocks.
+FORMS = {"mulaw": (MULAW, 8, 1), "alaw": (ALAW, 8, 1), "adpcm": (IMA, 4, UNIT // 4)}
+
+
 def text_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = STORED_RATE) -> DataFrame:
-    """Stores every text as mu-law audio, reads it back and digests payload, file and decoded PCM."""
+    """Stores every text as mu-law, A-law and ADPCM audio and reads it back: digests of payload and
+    mu-law file, the features of each decoded form (`feature` of mu-law), and mu-law's PCM file."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                rows = []
-                for text in texts_of(part, 1):
-                    n, payload = payload_of(text)
-                    media = wav(payload, MULAW, RATE, 8)
-                    tag, stored_rate, block, data = read_wav(media)
-                    tail = data[-32:]
-                    rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), features(resample(expand(tag, block, data), stored_rate, rate), rate)))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
+            for part in slices(batch, 1, SLICE_BYTES // 4):  # PCM takes twelve times the text
+                sizes, payloads = zip(*map(payload_of, texts_of(part, 1)), strict=True)
+                stored = {name: [wav(p, tag, RATE, bits, block) for p in payloads] for name, (tag, bits, block) in FORMS.items()}
+                files = {name: list(map(read_wav, own)) for name, own in stored.items()}
+                pcm = {name: [resample(x, f[1], rate) for x, f in zip(decode_all(own), own, strict=True)] for name, own in files.items()}
+                media, data = stored["mulaw"], [f[3] for f in files["mulaw"]]
+                columns = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array(map(len, data), pa.int64()),
+                    pa.array([hashlib.sha256(d).hexdigest() for d in data]),
+                    pa.array([zlib.crc32(d[-32:]) for d in data], pa.int64()),
+                    pa.array(map(len, media), pa.int64()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+                    *(pa.array([features(x, rate) for x in pcm[name]]) for name in FORMS),
+                    pa.array([wav(x.astype("<i2").tobytes(), PCM, rate, 16) for x in pcm["mulaw"]], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *names])
+
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "alaw_feature", "adpcm_feature", "pcm"]
+    kinds = ["long", "long", "string", "long", "long", "string", "string", "string", "string", "binary"]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, " + ", ".join(map(" ".join, zip(names, kinds, strict=True)))).withColumnRenamed("id", id_col)
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
