@@ -11,8 +11,10 @@ rank among the pieces of its length says which bin takes it.
 Hot lengths are ranked in salted parts (a window over a bounded number of rows), never in one task.
 
 Defined cases: null text is empty (a single end token, a piece of length 1); a document longer than
-the capacity is cut into full pieces and a rest; repeated rows are packed as often as they come; an
-empty table gives an empty result; other columns are ignored.
+the capacity is cut into full pieces and a rest; of pieces of equal length the smaller id takes the
+earlier place, and of pairs that fit equally well the one with the shorter first; repeated rows are packed
+as often as they come; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ so the work is linear, and the identifiers are those of rank-ordered merging.
 A border between two pieces lies before every space that follows a non-space: no match of the
 pattern crosses it. Distinct pieces are encoded once and kept in a bounded cache.
 
-Defined cases: null text is empty (no tokens, digests of nothing); repeated rows give repeated rows;
-other columns are ignored. Map-only: no shuffle.
+Defined cases: null text is empty (no tokens, digests of nothing); a very long text is encoded whole, its
+bytes and identifiers held at once; of entries that could follow, the longest that rank-ordered merging
+allows is taken, so there are no ties; repeated rows give repeated rows; an empty table gives an empty
+result; other columns are ignored, whatever their names. Map-only: no shuffle.
 """
 
 from __future__ import annotations

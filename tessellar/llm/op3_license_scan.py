@@ -19,8 +19,10 @@ A text whose words as a whole don't match a template has no matching block. All
 data: it doesn't grow with the corpus. Two map-only passes; the only exchange sums frequencies of
 template words (a few hundred rows).
 
-Defined cases: null text is empty (no words, no labels, score 0); repeated rows give repeated rows;
-other columns are ignored.
+Defined cases: null text is empty (no words, no labels, score 0); a very long text is scanned whole; of
+blocks with equal scores all are reported, in order of place; a label found more than once stands once;
+repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ def letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Buckets of the 1-, 2- and 3-grams that start at each kept letter or space; the number kept of
     each text, and its number of letters. Grams don't cross texts: each text starts and ends with
-    GRAMS spaces."""
+    GRAMS spaces, and its last ones are kept as what follows, not as what starts a gram."""
     pad = " " * GRAMS
     lowered = [pad + t.lower() + pad for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -66,16 +66,20 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     kept[0] = True
     starts = np.cumsum(sizes) - sizes
     kept[starts] = True  # and one in front
+    begins = kept.copy()
+    for k in range(1, GRAMS):
+        kept[starts + sizes - k] = True
+        begins[starts + sizes - k] = False
     n_letters = np.add.reduceat(is_letter, starts, dtype=np.int64)
-    n_kept = np.add.reduceat(kept, starts, dtype=np.int64)
-    codes = codes[kept]
+    n_kept = np.add.reduceat(begins, starts, dtype=np.int64)
+    codes, begins = codes[kept], begins[kept]
     out = []
     mixed = np.zeros(len(codes), np.uint32)
     for n in range(GRAMS):
         shifted = np.zeros_like(codes)
         shifted[: len(codes) - n] = codes[n:] + np.uint32(1)
         mixed = mixed * np.uint32(0x01000193) ^ shifted * _FACTORS[n]
-        out.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64))
+        out.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16))[begins].astype(np.int64))
     return out, n_kept, n_letters
 
 

@@ -8,7 +8,8 @@
    which pairs must meet.
 3. A signature tree of each group's bitmaps (about a sixteenth of a set) leaves the classes that can
    have a similar partner there. Only their sets are fetched.
-4. Each group that is left is joined by a signature tree of the sets. A group too large for a task is
+4. Each group that is left is joined by a signature tree of the sets: a class first in one of its groups,
+   then where a tree of bitmaps leaves a similar class of another component possible. A group too large for a task is
    cut into blocks that all hold one class: near copies link to it or to one another in their block, and
    only the classes that end outside that one's component are compared with the other blocks too.
 5. Components of the links found, then of all documents through their classes.
@@ -41,12 +42,12 @@ from tessellar.llm.signature_tree import bitmap, linked, possible, wide_enough
 GATHERED = 400_000
 #: Members of a group up to which its bitmaps are joined first; a larger one goes on to the sets at once.
 SIEVED = 1_000
-#: Shingles of one block of a group, about.
-BLOCK_SHINGLES = 200_000
+#: Shingles and classes of one block of a group at most, about; parts compared with every block are bound by shingles only.
+BLOCK_SHINGLES, BLOCK_CLASSES = 500_000, 250
 #: Documents whose shingles are counted to find frequent ones: so many and a share of all.
 SAMPLED, SAMPLED_SHARE = 5_000, 0.02
 #: Shingles in so many sampled documents are frequent; at most so many are broadcast (8 bytes each).
-FREQUENT, MOST_FREQUENT = 4, 1_000_000
+FREQUENT, MOST_FREQUENT = 2, 1_000_000
 #: Grouped classes up to which their names are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_CLASSES = 2_000_000
 
@@ -67,8 +68,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy().view(np.uint64))
 
 
-def signature_groups(docs: DataFrame, text_col: str, width: int, levels: Levels, frequent: np.ndarray) -> DataFrame:
-    """Written table (h, head) of the groups' members that may have a similar partner there."""
+def signature_groups(docs: DataFrame, text_col: str, width: int, levels: Levels, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (h, head) of the groups' members that may have a similar partner there, and (h, n, bits) of all members."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT hashes
 
@@ -122,21 +123,25 @@ def signature_groups(docs: DataFrame, text_col: str, width: int, levels: Levels,
     rest = looked_up(rows.where("kind = 2").select("sig", "h"), heads, "sig", "inner")
     pairs = met.select("h", "head").union(rest.select("h", "head")).where("h <> head").dropDuplicates()
     groups = written(spark, pairs.union(pairs.select("head", "head").dropDuplicates()), "groups")
-    kept = written(spark, sieved(groups, rows.where("kind = 3").select("h", "n", "bits"), levels.percent), "kept")
+    members = groups.select("h").dropDuplicates()
+    described_ = rows.where("kind = 3").groupBy("h").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = written(spark, described_.join(members, "h", "left_semi"), "bitmaps")
+    kept = sieved(groups.withColumn("r", F.lit(None).cast("long")), classes, levels.percent)
     for used in (rows, met, heads, groups):
         forget(spark, used)
-    return kept
+    return kept, classes
 
 
 def sieved(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The rows (h, head) of groups whose bitmaps leave a similar partner possible."""
+    """Written rows (h, head) of groups (h, head, r) whose bitmaps leave a similar partner possible: one of
+    another known component r, if r is given."""
     spark = groups.sparkSession
 
     def run(batches):
         head, held = None, []
         for batch in batches:
             kept: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if row[0] != head:
                     kept += left(held)
                     head, held = row[0], []
@@ -147,17 +152,21 @@ def sieved(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield rows_of(kept)
 
     def left(held: list[tuple]) -> list[tuple[int, int]]:
-        return [(held[i][1], held[i][0]) for i in possible([x[3] for x in held], [x[2] for x in held], percent)] if len(held) > 1 else []
+        if len(held) < 2:
+            return []
+        known = [x[4] for x in held] if held[0][4] is not None else None
+        return [(held[i][1], held[i][0]) for i in possible([x[3] for x in held], [x[2] for x in held], percent, known)]
 
     def rows_of(kept: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["h", "head"])
 
     large = written(spark, groups.groupBy("head").count().where(F.col("count") > SIEVED), "large")
     marked = looked_up(groups, large, "head")
-    once = classes.groupBy("h").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    small = marked.where("count is null").select("h", "head").join(once, "h").select("head", "h", "n", "bits")
+    small = marked.where("count is null").join(classes, "h").select("head", "h", "n", "bits", "r")
     some = small.repartition("head").sortWithinPartitions("head").mapInArrow(run, "h long, head long")
-    return some.union(marked.where("count is not null").select("h", "head"))
+    kept = written(spark, some.union(marked.where("count is not null").select("h", "head")), "kept")
+    forget(spark, large)
+    return kept
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -235,45 +244,66 @@ def tree_tasks(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(run, "a long, b long, head long")
 
 
-def tree_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Written edges (a, b) that join the similar classes of each group; sets (h, n, shingles) may repeat."""
+def tree_links(sets: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Written (v, r) of the components of similar classes over all groups; sets (h, n, shingles) may repeat.
+
+    A class first goes to one of its groups only, that of its smallest head: near copies share several. Of the
+    groups that then hold several components follow the classes that may be similar to one of another.
+    """
+    spark = sets.sparkSession
+    first = groups.groupBy("h").agg(F.min("head").alias("head"))
+    edges = group_links(sets, first, percent)
+    known = components(spark, edges)
+    at = written(spark, looked_up(groups, known.select(F.col("v").alias("h"), "r"), "h").select("h", "head", F.coalesce("r", "h").alias("r")), "at")
+    apart = written(spark, at.groupBy("head").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select("head", F.lit(True).alias("apart")), "apart")
+    open_ = sieved(looked_up(at, apart, "head", "inner").select("h", "head", "r"), classes, percent)
+    again = written(spark, open_.select("h").dropDuplicates(), "wanted")
+    more = group_links(looked_up(sets, again, "h", "left_semi"), open_, percent)
+    roots = components(spark, known.select(F.col("v").alias("a"), F.col("r").alias("b")).union(more))
+    for used in (edges, known, at, apart, open_, again, more):
+        forget(spark, used)
+    return roots
+
+
+def group_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Written edges (a, b) that join the similar classes of each group."""
     spark = sets.sparkSession
     sizes = sets.groupBy("h").agg(F.first("n").alias("n"))
-    large = groups.join(sizes, "h").groupBy("head").agg((F.sum("n") / BLOCK_SHINGLES).cast("int").alias("more"), F.min("h").alias("centre")).where("more > 0")
+    large = groups.join(sizes, "h").groupBy("head").agg(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES).cast("int").alias("more"), F.min("h").alias("centre")).where("more > 0")
     large = written(spark, large, "large")
     own = sets.groupBy("h").agg(F.first("shingles").alias("shingles"))
     own = looked_up(groups.join(own, "h"), large, "head").withColumn("more", F.coalesce("more", F.lit(0)))
     block = F.pmod(F.xxhash64("h"), F.col("more") + 1).cast("int")
     all_ = F.sequence(F.lit(0), F.col("more"))
     dealt = own.withColumn("x", F.explode(F.when(F.col("h") == F.col("centre"), all_).otherwise(F.array(block))))
-    found = [written(spark, tree_tasks(dealt.withColumns({"y": F.lit(0), "side": F.lit(None).cast("int")}), percent), "links")]
-    rest = written(spark, found[0].where("head is not null").select(F.col("a").alias("h"), "head").dropDuplicates(), "rest")
+    found = written(spark, tree_tasks(dealt.withColumns({"y": F.lit(0), "side": F.lit(None).cast("int")}), percent), "links")
+    edges = found.where("b is not null").select("a", "b")
+    rest = written(spark, found.where("head is not null").select(F.col("a").alias("h"), "head").dropDuplicates(), "rest")
+    used = [large, rest]
     if rest.limit(1).count():
         # of large groups, what isn't like the centre: against every block, in parts of a block's size
         parts = written(spark, rest.join(sizes, "h").groupBy("head").agg((F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts")), "parts")
         some = looked_up(own, parts, "head", "inner")
         left = some.withColumns({"x": block, "y": F.explode(F.sequence(F.lit(0), F.col("parts"))), "side": F.lit(0)})
         right = some.join(rest, ["h", "head"], "left_semi").withColumns({"x": F.explode(all_), "y": F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts") + 1).cast("int"), "side": F.lit(1)})
-        found.append(written(spark, tree_tasks(left.unionByName(right).withColumn("centre", F.lit(None).cast("long")), percent), "links"))
-        forget(spark, parts)
-    edges = found[0].where("b is not null")
-    for more in found[1:]:
-        edges = edges.union(more)
-    roots = components(spark, edges.select("a", "b"))
-    for used in (*found, rest, large):
-        forget(spark, used)
-    return roots
+        again = written(spark, tree_tasks(left.unionByName(right).withColumn("centre", F.lit(None).cast("long")), percent), "links")
+        edges = written(spark, edges.union(again.select("a", "b")), "links")
+        used += [parts, again, found]
+    for x in used:
+        forget(spark, x)
+    edges.written_at = getattr(edges, "written_at", found.written_at)
+    return edges
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles and component_id of every row: rows link at Jaccard similarity >= percent / 100."""
     spark = docs.sparkSession
-    groups = signature_groups(docs, text_col, width, Levels(percent), frequent_shingles(docs, text_col, width))
+    groups, classes = signature_groups(docs, text_col, width, Levels(percent), frequent_shingles(docs, text_col, width))
     wanted = written(spark, groups.select("h").dropDuplicates(), "wanted")
     held = written(spark, shingled(docs, id_col, text_col, width, wanted), "shingles")
-    roots = tree_links(held.where("shingles is not null").select("h", "n", "shingles"), groups, percent)
+    roots = tree_links(held.where("shingles is not null").select("h", "n", "shingles"), groups, classes, percent)
     every = written(spark, held.select("id", "n", "h"), "classes")
-    for used in (groups, wanted, held):
+    for used in (groups, classes, wanted, held):
         forget(spark, used)
 
     # only classes of several rows, or linked ones, have another name than their row's

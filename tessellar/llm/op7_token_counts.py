@@ -3,8 +3,9 @@
 A word starts as one symbol a byte. A heap holds the mergeable adjacent pairs by rank; the lowest
 is popped and merged until none is left, so a word's count is its symbols less its merges, and no
 identifier is emitted. Words are counted once and kept in a bounded cache. Null text counts as
-empty: 0 bytes, 0 tokens. Repeated rows give repeated rows; other columns are ignored. Map-only:
-no shuffle, memory bounded by one slice of text and the cache.
+empty: 0 bytes, 0 tokens. A very long text is counted whole; of pairs with equal rank the leftmost merges
+first; repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored,
+whatever their names. Map-only: no shuffle, memory bounded by one slice of text and the cache.
 """
 
 from __future__ import annotations

@@ -21,10 +21,12 @@ FANOUT = 8
 
 
 class Node:
-    __slots__ = ("bits", "low", "high", "surplus", "children", "item", "one")
+    __slots__ = ("bits", "low", "high", "surplus", "children", "item", "one", "root")
 
     def __init__(self, children: list[Node], item: int = -1):
         self.children, self.item, self.one = children, item, item >= 0
+        #: The known component in which all of it lies.
+        self.root = children[0].root if children and all(c.root == children[0].root for c in children) else None
         if children:
             self.bits = 0
             for c in children:
@@ -87,13 +89,15 @@ def may_match(a: Node, b: Node, p: int) -> bool:
     return min(a.high, b.high, (a.bits & b.bits).bit_count() + min(a.surplus, b.surplus)) >= need
 
 
-def possible(bits: list[bytes], sizes: list[int], percent: int) -> list[int]:
-    """Items whose bitmaps leave a similar partner among the others possible."""
+def possible(bits: list[bytes], sizes: list[int], percent: int, known: list | None = None) -> list[int]:
+    """Items whose bitmaps leave a similar partner among the others possible; among those of another component, where components are known."""
     width = min(map(len, bits))
     leaves = [leaf(i, folded(b, width), n) for i, (b, n) in enumerate(zip(bits, sizes, strict=True))]
     leaves.sort(key=lambda x: (x.bits & -x.bits, x.low))
     for node in leaves:
         node.one = False
+    for node in leaves if known else ():
+        node.root = known[node.item]
     root = grown(leaves)
     found: list[int] = []
 
@@ -105,7 +109,7 @@ def possible(bits: list[bytes], sizes: list[int], percent: int) -> list[int]:
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if marked(a) and marked(b):
+        if marked(a) and marked(b) or a.root is not None and a.root == b.root:
             continue
         if a is b:
             kids = a.children
