@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,26 +38,63 @@ def compact(text: Column) -> Column:
 
 def term_matches(term: str, text: Column) -> Column:
     """Whether a lower-case term occurs: short Latin terms as words, others as substrings or, from
-    four characters, as substrings of the compact text or within a token or around one."""
-    for old, new in SPELLINGS:
-        term, text = term.replace(old, new), F.replace(text, F.lit(old), F.lit(new))
+    four characters, as substrings of the compact text or with a token of four or more inside them."""
+    return _matches(term, text, compact(text), _spelled(tokenize(text)))
+
+
+def _matches(term: str, text: Column, squeezed: Column | None, tokens: Column | None) -> Column:
+    """Terms of ASCII alone are matched by patterns that need neither the compact text nor its tokens."""
     if term.isascii() and term.isalpha() and len(term) <= 3:
         return text.rlike(rf"(^|[^a-z0-9]){term}([^a-z0-9]|$)")
+    latin = term.isascii()
+    if not latin:
+        for old, new in SPELLINGS:
+            term, text = term.replace(old, new), F.replace(text, F.lit(old), F.lit(new))
     out = text.contains(term)
-    squeezed = "".join(c for c in term if not c.isspace() and c not in "_-")
-    if len(squeezed) >= 4:
-        out = out | compact(text).contains(squeezed)
-    if len(term) >= 4:
-        out = out | F.exists(tokenize(text), lambda t: (F.length(t) >= 4) & (t.contains(term) | F.lit(term).contains(t)))
+    bare = "".join(c for c in term if not c.isspace() and c not in "_-")
+    if len(bare) >= 4:
+        out = out | (text.rlike(r"[\s_-]*".join(map(re.escape, bare))) if latin else squeezed.contains(bare))
+    # a token around the term is found by the text's substring already; those within it are few
+    within = sorted({term[i : i + n] for n in range(4, len(term)) for i in range(len(term) - n + 1)})
+    if within and latin:
+        edge, whole = "[^0-9a-z가-힣_-]", [w for w in within if re.fullmatch("[0-9a-z](?:[0-9a-z_-]*[0-9a-z])?", w)]
+        if whole:
+            out = out | text.rlike(rf"(?:^|{edge})[_-]*(?:{'|'.join(whole)})(?:{'|'.join(PARTICLES)})?[_-]*(?:$|{edge})")
+    elif within:
+        out = out | F.arrays_overlap(tokens, F.array(*map(F.lit, within)))
     return out
 
 
 def lexical_score(terms: list[str], text: Column) -> Column:
-    """Share of the terms that match; 0 without terms."""
+    """Share of the terms that match; 0 without terms.
+
+    Lower case and, where a term needs them, compact text and tokens are the one element of an array, so
+    that all terms share them.
+    """
     if not terms:
         return F.lit(0.0)
     low = F.lower(text)
-    return sum((F.when(term_matches(t, low), 1.0).otherwise(0.0) for t in terms), F.lit(0.0)) / len(terms)
+    given = [low.alias("low")]
+    if not all(t.isascii() for t in terms):
+        given += [compact(low).alias("compact"), _spelled(tokenize(low)).alias("tokens")]
+
+    def share(one: Column) -> Column:
+        rest = [one[n] for n in ("compact", "tokens")] if len(given) > 1 else [None, None]
+        found = (F.when(_matches(t, one["low"], *rest), 1.0).otherwise(0.0) for t in terms)
+        return sum(found, F.lit(0.0)) / len(terms)
+
+    return F.transform(F.array(F.struct(*given)), share)[0]
+
+
+def _spelled(tokens: Column) -> Column:
+    """Tokens in today's spelling."""
+
+    def today(token: Column) -> Column:
+        for old, new in SPELLINGS:
+            token = F.replace(token, F.lit(old), F.lit(new))
+        return token
+
+    return F.transform(tokens, today)
 
 
 def signal_score(words: list[str], text: Column, enough: int = 3) -> Column:

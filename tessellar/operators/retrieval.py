@@ -77,14 +77,15 @@ def top_k(rows: DataFrame, score: Column, k: int, key: str = "chunk_id") -> Data
 
 
 def neighbours(seeds: DataFrame, chunks: DataFrame, width: int = 1) -> DataFrame:
-    """Chunks within `width` places of a seed in its document, each with its best inherited score.
+    """Chunks within `width` places of a seed in its document, each with its best inherited score and
+    whether it is a seed itself.
 
     The interval becomes a few equal keys, so this is a hash join and not a nested loop.
     """
     near = seeds.select("document_id", F.col("chunk_index").alias("seed_index"), F.col("similarity").alias("seed_similarity"))
     near = near.withColumn("chunk_index", F.explode(F.sequence(F.col("seed_index") - width, F.col("seed_index") + width)))
     inherited = F.greatest(F.lit(MIN_SIMILARITY), F.col("seed_similarity") - 0.01 * F.abs(F.col("chunk_index") - F.col("seed_index")))
-    best = near.withColumn("inherited", inherited).groupBy("document_id", "chunk_index").agg(F.max("inherited").alias("inherited"))
+    best = near.withColumn("inherited", inherited).groupBy("document_id", "chunk_index").agg(F.max("inherited").alias("inherited"), F.bool_or(F.col("chunk_index") == F.col("seed_index")).alias("seed"))
     return chunks.join(best, ["document_id", "chunk_index"])
 
 
@@ -98,6 +99,20 @@ def union_first(parts: list[DataFrame], key: str = "chunk_id") -> DataFrame:
     return every.withColumn("rn", first).where("rn = 1").drop("rn")
 
 
+def supplemented(rows: DataFrame, score: Column, k: int, kinds: list[str], kind: str = "source_type", key: str = "chunk_id") -> DataFrame:
+    """The k best rows of all (part 0) and of each kind given (part 1 and on), each in its first part: one pass.
+
+    The best of all are among the k best of each kind there is, so only those are ranked together.
+    """
+    order = (F.desc("score"), F.asc(key))
+    own = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    best = rows.withColumn("score", score).withColumn("rn", own).where(F.col("rn") <= k).drop("rn")
+    part = F.when(F.row_number().over(Window.orderBy(*order)) <= k, 0)
+    for i, name in enumerate(kinds, 1):
+        part = part.when(F.col(kind) == name, i)
+    return best.withColumn("part", part).where("part is not null")
+
+
 def first_by_hash(rows: DataFrame, order: str) -> DataFrame:
     """Of rows with equal content the first in candidate order, not the best."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("content_hash").orderBy(order))).where("rn = 1").drop("rn")

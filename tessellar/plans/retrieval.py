@@ -29,8 +29,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id")
+def embedded(spark: SparkSession, sf_dir: str, **derived) -> DataFrame:
+    """Chunks without their text, with keyword coverage, other columns derived from it, and vector: the text takes no part in the join."""
+    rows = chunks(spark, sf_dir).where(R.in_scope(SCOPE)).withColumns({"keyword": lexical_score(TERMS, F.col("content")), **derived}).drop("content", "content_hash")
+    return rows.join(vectors(spark, sf_dir), "chunk_id")
 
 
 def question(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -55,9 +57,9 @@ SCORED = f"""WITH {CHUNKS}, {VECTORS}, scored AS (
   FROM chunks c JOIN vectors v USING (chunk_id) WHERE {IN_SCOPE})"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embedded(spark, sf_dir).where(R.in_scope(SCOPE))
-    return R.with_scores(rows, question(spark, sf_dir), TERMS)
+def scored(spark: SparkSession, sf_dir: str, **derived) -> DataFrame:
+    vector = F.array(*map(F.lit, question(spark, sf_dir)))
+    return embedded(spark, sf_dir, **derived).withColumn("similarity", cosine(F.col("embedding"), vector))
 
 
 @query("hybrid_topk", f"{SCORED} SELECT chunk_id, document_id, round(similarity, 6) AS similarity, round(keyword, 6) AS keyword, round(0.75 * similarity + 0.25 * least(keyword, 1.0), 6) AS score FROM scored WHERE similarity >= 0.25 OR keyword > 0 ORDER BY 0.75 * similarity + 0.25 * least(keyword, 1.0) DESC, chunk_id LIMIT 30")
@@ -113,7 +115,7 @@ def neighbor_expand(spark, sf_dir):
 @query("neighbor_score", f"{NEAR} SELECT chunk_id, round(inherited, 6) AS inherited FROM near WHERE chunk_id NOT IN (SELECT chunk_id FROM seeds)")
 def neighbor_score(spark, sf_dir):
     near = R.neighbours(seeds(spark, sf_dir), chunks(spark, sf_dir), 2)
-    return near.join(seeds(spark, sf_dir).select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", F.round("inherited", 6).alias("inherited"))
+    return near.where(~F.col("seed")).select("chunk_id", F.round("inherited", 6).alias("inherited"))
 
 
 def _part_sql(i: int, where: str) -> str:
@@ -122,16 +124,15 @@ def _part_sql(i: int, where: str) -> str:
 
 @query("supplement_union", f"{SCORED}, parts AS ({_part_sql(0, 'true')} UNION ALL {_part_sql(1, chr(39).join(['source_type = ', 'company_policy', '']))} UNION ALL {_part_sql(2, chr(39).join(['source_type = ', 'public_guide', '']))} UNION ALL {_part_sql(3, chr(39).join(['source_type = ', 'public_incident', '']))}) SELECT chunk_id, any_value(source_type) AS source_type, min(part) AS part FROM parts GROUP BY chunk_id")
 def supplement_union(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    wanted = [F.lit(True), *(F.col("source_type") == t for t in ("company_policy", "public_guide", "public_incident"))]
-    return R.union_first([R.top_k(rows.where(w), R.blend(), 15) for w in wanted]).select("chunk_id", "source_type", "part")
+    return R.supplemented(scored(spark, sf_dir), R.blend(), 15, ["company_policy", "public_guide", "public_incident"]).select("chunk_id", "source_type", "part")
 
 
 def ranked(spark, sf_dir, k: int = 60) -> DataFrame:
     """One request's bounded candidates with rerank scores."""
-    rows = R.top_k(R.gate(scored(spark, sf_dir)), R.blend(), k).withColumnRenamed("score", "blend")
+    rows = R.gate(scored(spark, sf_dir)).withColumn("blend", R.blend())
     rows = rows.withColumn("metadata", (F.col("page") % 10) / 10.0).withColumn("action", (F.col("chunk_id") % 2).cast("double")).withColumn("safety", (F.col("chunk_id") % 4) / 3.0)
-    return rows.withColumn("score", F.round(R.rerank_score(True), 6))
+    # all columns before the limit: what is computed after one would part it from its sort, and sort everything
+    return rows.withColumn("score", F.round(R.rerank_score(True), 6)).orderBy(F.desc("blend"), "chunk_id").limit(k)
 
 
 BUCKET_SQL = "CASE WHEN source_type IN ('equipment_manual', 'component_manual') THEN 'manual' ELSE source_type END"
@@ -244,7 +245,8 @@ def confidence_bands(spark, sf_dir):
 
 @query("category_bonus", f"{SCORED} SELECT chunk_id, round(similarity + CASE WHEN regexp_matches(lower(content), 'tion|heit') THEN 0.08::DOUBLE ELSE 0 END, 6) AS score FROM scored")
 def category_bonus(spark, sf_dir):
-    return scored(spark, sf_dir).select("chunk_id", F.round(F.col("similarity") + F.when(F.lower("content").rlike("tion|heit"), 0.08).otherwise(0.0), 6).alias("score"))
+    bonus = F.when(F.lower("content").rlike("tion|heit"), 0.08).otherwise(0.0)
+    return scored(spark, sf_dir, bonus=bonus).select("chunk_id", F.round(F.col("similarity") + F.col("bonus"), 6).alias("score"))
 
 
 @query("fetch_versions_chunks", f"WITH {CHUNKS} SELECT chunk_id, document_id, chunk_index FROM chunks WHERE document_id IN (SELECT document_id FROM chunks WHERE access_level = 'public' AND source_type = 'equipment_manual')")
