@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,41 +38,37 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
 
 
 def pack_sentences(text: str, size: int = 600, overlap: int = 100) -> list[str]:
-    """Whole units up to the size; the next chunk starts with the last whole units that fit the overlap."""
+    """Whole units up to the size; the next chunk starts with the last whole units that fit the overlap.
+
+    Works on the units' places in the text: a chunk is the text between two of them.
+    """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    out: list[str] = []
-    held: list[str] = []
-    room = size
-    for unit in sentence_units(text):
-        if held and len(unit) > room:
-            out.append("".join(held).strip())
-            keep, free = len(held), overlap
-            while keep and len(held[keep - 1]) <= free:
-                keep -= 1
-                free -= len(held[keep])
-            held = held[keep:]
-            room = size - sum(map(len, held))
-        held.append(unit)
-        room -= len(unit)
-    out.append("".join(held).strip())
-    return [w for chunk in out if chunk for w in windows(chunk, size, overlap)]
+    ends = list(accumulate(map(len, sentence_units(text)), initial=0))
+    out, first, reached, last = [], 0, 0, len(ends) - 1
+    while first < last:
+        # as many units as fit, one at least
+        to = last if len(text) <= size else max(first + 1, bisect.bisect_right(ends, ends[first] + size) - 1)
+        to = max(to, reached + 1)  # what is new must come with it, even beyond the size
+        out += windows(text[ends[first] : ends[to]].strip(), size, overlap)
+        if to == last:
+            break
+        reached = to
+        first = bisect.bisect_left(ends, ends[to] - overlap)
+    return out
 
 
 def pack_rows(header: str, rows: list[str], size: int = 600) -> list[str]:
     """Table rows in groups up to the size, each under the header."""
-    groups: list[list[str]] = []
-    room = 0
-    for row in rows:
-        if not groups or len(row) + 1 > room:
-            groups.append([])
-            room = size - len(header)
-        groups[-1].append(row)
-        room -= len(row) + 1
-    return [w for g in groups for w in windows("\n".join([header, *g]), size, 0)]
+    room = size - len(header)
+    ends = list(accumulate((len(r) + 1 for r in rows), initial=0))
+    out, first = [], 0
+    while first < len(rows):
+        to = max(first + 1, bisect.bisect_right(ends, ends[first] + room) - 1)
+        out += windows("\n".join([header, *rows[first:to]]), size, 0)
+        first = to
+    return out
 
 
 def pack_section(blocks: list[dict], size: int = 600, overlap: int = 100) -> list[str]:
@@ -96,26 +94,40 @@ def normalised(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+class Marks:
+    """Where a text may be broken: for each mark, in order of preference, the places behind it."""
+
+    def __init__(self, text: str, marks: tuple[str, ...] = BREAKS):
+        self.behind = [(len(m), [x.end() for x in re.finditer(re.escape(m), text)]) for m in marks]
+
+    def best(self, start: int, least: int, most: int) -> int:
+        """The last place in [least, most] behind the first mark that has one, all of it after start; else most."""
+        for width, places in self.behind:
+            k = bisect.bisect_right(places, most) - 1
+            if k >= 0 and places[k] >= max(least, start + width):
+                return places[k]
+        return most
+
+
+def cuts(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of windows of at most size that end behind a mark in their last two fifths if one is there;
+    each next one starts at the first solid character of the overlap."""
+    marks, solid, n = Marks(text), re.compile(r"\S"), len(text)
+    start = end = 0
+    while end < n:
+        if n - start <= size:
+            end = n
+        else:
+            end = marks.best(start, start + max(1, 3 * size // 5), start + size)
+        yield start, end
+        found = solid.search(text, max(start + 1, end - overlap), end)
+        start = found.start() if found else end
+
+
 def split_at_marks(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces that end after the most preferred mark beyond 60 % of the size; overlaps skip white space."""
+    """The normalised text in overlapping pieces that end at the best marks; blank pieces are left out."""
     text = normalised(text)
-    out: list[str] = []
-    at = 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            least = min(end, at + max(1, size * 60 // 100))
-            ends = (at + k + len(m) for m in BREAKS if (k := text.rfind(m, at, end) - at) >= 0)
-            end = next((e for e in ends if e >= least), end)
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        at = max(at + 1, end - overlap)
-        while at < end and text[at].isspace():
-            at += 1
-    return out
+    return [piece for a, b in cuts(text, size, overlap) if (piece := text[a:b].strip())]
 
 
 def with_header(header: str, body: str, size: int = 900, overlap: int = 120, mark: str = "\n[내용] ") -> list[str]:

@@ -7,7 +7,7 @@ import hmac
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,18 +69,71 @@ def write_both(df: DataFrame, path: str) -> None:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    """Writes every table beside its place first and only then puts all of them there."""
+    """Writes every table beside its place first and only then puts all of them there.
+
+    A live table is set aside before the new one takes its place, and goes only when all are there; if
+    anything fails in between, those set aside come back. A crash leaves them in `.former`, from where the
+    next call, or `recover`, puts them back.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, path)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/.staged/{name}")
-    for name in tables:
-        fs.delete(fs_path(f"{path}/{name}"), True)
-        if not fs.rename(fs_path(f"{path}/.staged/{name}"), fs_path(f"{path}/{name}")):
-            raise OSError(f"could not publish {name}")
+    fs.mkdirs(fs_path(f"{path}/.former"))
+    try:
+        for name in tables:
+            if fs.exists(fs_path(f"{path}/{name}")) and not fs.rename(fs_path(f"{path}/{name}"), fs_path(f"{path}/.former/{name}")):
+                raise OSError(f"could not set {name} aside")
+        for name in tables:
+            if not fs.rename(fs_path(f"{path}/.staged/{name}"), fs_path(f"{path}/{name}")):
+                raise OSError(f"could not publish {name}")
+    except BaseException:
+        recover(spark, path)
+        raise
+    # one rename decides: from here on the new tables stand
+    fs.rename(fs_path(f"{path}/.former"), fs_path(f"{path}/.done"))
+    fs.delete(fs_path(f"{path}/.done"), True)
     fs.delete(fs_path(f"{path}/.staged"), True)
 
 
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Puts back the tables that an unfinished publish set aside; their names."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path(f"{path}/.done"), True)
+    former = fs_path(f"{path}/.former")
+    names = [x.getPath().getName() for x in fs.listStatus(former)] if fs.exists(former) else []
+    for name in names:
+        fs.delete(fs_path(f"{path}/{name}"), True)
+        fs.rename(fs_path(f"{path}/.former/{name}"), fs_path(f"{path}/{name}"))
+    fs.delete(former, True)
+    return names
+
+
+def replace_all(spark: SparkSession, rows: DataFrame, path: str, key: list[str]) -> int:
+    """Replaces a table's whole content by the rows: they are checked before, and counted after.
+
+    Keys must be whole and different, else nothing is replaced; the number of rows read back.
+    """
+    name = path.rstrip("/").rsplit("/", 1)
+    bad = rows.groupBy(*key).count().where(" or ".join([f"`{k}` is null" for k in key]) + " or count > 1")
+    if bad.limit(1).count():
+        raise ValueError(f"{key} is null or repeated in {bad.count()} cases")
+    publish(spark, {name[1]: rows}, name[0])
+    return verify_stored(spark.read.parquet(path), rows, key)
+
+
+def verify_stored(stored: DataFrame, rows: DataFrame, key: list[str]) -> int:
+    """The number of stored rows if they are the given ones; an error with the number that differ otherwise."""
+    columns = rows.columns
+    gone, more = rows.exceptAll(stored.select(columns)), stored.select(columns).exceptAll(rows)
+    differ = gone.count() + more.count()
+    if differ:
+        raise ValueError(f"{differ} rows differ from what was to be stored")
+    return stored.count()
+
+
 def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
@@ -92,32 +145,73 @@ def table_digest(df: DataFrame) -> tuple[int, str]:
     return n, hashlib.sha256(f"{n}:{a}:{b}".encode()).hexdigest()
 
 
-def write_package(spark: SparkSession, tables: dict[str, DataFrame], path: str, sign: Callable[[bytes], str], info: dict | None = None) -> dict:
-    """Tables with a canonical manifest of rows and digests, signed by the caller's key, and read back."""
+def file_digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of every data file under path, by its place there; hashed in the executors."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    rows = files.select("path", F.sha2("content", 256).alias("sha256")).collect()  # a row for each file
+    plain = lambda x: x.replace("file:///", "/").replace("file:/", "/")
+    return {plain(r.path)[len(plain(root)) :].lstrip("/"): r.sha256 for r in rows}
+
+
+def write_package(spark: SparkSession, tables: dict[str, DataFrame], path: str, sign: Callable[[bytes], str], info: dict | None = None, check: Callable[[bytes, str], bool] | None = None) -> dict:
+    """Tables with a canonical manifest of rows, digests and the SHA-256 of every file, signed, and read back."""
     manifest = {"info": info or {}, "tables": {}}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         rows, digest = table_digest(spark.read.parquet(f"{path}/{name}"))
-        manifest["tables"][name] = {"rows": rows, "digest": digest}
+        manifest["tables"][name] = {"rows": rows, "digest": digest, "files": file_digests(spark, f"{path}/{name}")}
     text = canonical_json(manifest)
     spark.createDataFrame([(text, sign(text.encode()))], "manifest string, signature string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    verify_package(spark, path, sign)
+    verify_package(spark, path, sign, check)
     return manifest
 
 
-def verify_package(spark: SparkSession, path: str, sign: Callable[[bytes], str]) -> dict[str, DataFrame]:
-    """The package's tables, if signature, rows and digests hold."""
+def verify_package(spark: SparkSession, path: str, sign: Callable[[bytes], str] | None = None, check: Callable[[bytes, str], bool] | None = None) -> dict[str, DataFrame]:
+    """The package's tables, if signature, file set, checksums, rows and digests hold.
+
+    check(text, signature) needs no secret (see functions.ed25519); with a shared secret, sign is enough.
+    """
     text, signature = spark.read.schema("manifest string, signature string").json(f"{path}/manifest").first()
-    if not hmac.compare_digest(sign(text.encode()), signature):
+    sound = check(text.encode(), signature) if check else hmac.compare_digest(sign(text.encode()), signature)
+    if not sound:
         raise ValueError("the signature doesn't match")
     out = {}
     for name, want in json.loads(text)["tables"].items():
+        if file_digests(spark, f"{path}/{name}") != want["files"]:
+            raise ValueError(f"{name}: files were changed, added or removed")
         out[name] = spark.read.parquet(f"{path}/{name}")
         if table_digest(out[name]) != (want["rows"], want["digest"]):
             raise ValueError(f"{name} was changed")
     return out
 
 
+def export_package(spark: SparkSession, documents: DataFrame, chunks: DataFrame, path: str, sign: Callable[[bytes], str], kinds: tuple[str, ...], info: dict | None = None, check: Callable[[bytes, str], bool] | None = None) -> dict:
+    """A package from the live tables: active public documents of the given kinds, and their ready chunks in order.
+
+    Documents without a ready chunk stay out; the manifest's info names the counts.
+    """
+    public = (F.col("access_level") == "public") & (F.col("lifecycle_status") == "active") & F.col("source_type").isin(*kinds)
+    ready = chunks.where("embedding_status = 'ready' and embedding is not null")
+    own = documents.where(public).join(ready.select("document_id").dropDuplicates(), "document_id", "left_semi")
+    parts = ready.join(own.select("document_id"), "document_id", "left_semi")
+    counts = {"documents": own.count(), "chunks": parts.count()}
+    return write_package(spark, {"documents": own, "chunks": parts}, path, sign, {**(info or {}), **counts}, check)
+
+
+def roll_back(packages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New states: the active version rolled back and the last superseded one active again, with its documents."""
+    rank = F.row_number().over(Window.orderBy(F.desc("version")))  # a row for each version
+    last = packages.where("status = 'superseded'").withColumn("rn", rank).where("rn = 1").select(F.col("version").alias("back"))
+    if not last.limit(1).count():
+        raise ValueError("no version to go back to")
+    states = packages.join(F.broadcast(last), packages["version"] == last["back"], "left")
+    states = states.select("version", F.when(F.col("back").isNotNull(), "active").when(F.col("status") == "active", "rolled_back").otherwise(F.col("status")).alias("status"))
+    marked = documents.join(F.broadcast(states.select("version", F.col("status").alias("now"))), "version", "left")
+    return states, marked.withColumn("deleted", F.when(F.col("now") == "active", False).when(F.col("now") == "rolled_back", True).otherwise(F.col("deleted"))).select(documents.columns)
+
+
 def import_package(packages: DataFrame, documents: DataFrame, version: str, new_documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New states: the version active and the former active one superseded; its documents dropped softly."""
     states = packages.withColumn("status", F.when(F.col("status") == "active", "superseded").otherwise(F.col("status"))).where(F.col("version") != version)

@@ -1,4 +1,9 @@
-"""A paged REST source through Spark's Python data source API: one partition for a range of pages."""
+"""A paged REST source through Spark's Python data source API: one partition for a range of pages.
+
+No item is lost without a sign: every page of the total that the service names is read, a short page in the
+middle doesn't end a range, and what is missing in the end fails the read, or, with `onincomplete` set to
+`keep`, stands in the statistics (`crawl_stats`).
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -47,6 +53,37 @@ def unwrap(text: str) -> tuple[list[dict], int]:
     return ([items] if isinstance(items, dict) else list(items)), int(body.get("totalCount") or 0)
 
 
+@dataclass(frozen=True)
+class SearchPage:
+    """What one page of search results says about all of them."""
+
+    items: list[dict]
+    total: int
+    total_media: int
+    total_pages: int
+
+
+def search_page(text: str, rows: int) -> SearchPage:
+    """A result page: its items, the counts of documents and media, and the pages that hold `rows` items each."""
+    items, total = unwrap(text)
+    value = json.loads(text)
+    body = value.get("response", value).get("body", {})
+    media = int(body.get("totalMediaCount") or body.get("totalMedia") or 0)
+    return SearchPage(items, total, media, math.ceil(total / rows))
+
+
+def crawl_stats(items: DataFrame, total: int, size: int, pages_allowed: int | None = None) -> DataFrame:
+    """One row for a crawl (page, place, item): total, fetched, pages, complete and the reason why it stopped.
+
+    complete: all were fetched; budget: the pages allowed hold no more; short: items are missing from pages read.
+    """
+    counted = items.agg(F.count("*").alias("fetched"), F.countDistinct("page").alias("pages"))
+    complete = F.col("fetched") >= total
+    allowed = total if pages_allowed is None else min(total, pages_allowed * size)
+    reason = F.when(complete, "complete").when((F.col("fetched") >= allowed), "budget").otherwise("short")
+    return counted.select(F.lit(total).cast("long").alias("total"), "fetched", "pages", complete.alias("complete"), reason.alias("stop_reason"))
+
+
 def error_class(body: Column) -> Column:
     """json, html or xml error page, or empty."""
     head = F.lower(F.ltrim(body))
@@ -54,29 +91,36 @@ def error_class(body: Column) -> Column:
 
 
 class Pages(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, first: int, last: int, total: int):
+        self.first, self.last, self.total = first, last, total
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.url = options["url"]  # with {page} and {size}
         self.size = int(options.get("pagesize", 100))
-        self.most = int(options.get("maxpages", 10_000))
+        #: The request budget: pages, besides the first request for the total.
+        self.most = int(options["maxpages"]) if "maxpages" in options else None
         self.together = int(options.get("pagespertask", 10))
+        self.keep = str(options.get("onincomplete", "fail")).lower() == "keep"
 
     def partitions(self) -> list[InputPartition]:
         _, total = unwrap(fetch(self.url.format(page=1, size=1)))
-        pages = min(self.most, math.ceil(total / self.size))
-        return [Pages(p, min(p + self.together - 1, pages)) for p in range(1, pages + 1, self.together)] or [Pages(1, 0)]
+        pages = math.ceil(total / self.size)
+        if self.most is not None and pages > self.most:
+            if not self.keep:
+                raise ValueError(f"{pages} pages exceed the budget of {self.most}; set onincomplete to keep for the first ones")
+            pages = self.most
+        return [Pages(p, min(p + self.together - 1, pages), total) for p in range(1, pages + 1, self.together)] or [Pages(1, 0, 0)]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         for page in range(partition.first, partition.last + 1):
             items, _ = unwrap(fetch(self.url.format(page=page, size=self.size)))
+            due = min(self.size, partition.total - (page - 1) * self.size)
+            if len(items) < due and not self.keep:
+                raise ValueError(f"page {page} holds {len(items)} items instead of {due}")
             for place, item in enumerate(items):
                 yield page, place, json.dumps(item, ensure_ascii=False, sort_keys=True)
-            if len(items) < self.size:
-                return
 
 
 class PagedSource(DataSource):

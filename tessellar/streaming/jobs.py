@@ -4,30 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A job that fails so often is given up.
+ATTEMPTS = 3
+
+
 def latest_state(log: DataFrame) -> DataFrame:
-    """The last row of each job in an append-only log (job_id, status, at, attempts)."""
-    return log.groupBy("job_id").agg(F.max_by(F.struct("status", "attempts"), "at").alias("s"), F.max("at").alias("at")).select("job_id", "s.*", "at")
+    """The last row of each job in an append-only log (job_id, status, at, attempts; turn, if several rows share a time)."""
+    order = F.struct("at", "turn") if "turn" in log.columns else F.col("at")
+    return log.groupBy("job_id").agg(F.max_by(F.struct("status", "attempts"), order).alias("s"), F.max("at").alias("at")).select("job_id", "s.*", "at")
 
 
 def poll_claim(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, most: int = 500):
-    """For each micro-batch: claims the oldest queued jobs, processes them, and appends their new states.
+    """For each micro-batch: claims the oldest queued jobs, at most so many a turn, processes them and appends
+    their new states, turn after turn until no job of the batch is queued.
 
-    process returns (job_id, ok). A batch is replayed under its own id after a failure and writes to
-    the same place, so states are appended once.
+    process returns (job_id, ok). What a turn leaves, and what failed fewer than ATTEMPTS times, is the next
+    turn's queue, so every job that arrives ends completed or failed. A job that process doesn't return has
+    failed that attempt. Of several rows of one job in a batch the latest counts. Each turn is a folder
+    of its own under the batch's, which a replay after a failure clears first: states are appended once.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        claimed = batch.where("status = 'queued'").orderBy("at", "job_id").limit(most).persist()
-        done = process(claimed.select("job_id"))
-        attempts = F.col("attempts") + 1
-        state = F.when(F.col("ok"), "completed").when(attempts >= 3, "failed").otherwise("queued")
-        out = claimed.join(done, "job_id").select("job_id", state.alias("status"), attempts.alias("attempts"), F.current_timestamp().alias("at"))
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        claimed.unpersist()
+        spark = batch.sparkSession
+        top = f"{path}/batch={batch_id}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(top)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        last = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("at"), F.desc("attempts")))
+        queue = batch.select("job_id", "status", "at", F.coalesce("attempts", F.lit(0)).alias("attempts")).withColumn("rn", last).where("rn = 1 and status = 'queued'").drop("rn")
+        queue.write.parquet(f"{path}/.queue/{batch_id}-0", mode="overwrite")
+        turn = 0
+        while True:
+            queue = spark.read.schema(queue.schema).parquet(f"{path}/.queue/{batch_id}-{turn}")
+            claimed = queue.orderBy("at", "job_id").limit(most)
+            if not queue.limit(1).count():
+                break
+            done = process(claimed.select("job_id")).groupBy("job_id").agg(F.bool_and("ok").alias("ok"))
+            attempts = F.col("attempts") + 1
+            state = F.when(F.coalesce("ok", F.lit(False)), "completed").when(attempts >= ATTEMPTS, "failed").otherwise("queued")
+            out = claimed.join(done, "job_id", "left").select("job_id", state.alias("status"), attempts.cast("int").alias("attempts"), F.current_timestamp().alias("at"), F.lit(turn).alias("turn"))
+            out.write.parquet(f"{top}/step={turn}", mode="overwrite")
+            out = spark.read.schema(out.schema).parquet(f"{top}/step={turn}")
+            left = queue.join(out.select("job_id"), "job_id", "left_anti").unionByName(out.where("status = 'queued'").select("job_id", "status", "at", "attempts"))
+            turn += 1
+            left.write.parquet(f"{path}/.queue/{batch_id}-{turn}", mode="overwrite")
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.queue")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
