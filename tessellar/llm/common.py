@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into Python objects at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Bytes and rows that the JVM hands a Python worker at once.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -14,8 +14,8 @@ CONTRACTED = 500_000
 BROADCAST_ROWS = 1_000_000
 
 
-def looked_up(rows: DataFrame, by: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """rows joined to a written table of distinct keys, which many rows may share.
+def looked_up(rows: DataFrame, by: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+    """rows joined to a written table by keys that many rows may share.
 
     A table of at most BROADCAST_ROWS goes to every task; a larger one is a plain shuffled join of two
     scans, of which Spark splits the partitions of hot keys.

@@ -6,7 +6,7 @@
    own signatures' heads and in no other, so groups do not grow through chains of shared signatures.
    Signatures put shingles frequent in a sample last, which changes how selective they are but not
    which pairs must meet.
-3. A signature tree of each group's bitmaps (about a sixteenth of a set) leaves the classes that can
+3. A signature tree of each group's bitmaps (a sixteenth to a thirty-second of a set) leaves the classes that can
    have a similar partner there. Only their sets are fetched.
 4. Each group that is left is joined by a signature tree of the sets: a class first in one of its groups,
    then where a tree of bitmaps leaves a similar class of another component possible. A group too large for a task is
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ GATHERED = 400_000
 #: Members of a group up to which its bitmaps are joined first; a larger one goes on to the sets at once.
 SIEVED = 1_000
 #: Shingles and classes of one block of a group at most, about; parts compared with every block are bound by shingles only.
-BLOCK_SHINGLES, BLOCK_CLASSES = 500_000, 250
+BLOCK_SHINGLES, BLOCK_CLASSES = 1_000_000, 4_000
 #: Documents whose shingles are counted to find frequent ones: so many and a share of all.
 SAMPLED, SAMPLED_SHARE = 5_000, 0.02
 #: Shingles in so many sampled documents are frequent; at most so many are broadcast (8 bytes each).
@@ -170,7 +171,7 @@ def sieved(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """id, n, h (class) of every row, and the shingles once a task for the wanted classes."""
+    """id, n, h (class) of every row, its task, and the shingles once a task for the wanted classes."""
     spark = docs.sparkSession
     few = wanted.count() <= BROADCAST_CLASSES
     names_ = np.sort(wanted.select("h").toArrow()["h"].to_numpy()) if few else None
@@ -178,6 +179,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Da
 
     def run(batches):
         seen: set[int] = set()
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, 1):
                 sets = shingle_sets(texts_of(part, 1), width)
@@ -193,11 +195,11 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Da
                             seen.clear()
                         seen.add(name)
                     held.append(own.tobytes() if keep else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(held, pa.binary())], ["id", "n", "h", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([task] * len(sets), pa.int32()), pa.array(held, pa.binary())], ["id", "n", "h", "task", "shingles"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n long, h long, shingles binary")
+    return source.mapInArrow(run, f"id {kind}, n long, h long, task int, shingles binary")
 
 
 def tree_tasks(dealt: DataFrame, percent: int) -> DataFrame:
@@ -245,13 +247,15 @@ def tree_tasks(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def tree_links(sets: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Written (v, r) of the components of similar classes over all groups; sets (h, n, shingles) may repeat.
+    """Written (v, r) of the components of similar classes over all groups; sets (h, n, task, shingles) hold one for each task.
 
     A class first goes to one of its groups only, that of its smallest head: near copies share several. Of the
     groups that then hold several components follow the classes that may be similar to one of another.
     """
     spark = sets.sparkSession
-    first = groups.groupBy("h").agg(F.min("head").alias("head"))
+    owners = written(spark, sets.groupBy("h").agg(F.min("task").alias("task")), "owners")
+    sets = looked_up(sets, owners, ["h", "task"], "left_semi")  # of each class the set of one task
+    first = written(spark, groups.groupBy("h").agg(F.min("head").alias("head")), "first")
     edges = group_links(sets, first, percent)
     known = components(spark, edges)
     at = written(spark, looked_up(groups, known.select(F.col("v").alias("h"), "r"), "h").select("h", "head", F.coalesce("r", "h").alias("r")), "at")
@@ -260,7 +264,7 @@ def tree_links(sets: DataFrame, groups: DataFrame, classes: DataFrame, percent:
     again = written(spark, open_.select("h").dropDuplicates(), "wanted")
     more = group_links(looked_up(sets, again, "h", "left_semi"), open_, percent)
     roots = components(spark, known.select(F.col("v").alias("a"), F.col("r").alias("b")).union(more))
-    for used in (edges, known, at, apart, open_, again, more):
+    for used in (owners, first, edges, known, at, apart, open_, again, more):
         forget(spark, used)
     return roots
 
@@ -271,8 +275,7 @@ def group_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sizes = sets.groupBy("h").agg(F.first("n").alias("n"))
     large = groups.join(sizes, "h").groupBy("head").agg(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES).cast("int").alias("more"), F.min("h").alias("centre")).where("more > 0")
     large = written(spark, large, "large")
-    own = sets.groupBy("h").agg(F.first("shingles").alias("shingles"))
-    own = looked_up(groups.join(own, "h"), large, "head").withColumn("more", F.coalesce("more", F.lit(0)))
+    own = looked_up(looked_up(sets.select("h", "shingles"), groups, "h", "inner"), large, "head").withColumn("more", F.coalesce("more", F.lit(0)))
     block = F.pmod(F.xxhash64("h"), F.col("more") + 1).cast("int")
     all_ = F.sequence(F.lit(0), F.col("more"))
     dealt = own.withColumn("x", F.explode(F.when(F.col("h") == F.col("centre"), all_).otherwise(F.array(block))))
@@ -301,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups, classes = signature_groups(docs, text_col, width, Levels(percent), frequent_shingles(docs, text_col, width))
     wanted = written(spark, groups.select("h").dropDuplicates(), "wanted")
     held = written(spark, shingled(docs, id_col, text_col, width, wanted), "shingles")
-    roots = tree_links(held.where("shingles is not null").select("h", "n", "shingles"), groups, classes, percent)
+    roots = tree_links(held.where("shingles is not null").select("h", "n", "task", "shingles"), groups, classes, percent)
     every = written(spark, held.select("id", "n", "h"), "classes")
     for used in (groups, classes, wanted, held):
         forget(spark, used)
