@@ -262,7 +262,7 @@ def signal_scores(spark, sf_dir):
 def category_caps(spark, sf_dir):
     rn = F.row_number().over(Window.partitionBy("source_type").orderBy("chunk_id"))
     cap = F.when(F.col("source_type") == "public_guide", 8).when(F.col("source_type") == "equipment_manual", 3).otherwise(5)
-    return chunks(spark, sf_dir).withColumn("rn", rn).where(F.col("rn") <= cap).select("chunk_id", "source_type")
+    return chunks(spark, sf_dir).withColumn("rn", rn).where((F.col("rn") <= 8) & (F.col("rn") <= cap)).select("chunk_id", "source_type")
 
 
 @query("tiered_fallback", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN contains(lower(content), 'heit') THEN 0 ELSE 1 END AS tier FROM chunks ORDER BY tier, chunk_id LIMIT 200")
