@@ -21,22 +21,27 @@ COMPONENT_PURPOSE = r"(?i)(?:무슨\s*(?:장비|부품|장치)|뭐야|뭐\s*하
 GENERIC = r"(?i)(?:관련|대해|설명|알려\s*줘|알려\s*주세요|궁금)"
 IN_SELECTED = r"(?:요약|내용|찾아|있어|나와|페이지|문서)"
 PLAIN_ACTION = r"(?:작업|교체|설치|청소|점검|정비)"
+#: Words that name no subject.
+NO_SUBJECT = ("관련", "대해", "설명", "알려줘", "알려", "주세요", "주의", "주의사항", "방법", "절차", "안전", "문서", "요약", "내용")
 
 
 def intents(questions: DataFrame, text: str, selected: Column) -> DataFrame:
-    """Adds intent and confidence by fixed precedence; selected: whether documents and a subject are chosen."""
+    """Adds intent and confidence by fixed precedence; selected: whether documents are chosen. They count as
+    a subject only if the question names one: a word of two characters or more that is not in NO_SUBJECT."""
     q = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")))
     flags = {n: q.rlike(p) for n, p in (("doc", DOCUMENT), ("doc_for", DOCUMENT_PURPOSE), ("act", ACTION), ("act_for", ACTION_PURPOSE), ("part_for", COMPONENT_PURPOSE), ("generic", GENERIC))}
     doc, doc_for, act, act_for, part_for, generic = flags.values()
+    words = F.regexp_extract_all(q, F.lit("([0-9a-z가-힣_-]+)"), 1)
+    subject = selected & F.exists(words, lambda w: (F.length(w) >= 2) & ~w.isin(*NO_SUBJECT))
     ladder = [
         (doc & doc_for, "document_qa", 0.96),
         (doc & selected & q.rlike(IN_SELECTED), "document_qa", 0.94),
         (part_for & ~act_for, "component_info", 0.94),
-        (act_for & selected & ~doc, "maintenance_guide", 0.88),
+        (act_for & subject & ~doc, "maintenance_guide", 0.88),
         (act & (act_for | ~doc | q.rlike(PLAIN_ACTION)), "maintenance_guide", 0.92),
         (part_for, "component_info", 0.86),
         (doc, "document_qa", 0.72),
-        (generic & selected, "component_info", 0.84),
+        (generic & subject, "component_info", 0.84),
         (generic | (F.size(F.split(q, " ")) <= 4), "clarification_required", 0.62),
     ]
     intent, confidence = F.lit("clarification_required"), F.lit(0.5)

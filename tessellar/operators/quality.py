@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellar.functions.repair import glued_left
+
+# Residues of markup, labels of other fields, titles that tell of no accident.
+MARKUP = r"(?i)<(?:img|br|p|div|script|style|span|table|tr|td)\b"
+LABELS = r"(?i)(?:피\s*해\s*정\s*도|공\s*정|재\s*해\s*유\s*형|사\s*고\s*유\s*형|날\s*짜|공\s*사\s*금\s*액|재\s*해\s*개\s*요|재\s*해\s*원\s*인)\s*[:：]"
+NO_ACCIDENT = "(?i)(?:세미나|간담회|교육|행사|공지|안내|자료|압축파일|사례모음|통계|목록|다운로드)"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+JOINED_GWANGJU = r"\[[^\]]*,\s*경기\s*광주(?:시)?\]"
+
 
 def counters(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row: a count of violations by name, and passed."""
@@ -15,6 +24,30 @@ def counters(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return out.withColumn("passed", clean)
 
 
+def accident_rules(key: str, title: str, text: str, date: str, fields: list[str], parts: list[str], place: str) -> dict[str, Column]:
+    """The named violations of an accident table that one row shows: date is text, fields are short metadata,
+    parts the components that make up place, in order."""
+    c = F.col
+    empty = lambda n: F.trim(F.coalesce(c(n).cast("string"), F.lit(""))) == ""
+    soiled = F.lit(False)
+    for n in fields:
+        soiled |= F.coalesce(c(n).rlike(LABELS) | c(n).contains("\n") | (F.length(n) > 120), F.lit(False))
+    whole = F.nullif(F.concat_ws(" ", *(F.nullif(F.trim(c(n)), F.lit("")) for n in parts)), F.lit(""))
+    return {
+        "missing_required_rows": empty(key) | empty(title),
+        "null_literal_rows": F.lower(F.trim(text)).isin("null", "none", "nan"),
+        "html_residue_rows": c(text).rlike(MARKUP),
+        "html_or_control_rows": c(text).rlike(MARKUP) | c(text).rlike(CONTROL),
+        "metadata_contamination_rows": soiled,
+        "invalid_iso_date_rows": c(date).isNotNull() & (~c(date).rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date(c(date), "yyyy-MM-dd").isNull()),
+        "non_accident_date_rows": ~empty(date) & c(title).rlike(NO_ACCIDENT),
+        "location_component_errors": ~c(place).eqNullSafe(whole),
+        "glued_boundary_rows": F.size(glued_left(c(text))) > 0,
+        "double_space_rows": c(text).rlike(r"※[^\S\r\n]{2,}위"),
+        "joined_gyeonggi_gwangju_errors": c(title).rlike(JOINED_GWANGJU),
+    }
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys, surplus rows and empty keys."""
     return rows.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("distinct_keys"), (F.count(key) - F.countDistinct(key)).alias("surplus"), F.count_if(F.col(key).isNull() | (F.col(key).cast("string") == "")).alias("empty"))

@@ -252,10 +252,3 @@ def profile_routing(spark, sf_dir):
 
     s = D.profile_score("what is src3 here", F.array().cast("array<string>"), F.array("title"), F.col("title"), F.col("source_type"), F.col("source_type"), ["src3"])
     return chunks(spark, sf_dir).select("chunk_id", F.round(s, 6).alias("score"))
-
-
-@query("broken_fonts", "SELECT doc_id, false AS broken FROM documents")
-def broken_fonts(spark, sf_dir):
-    from tessellar.operators import accidents as D
-
-    return table(spark, sf_dir, "documents").select("doc_id", D.broken_font_mapping(F.col("text")).alias("broken"))
