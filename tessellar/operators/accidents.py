@@ -125,10 +125,10 @@ FOREIGN_SCRIPTS = {"DEVANAGARI": "ऀ-ॿ", "BENGALI": "ঀ-৿", "GURMUKHI": "
 
 def broken_font_mapping(text: Column) -> Column:
     """Many replacement characters, or letters spread over several unrelated scripts with next to no Hangul."""
-    count = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]", ""))
-    visible = F.length(F.regexp_replace(text, r"\s", ""))
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    own = [F.length(F.regexp_replace(text, rf"[^{r}]|\P{{L}}", "")) for r in FOREIGN_SCRIPTS.values()]
+    count = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]++", ""))
+    visible = F.length(F.regexp_replace(text, r"\s++", ""))
+    letters = F.length(F.regexp_replace(text, r"\P{L}++", ""))
+    own = [F.length(F.regexp_replace(text, rf"[[^{r}]\P{{L}}]++", "")) for r in FOREIGN_SCRIPTS.values()]
     foreign = sum(own, F.lit(0))
     scripts = sum((F.when(c >= 5, 1).otherwise(0) for c in own), F.lit(0))
     lost = count("�")
