@@ -81,8 +81,13 @@ def repair_glued(text: Column) -> Column:
 
 def glued_left(text: Column) -> Column:
     """Names of the known pairs that stand glued, in order; empty for NULL."""
-    found = [F.when(text.rlike(f"(?U)(?:{before})(?={after})"), name) for name, before, after in GLUED]
-    return F.array_compact(F.array(*found, F.when(text.rlike(f"(?U){HEAD}"), "compact_domestic_accident_header")))
+
+    def left(one: Column) -> Column:
+        found = [F.when(one.rlike(f"(?U)(?:{before})(?={after})"), name) for name, before, after in GLUED]
+        return F.array_compact(F.array(*found, F.when(one.rlike(f"(?U){HEAD}"), "compact_domestic_accident_header")))
+
+    # one element, so that a text that is itself computed is computed once
+    return F.transform(F.array(text), left)[0]
 
 
 def repair_quantities(text: Column) -> Column:
