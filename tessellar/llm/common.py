@@ -49,6 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     small_batches(spark)
@@ -56,9 +59,27 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Forgets at its end what was written within, but for tables taken out of the list that it gives."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for df in _scopes.pop():
+            forget(spark, df)
+
+
+def sample_bound(n: int, most: int) -> int:
+    """The signed 64-bit hash under which lie `most` of n evenly hashed rows, for any n; all of them if n <= most."""
+    return max(-(1 << 63) + (most << 64) // n - 1, -(1 << 63)) if n > most else (1 << 63) - 1
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)

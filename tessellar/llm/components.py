@@ -17,10 +17,18 @@ BROADCAST_ROWS = 1_000_000
 def looked_up(rows: DataFrame, by: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
     """rows joined to a written table by keys that many rows may share.
 
-    A table of at most BROADCAST_ROWS goes to every task; a larger one is a plain shuffled join of two
-    scans, of which Spark splits the partitions of hot keys.
+    A table of at most BROADCAST_ROWS goes to every task. Of a larger one only the entries of hot keys do, those
+    that have more than a BROADCAST_ROWS-th of all rows, so there are fewer than that; the rest are a
+    plain shuffled join, in which no key is hot.
     """
-    return rows.join(F.broadcast(by) if by.count() <= BROADCAST_ROWS else by, key, how)
+    if by.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(by), key, how)
+    keys = [key] if isinstance(key, str) else key
+    held = rows.groupBy(*keys).agg(F.count("*").alias("__held"))
+    bound = rows.count() // max(BROADCAST_ROWS, 1)
+    hot = F.broadcast(written(rows.sparkSession, held.where(F.col("__held") > bound).select(*keys), "hot"))
+    of_hot = rows.join(hot, keys, "left_semi").join(F.broadcast(by.join(hot, keys, "left_semi")), keys, how)
+    return of_hot.unionByName(rows.join(hot, keys, "left_anti").join(by, keys, how))
 
 
 def forest(pairs: list[tuple]) -> list[tuple]:

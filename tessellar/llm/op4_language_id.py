@@ -7,7 +7,8 @@ and broadcasts it. Scoring gathers the matrix at the hashes of a whole batch and
 only the text crosses to Python, all other columns stay where they are.
 
 Training uses only rows with a language whose crc32(id) mod 5 isn't 0, and of those a sample of
-about TRAIN_ROWS whole texts, chosen by a hash of the id (a documented bound; scoring has none).
+about TRAIN_ROWS whole texts, chosen by a hash of the id (a documented bound; scoring has none). An empty
+sample of labelled rows is an error, never an empty model.
 
 The score says which language is likelier than the others; `fit`, the mean log probability of a gram
 under the predicted one, says whether the text looks like any learned language at all.
@@ -15,8 +16,8 @@ under the predicted one, says whether the text looks like any learned language a
 Defined cases: null text, or text without a letter, is `und` with score 0 and no fit; without training
 rows everything is `und`, and an empty table gives an empty result; ties go to the alphabetically first
 language; a very long text is scored whole, like any other; a row without id is neither held out nor
-trained on; repeated rows give repeated rows; other columns are ignored, whatever their names (the
-result's own names must not be among those asked to be carried). More than MOST_LANGUAGES languages are
+trained on; repeated rows give repeated rows; other columns are ignored, whatever their names, but one
+to be carried under a name of the result is refused. More than MOST_LANGUAGES languages are
 refused, since the matrix is broadcast.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import slices, table, texts_of
+from tessellar.llm.common import sample_bound, slices, table, texts_of
 
 BUCKETS = 1 << 16
 GRAMS = 3
@@ -117,9 +118,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows
     key = F.col(id_col).cast("string")
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(key) % 5 != 0))
     n = labelled.select(id_col).count()
-    share = min(1.0, train_rows / max(n, 1))
-    sums = counted(labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))), text_col, lang_col)
+    sums = counted(labelled.where(F.xxhash64(key) <= F.lit(sample_bound(n, train_rows))), text_col, lang_col)
     langs = sorted(sums)
+    if n and not langs:
+        raise ValueError(f"no row of {n} labelled ones is in the sample of about {train_rows}: are their ids the same?")
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
     counts = np.stack([sums[x] for x in langs]) + 0.5
@@ -130,6 +132,8 @@ def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: st
     """The carried columns (id_col if None), lang_pred, score (the posterior with evidence tempered by
     the root of its length) and fit."""
     carry = [id_col] if carry is None else carry
+    if clash := {"lang_pred", "score", "fit"}.intersection(carry):
+        raise ValueError(f"{sorted(clash)} are names of the result: rename what is to be carried")
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # at most MOST_LANGUAGES x BUCKETS floats
     names = ["lang_pred", "score", "fit"]

@@ -11,16 +11,16 @@
 4. A document's log odds are its own evidence plus the shift of its path from the global mean.
 
 Host and path are columns, for `documents` its source and, below it, its language section. Every sum
-is an aggregation with partial sums; the site table is broadcast only up to BROADCAST_SITES rows and
-otherwise joined under keys salted by row, so a host with a third of all rows is never one task.
+is an aggregation with partial sums; the site table is broadcast up to a checked number of rows, beyond it
+only its hot sites (`components.looked_up`), so a host with a third of all rows is never one task.
 
 Defined cases: null text or text without words has score 0 and is rejected; a very long text is scored
 whole; a head without labels of both classes abstains (its documents are kept); null host or path is
 a site of its own; a document alone at its host has the global mean as its prior; labels of one id
 given more than once count as the worst of them, and an id with several texts is learned from one of
 them; a score of exactly 0.5 is good, a toxic score of 0.5 is toxic; repeated rows give repeated rows; an
-empty table gives an empty result; other columns are ignored, whatever their names (the result's own
-names must not be among those asked to be carried).
+empty table gives an empty result; other columns are ignored, whatever their names, but one to be carried
+under a name of the result is refused. Labels of which none is in the sample are an error, never an empty model.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import claim, slices, table, texts_of, written
+from tessellar.llm.common import claim, sample_bound, slices, table, texts_of, written
+from tessellar.llm.components import looked_up
 
 BUCKETS = 1 << 18
 #: About so many labelled documents are learned from.
@@ -42,8 +43,6 @@ TRAIN_ROWS = 20_000
 #: A word has a weight in a head if so many sampled documents hold it and its shares in the two
 #: classes differ by so many standard errors.
 LEAST_DOCUMENTS, LEAST_ERRORS = 4, 4.0
-BROADCAST_SITES = 200_000
-SALTS = 32
 #: Entries of a worker's cache of word buckets; a full one is emptied between slices.
 CACHE = 80_000
 STRIPPED = ".,;:!?*$%&#|\"'()[]"
@@ -131,8 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Model of both heads: word weights, shape weights, the shape's mean and spread."""
     given = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("good"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")).where("id is not null and good is not null")
     given = given.groupBy("id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic"))
-    share = min(1.0, train_rows / max(given.count(), 1))
-    sample = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    n = given.count()
+    sample = given.where(F.xxhash64("id") <= F.lit(sample_bound(n, train_rows)))
+    if n and not sample.limit(1).count():
+        raise ValueError(f"no label of {n} is in the sample of about {train_rows}")
 
     def run(batches):
         for batch in batches:
@@ -213,6 +214,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     carry = [id_col] if carry is None else carry
+    if clash := {"doc_score", "host_posterior", "path_posterior", "score", "toxic_score", "kept"}.intersection(carry):
+        raise ValueError(f"{sorted(clash)} are names of the result: rename what is to be carried")
     model = model or train(docs, labels, id_col, text_col)
     names = [f"k{i}" for i in range(len(carry))]
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -221,12 +224,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     own = 1 / (1 + F.exp(F.least(F.greatest(F.col("z_low"), F.lit(-30.0)), F.lit(30.0))))
     rows = rows.withColumn("p", F.when(F.col("blank"), 0.0).otherwise(F.coalesce(own, F.lit(1.0))))
     sites, mean, of_hosts, of_paths = site_posteriors(rows)
-    sites = sites.drop("host_posterior")
-    if sites.count() <= BROADCAST_SITES:
-        joined = rows.join(F.broadcast(sites), ["host", "path"])
-    else:
-        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    joined = looked_up(rows, written(spark, sites.drop("host_posterior"), "posteriors"), ["host", "path"], "inner")
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda x: F.log(clip(x) / (1 - clip(x)))
     # both levels without the document itself

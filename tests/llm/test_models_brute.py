@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 
 import corpus_pipeline as pipeline
+from tessellar.llm import components
 from tessellar.llm import op4_language_id as op4
 from tessellar.llm import op9_quality_classifier as op9
 
@@ -98,8 +99,8 @@ def test_quality_scores_by_loops(spark, monkeypatch):
         score = 0.0 if z is None else 1 / (1 + math.exp(-(logit(p) + logit(at_path) - logit(mean))))
         toxic = 0.0 if z is None else sigmoid(z[1])
         expected[k] = (p, at_host, at_path, score, toxic)
-    for most in (op9.BROADCAST_SITES, 0):
-        monkeypatch.setattr(op9, "BROADCAST_SITES", most)
+    for most in (components.BROADCAST_ROWS, 2, 0):
+        monkeypatch.setattr(components, "BROADCAST_ROWS", most)
         got = op9.quality_scores(docs, labels, model=model).collect()
         assert len(got) == len(rows)
         for r in got:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessellar.llm import components
 from tessellar.llm import op9_quality_classifier as op9
 
 
@@ -48,7 +49,7 @@ def test_small_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None, "en", "s", "x"), (2, "fine words here", None, None, "x"), (2, "fine words here", "en", "s", "x"), (None, " \n", "en", "s", "x"), (4, "word " * 50_000, "de", "s", "x")], schema)
     labels = spark.createDataFrame([(2, 1, 0), (2, 1, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
     for most in (10, 0):
-        monkeypatch.setattr(op9, "BROADCAST_SITES", most)
+        monkeypatch.setattr(components, "BROADCAST_ROWS", most)
         got = op9.quality_scores(docs, labels).collect()  # both heads abstain
         assert sorted((str(r.doc_id), r.score, r.kept) for r in got) == [("1", 0.0, False), ("2", 1.0, True), ("2", 1.0, True), ("4", 1.0, True), ("None", 0.0, False)]
     assert op9.quality_scores(docs.limit(0), labels).collect() == []
@@ -58,3 +59,21 @@ def test_small_tables(spark, monkeypatch):
 def test_features_of_repetition_and_case():
     plain, shout, again = (op9.features(t)[1] for t in ("the cat sat on a mat", "THE CAT!! SAT!!", "cat cat cat cat"))
     assert shout[3] == 1 and plain[3] == 0 and again[2] == 0.75 and op9.features(" ") is None
+
+
+def test_sample_bound_holds_at_any_size():
+    from tessellar.llm.common import sample_bound
+
+    for n in (1, 20_000, 20_001, 10**9, 21 * 10**9, 22 * 10**9, 10**11, 10**15):
+        expected = (sample_bound(n, 20_000) + (1 << 63) + 1) * n / (1 << 64)
+        assert abs(expected - min(n, 20_000)) < 1e-3 * min(n, 20_000) + 1
+
+
+def test_a_sample_without_rows_is_an_error(spark):
+    docs = spark.createDataFrame([(7, "some words")] * 5, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert len(op9.quality_scores(docs, labels).collect()) == 5
+    with pytest.raises(ValueError, match="in the sample"):
+        op9.train(docs, labels, train_rows=0)
+    with pytest.raises(ValueError, match="rename"):
+        op9.quality_scores(docs.withColumn("kept", docs.text), labels, carry=["kept"])
