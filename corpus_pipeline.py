@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import forget, table, written
+from tessellar.llm.common import forget, scratch, table, written
 from tessellar.llm.components import looked_up
 from tessellar.llm.op1_best_fit_packing import best_fit_packing
 from tessellar.llm.op4_language_id import UNKNOWN, language_id, train
@@ -87,7 +87,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, written(spark, stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark) as made:  # what a stage wrote on its way goes once its rows are written
+            docs = written(spark, stage(spark, before, sf_dir), name)
+            made[:] = [x for x in made if x is not docs]
         if hasattr(before, "written_at"):
             forget(spark, before)
     return docs
