@@ -10,8 +10,8 @@ lists emit corrections, added up where they arise:
   once from sums over its sorted shares;
 - a term that both have adds | p - p' | less both of these.
 
-Sources are dealt by hash into blocks of about BLOCK_SOURCES, terms into shards of about SHARD_POSTINGS
-entries for each pair of blocks, so a task's work is bounded whatever the size of a language or how many
+Sources are dealt by hash into blocks of about BLOCK_SOURCES, terms into shards of bounded
+size for each pair of blocks, so a task's work is bounded whatever the size of a language or how many
 sources share a term. The result has one row for each ordered pair of sources of a language, as asked.
 The `term` part ranks, in each source's window, the terms it uses more than its language does.
 
@@ -35,7 +35,8 @@ from tessellar.llm.common import claim, slices, table, texts_of, written
 
 SCALE, SMOOTH, LEAST_DOCS, TOP_TERMS = 1_000_000_000, 5, 30, 50
 BLOCK_SOURCES = 256
-SHARD_POSTINGS = 250_000
+#: Entries of a shard of terms for a pair of blocks, besides twice as many as the blocks have pairs of sources.
+SHARD_POSTINGS = 25_000
 #: (document, term) pairs that a task counts before it hands them on.
 HELD_PAIRS = 1_000_000
 
@@ -196,7 +197,7 @@ def divergence(spark: SparkSession, docs: DataFrame, text_col: str = "text", lan
     langs = sizes.join(langs, "lang", "left").na.fill(0)
     groups = groups.na.fill(0).join(langs, "lang").withColumn("n", F.lit(0)).withColumn("zero", _share("n", "total", "terms", smooth, scale))
     groups = groups.withColumn("blocks", 1 + F.expr(f"(sources - 1) div {BLOCK_SOURCES}")).withColumn("block", F.pmod(F.xxhash64("source"), "blocks"))
-    groups = written(spark, groups.withColumn("shards", 1 + F.expr(f"postings div (blocks * {SHARD_POSTINGS})")).drop("n"), "groups")
+    groups = written(spark, groups.withColumn("shards", 1 + F.expr(f"postings div (blocks * {SHARD_POSTINGS} + 2 * sources * (sources div blocks))")).drop("n"), "groups")
 
     shares = index.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total", "terms", smooth, scale)).withColumn("q", _share("in_lang", "of_lang", "terms", smooth, scale))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
