@@ -299,7 +299,8 @@ def sanitised(found: DataFrame, text_col: str = "text") -> DataFrame:
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     said = lambda c, kind: F.transform(c, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"]))
     base = said("base", lambda s: s["kind"])
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    of = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(of, lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]  # noqa: B023
     return found.select(id_col, *counts, F.sha2(F.concat_ws(",", base).cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", base, said("terms", lambda s: F.lit(TERM))).alias("spans"))
 
 

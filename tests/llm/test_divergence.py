@@ -57,14 +57,13 @@ def test_blocks_and_shards_give_the_same(spark, monkeypatch):
 
 
 def test_counts_in_parts():
-    a, b = op13.Counts(), op13.Counts()
+    parts, total = [op13.Counts()], Counter()
     docs = texts(6, 90, 5)
     for k, (text, lang, source) in enumerate(docs):
-        a.add((lang or "", source or ""), text or "")
-        if k % 10 == 0:
-            parts = b
-    total = Counter()
-    for part in (a, parts):
+        parts[-1].add((lang or "", source or ""), text or "")
+        if k % 10 == 9:
+            parts.append(op13.Counts())
+    for part in parts:
         for batch in part.rows():
             for r in batch.to_pylist():
                 if r["term"] is not None:

@@ -58,7 +58,7 @@ def corpus():
     for k in range(300):
         docs.append((k, f"word{k % 7} and other{k % 11} words of no person stand here alpha{k} beta{k}"))
     for k in range(8):
-        docs.append((1000 + k, f"lead{k} mockturtle{'' if k else ''} tail{k} wrote from carroll@wonder.example.org on day{k}"))
+        docs.append((1000 + k, f"lead{k} mockturtle tail{k} wrote from carroll@wonder.example.org on day{k}"))
         docs.append((1100 + k, f"some{k} gryphonish text{k} by gryph@wonder.example.org at{k}"))
         docs.append((1200 + k, f"only gryphonish here{k} in text number{k}"))
         docs.append((1300 + k, "copied snarkish passage by snark@wonder.example.org as ever"))
