@@ -1,13 +1,18 @@
 """Phrase collocation mining: how much more often words stand together than their parts would by chance.
 
 Tasks cut their texts into shards of about SHARD_WORDS words. For each a generalised suffix automaton
-(`suffix_automaton.py`) counts the end places of every phrase of up to `longest` words; its phrases are
-dealt by their hash into blocks of word numbers with their own word lists, and tasks add up the blocks of
-a bucket over all shards. What occurs often enough is written once, and the rest are joins of that
-table with itself: a phrase's first and last parts give its score, and each longer phrase is put to the
-phrases it holds: to that of its suffix link (without its first word) and to that without its last word,
-which is enough as no phrase occurs more often than its parts. No phrase is dropped before its count over the whole corpus is known, no shard or bucket
-holds more than its share of the corpus, and the best of a language are taken in two steps.
+(`suffix_automaton.py`) counts the end places of every phrase; its phrases are dealt by their hash into blocks of word
+numbers with their own word lists, and tasks add up the blocks of a bucket over all shards. First this is done for phrases
+of one and two words. A longer phrase can only occur often enough if all pairs of words within it do, those of its
+suffix link among them, so for longer ones the texts are cut, before the second automaton is built, where a pair
+doesn't: pairs are looked up in a sieve of SIEVE_BITS bits, whatever their number (were it full, it would let all
+through, and the counts would still be right).
+
+What occurs often enough is written, and the rest are joins of that table with itself: a phrase's first and last parts
+give its score, and each longer phrase is put to the phrases it holds, to that of its suffix link (without its first word)
+and to that without its last word, which is enough as no phrase occurs more often than its parts. No phrase is dropped
+before its count over the whole corpus is known to be too low, no shard or bucket holds more than its share of the
+corpus, and the best of a language are taken in two steps.
 
 Counts must stay under 10^15, as scores are exact decimals.
 
@@ -37,7 +42,9 @@ SHARD_WORDS = 1_000_000
 #: Phrases that a task holds for a bucket before it adds up equal ones.
 HELD_PHRASES = 1_000_000
 #: Buckets for each shuffle partition: so much smaller is what a task holds.
-BUCKETS = 3
+BUCKETS = 2
+#: Bits of the sieve of pairs: SIEVE_BITS / 64 rows at most come to the driver, and as many bits go to every task.
+SIEVE_BITS = 1 << 25
 #: Shares in which a language is ranked before its best are ranked together.
 SHARES = 64
 NO_LANG = "und"
@@ -64,11 +71,9 @@ class Shard:
         self.parts.append(np.fromiter(map(self.of[group].__getitem__, words), np.int64, len(words)))
         self.words += len(words)
 
-    def counted(self, longest: int):
-        """Entries (group, break, word) by number, and by length the phrases (numbers of their words) and counts."""
+    def placed(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Entries (group, break, word) by number; the numbers of all words; the words of its piece up to each."""
         every = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        place = np.arange(len(every))
-        room = place - np.maximum.accumulate(np.where(every == 0, place, -1)) if len(every) else every
         entries = [b""] * (sum(len(d) - 1 for d in self.of.values()))
         for group, of in self.of.items():
             head = group.encode() + _BREAK
@@ -76,8 +81,37 @@ class Shard:
                 if k:
                     entries[k - 1] = head + word
         words = every != 0
-        automaton = build(every[words] - 1, room[words], longest)
-        return entries, [automaton.phrases(k) for k in range(1, longest + 1)]
+        return entries, every[words] - 1, _room(every == 0)[words]
+
+
+def _room(breaks: np.ndarray) -> np.ndarray:
+    place = np.arange(len(breaks))
+    return place - np.maximum.accumulate(np.where(breaks, place, -1)) if len(breaks) else place
+
+
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of a phrase, given the hashes of its words in order."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for own in words:
+        h = (h ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def of_words(entries: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, entries), np.uint64, len(entries))
+
+
+def sieved(hashes: np.ndarray, words: np.ndarray, room: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of the texts, cut between words whose pair isn't let through, in runs of `least` words or more."""
+    at = (hashed([hashes[words[:-1]], hashes[words[1:]]]) % np.uint64(SIEVE_BITS)).astype(np.int64)
+    goes_on = np.zeros(len(words), bool)
+    goes_on[1:] = (room[1:] > 1) & (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    starts = np.flatnonzero(~goes_on)
+    size = np.diff(starts, append=len(words))
+    run = np.repeat(np.arange(len(starts)), size)
+    kept = size[run] >= least
+    return words[kept], (np.arange(len(words)) - starts[run] + 1)[kept]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -89,49 +123,49 @@ def _unplaned(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def packed(entries: list[bytes], levels: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    """One block: its sizes, the entries that it uses, and its phrases and counts under numbers of its own."""
+def packed(entries: list[bytes], levels: list[tuple[np.ndarray, np.ndarray]], shortest: int) -> bytes:
+    """One block: its sizes, the entries that it uses, and its phrases (of `shortest` words and more) and counts under numbers of its own."""
     used, own = np.unique(np.concatenate([p.ravel() for p, _ in levels]), return_inverse=True)
     blob = _ENTRY.join([entries[i] for i in used])
     every = np.concatenate([own, *(c for _, c in levels)])
-    head = np.array([len(levels), len(blob), len(every), *(len(c) for _, c in levels)], "<i4").tobytes()
+    head = np.array([shortest, len(levels), len(blob), len(every), *(len(c) for _, c in levels)], "<i4").tobytes()
     raw = head + blob + _planes(every)
     return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(block: bytes) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
     raw = pa.decompress(block[4:], decompressed_size=int.from_bytes(block[:4], "little"), codec="zstd", asbytes=True)
-    depth, blob, total = np.frombuffer(raw, "<i4", 3).tolist()
-    sizes = np.frombuffer(raw, "<i4", depth, 12).tolist()
-    at = 12 + 4 * depth
+    shortest, depth, blob, total = np.frombuffer(raw, "<i4", 4).tolist()
+    sizes = np.frombuffer(raw, "<i4", depth, 16).tolist()
+    at = 16 + 4 * depth
     every = _unplaned(raw[at + blob :], total)
     counts = total - sum(sizes)
     levels, begun = [], 0
-    for k, n in enumerate(sizes, 1):
+    for k, n in enumerate(sizes, shortest):
         levels.append((every[begun : begun + k * n].reshape(n, k), every[counts : counts + n]))
         begun, counts = begun + k * n, counts + n
     return raw[at : at + blob].split(_ENTRY), levels
 
 
-def blocks_of(shard: Shard, longest: int, buckets: int):
-    """(bucket, block) for every bucket that the shard has phrases of."""
-    entries, levels = shard.counted(longest)
-    if not entries:
+def blocks_of(shard: Shard, shortest: int, longest: int, buckets: int, bits: np.ndarray | None = None):
+    """(bucket, block) for every bucket that the shard has phrases of, sieved where there is a sieve."""
+    entries, words, room = shard.placed()
+    hashes = of_words(entries)
+    if bits is not None and len(words):
+        words, room = sieved(hashes, words, room, bits, shortest)
+    if not len(words):
         return
-    hashes = np.array([zlib.crc32(e) for e in entries], np.uint64)
+    automaton = build(words, room, longest)
     dealt = []
-    for phrases, n in levels:
-        h = np.zeros(len(n), np.uint64)
-        for column in phrases.T:
-            h = (h ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
+    for k in range(shortest, longest + 1):
+        phrases, n = automaton.phrases(k)
+        bucket = (hashed([hashes[c] for c in phrases.T]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         dealt.append((phrases[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))))
     for b in range(buckets):
         held = [(p[at[b] : at[b + 1]], n[at[b] : at[b + 1]]) for p, n, at in dealt]
         if any(len(n) for _, n in held):
-            yield b, packed(entries, held)
+            yield b, packed(entries, held, shortest)
 
 
 def _added(phrases: np.ndarray, n: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +212,9 @@ class Bucket:
         self.shrink()
         entries = [tuple(e.split(_BREAK)) for e in self.number]
         totals: dict[bytes, int] = defaultdict(int)
-        for k, parts in enumerate(self.levels, 1):
+        for parts in self.levels:
             for phrases, n in parts:
+                k = phrases.shape[1]
                 if k == 1:
                     for p, c in zip(phrases[:, 0].tolist(), n.tolist(), strict=True):
                         totals[entries[p][0]] += c
@@ -190,9 +225,31 @@ class Bucket:
             yield group.decode(), 0, None, n
 
 
-def phrase_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text", group_col: str = "lang", longest: int = 3, least: int = 10) -> DataFrame:
-    """(grp, k, phrase, n): phrases of k <= longest words that occur `least` times or more in a group, and its words as k = 0."""
+def pair_sieve(pairs: DataFrame) -> np.ndarray:
+    """Bits of the pairs of words (grp, phrase), by the hash that shards use."""
+
+    def run(batches):
+        bits = np.zeros(SIEVE_BITS // 64, np.uint64)
+        for batch in batches:
+            two = [tuple(f"{g}".encode() + _BREAK + w for w in p.encode().split(b" ")) for g, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if two:
+                at = (hashed([of_words([p[i] for p in two]) for i in (0, 1)]) % np.uint64(SIEVE_BITS)).astype(np.int64)
+                np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        some = np.flatnonzero(bits)
+        for a in range(0, len(some), 50_000):
+            part = some[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bits[part].view(np.int64))], ["word", "bits"])
+
+    rows = pairs.select("grp", "phrase").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def phrase_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text", group_col: str = "lang", shortest: int = 1, longest: int = 2, least: int = 10, bits: np.ndarray | None = None) -> DataFrame:
+    """(grp, k, phrase, n): phrases of `shortest` to `longest` words that occur `least` times or more in a group; its words as k = 0."""
     buckets = BUCKETS * parallelism(spark)
+    shared = spark.sparkContext.broadcast(bits)  # SIEVE_BITS bits at most
 
     def deal(batches):
         claim("collocations", lambda: None)
@@ -211,7 +268,7 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text",
 
     def _blocks(shard):
         held, size = [], 0
-        for row in blocks_of(shard, longest, buckets):
+        for row in blocks_of(shard, shortest, longest, buckets, shared.value):
             held.append(row)
             size += len(row[1])
             if size > 1 << 20:
@@ -255,17 +312,21 @@ def collocations(spark: SparkSession, docs: DataFrame, text_col: str = "text", g
     A phrase of a <= l, r occurrences is scored floor(10^6 a a / (l r)), where l and r are those of its parts at the cut
     with the lowest score; phrases that stand in a longer one with within_percent % of their count or more are left out.
     """
-    every = written(spark, phrase_counts(spark, docs, text_col, group_col, longest, least), "phrases")
+    every = written(spark, phrase_counts(spark, docs, text_col, group_col, 1, 2, least), "phrases")
+    if longest > 2:
+        bits = pair_sieve(every.where("k = 2"))
+        every = every.unionByName(written(spark, phrase_counts(spark, docs, text_col, group_col, 3, longest, least, bits), "longer"))
     counts = every.where("k > 0")
     split = counts.where("k > 1").withColumn("words", F.split("phrase", " "))
     # what any longer phrase reaches, one of one word more reaches that holds the same: that whose link or first part the phrase is
     longer = split.where("k > 2").select("grp", "n", F.explode(F.array(_part("words", F.lit(2), F.col("k") - 1), _part("words", F.lit(1), F.col("k") - 1))).alias("phrase"))
     most = longer.groupBy("grp", "phrase").agg(F.max("n").alias("most"))
-    cuts = split.select("grp", "phrase", F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
-    cuts = cuts.select("grp", "phrase", "a", "cut", _part("words", F.lit(1), F.col("cut")).alias("left"), _part("words", F.col("cut") + 1, F.size("words") - F.col("cut")).alias("right"))
-    parts = counts.select("grp", F.col("phrase").alias("left"), F.col("n").alias("l"))
-    scored = looked_up(cuts, parts, ["grp", "left"], "inner")
-    scored = looked_up(scored, parts.toDF("grp", "right", "r"), ["grp", "right"], "inner")
+    cuts = split.select("grp", F.col("phrase").alias("whole"), F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    both = F.array(_part("words", F.lit(1), F.col("cut")), _part("words", F.col("cut") + 1, F.size("words") - F.col("cut")))
+    parts = cuts.select("grp", "whole", "a", "cut", F.posexplode(both).alias("side", "phrase"))
+    found = looked_up(parts, counts.select("grp", "phrase", "n"), ["grp", "phrase"], "inner")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("n")))
+    scored = found.groupBy("grp", F.col("whole").alias("phrase"), "a", "cut").agg(side(0).alias("l"), side(1).alias("r"))
     scored = scored.withColumn("score", F.expr("cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0)) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))"))
     lowest = scored.groupBy("grp", "phrase", "a").agg(F.min_by(F.struct("l", "r", "score"), F.struct("score", "cut")).alias("of")).select("grp", "phrase", "a", "of.*")
     lowest = lowest.join(most, ["grp", "phrase"], "left").where(f"most is null or 100 * most < {within_percent} * a")

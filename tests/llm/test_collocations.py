@@ -99,18 +99,24 @@ def test_small_shards_and_buckets_lose_nothing(spark, monkeypatch):
         shards[-1].add(lang or "und", [text or ""])
     assert len(shards) > 20
     for shard in shards:
-        for b, block in op12.blocks_of(shard, 3, 7):
+        for b, block in op12.blocks_of(shard, 1, 3, 7):
             buckets.setdefault(b, op12.Bucket()).add(block)
     rows = [r for bucket in buckets.values() for r in bucket.rows(2)]
     words = Counter()
     for r in rows:
         if r[1] == 0:
             words[r[0]] += r[3]
-    whole = [tuple(r) for r in op12.phrase_counts(spark, df, least=2).collect()]
+    whole = [tuple(r) for r in op12.phrase_counts(spark, df, longest=3, least=2).collect()]
     assert sorted(r for r in rows if r[1]) == sorted(r for r in whole if r[1])
     assert words == Counter({g: sum(r[3] for r in whole if r[1] == 0 and r[0] == g) for g in words})
 
 
+def test_a_full_sieve_changes_nothing(spark, monkeypatch):
+    full = np.full(op12.SIEVE_BITS // 64, 2**64 - 1, np.uint64)
+    monkeypatch.setattr(op12, "pair_sieve", lambda pairs: full)
+    check(spark, texts(1, 120))
+
+
 def test_hostile(spark):
     schema = "text string, lang string"
     assert op12.collocations(spark, spark.createDataFrame([], schema)).collect() == []
