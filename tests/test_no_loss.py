@@ -1,6 +1,5 @@
-"""Nothing is lost without a sign: jobs beyond a claim, short pages, budgets, unfinished publishing, changed packages."""
+"""Nothing is lost without a sign: short pages, budgets, unfinished publishing, changed packages."""
 
-import datetime as dt
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -11,30 +10,6 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import ed25519
 from tessellar.sources import files, paged
-from tessellar.streaming import jobs
-
-
-def drained(spark, tmp_path, rows, process, most):
-    schema = "job_id int, status string, at timestamp, attempts int"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    jobs.poll_claim(stream, process, f"{tmp_path}/out", f"{tmp_path}/ck", most).awaitTermination()
-    return spark.read.parquet(f"{tmp_path}/out")
-
-
-def test_every_job_is_claimed(spark, tmp_path):
-    rows = [(i, "queued", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), 0) for i in range(1203)]
-    log = drained(spark, tmp_path, rows, lambda d: d.withColumn("ok", F.lit(True)), 500)
-    assert {r.job_id: r.status for r in jobs.latest_state(log).collect()} == dict.fromkeys(range(1203), "completed")
-    assert log.groupBy("turn").count().orderBy("turn").collect() == [(0, 500), (1, 500), (2, 203)]
-    assert {r.job_id for r in log.where("turn = 0").collect()} == set(range(500))
-
-
-def test_failed_jobs_are_offered_again(spark, tmp_path):
-    rows = [(1, "queued", dt.datetime(2024, 1, 1), 0), (2, "queued", dt.datetime(2024, 1, 2), 1), (3, "queued", dt.datetime(2024, 1, 3), None), (3, "completed", dt.datetime(2024, 1, 2), 1), (4, "queued", dt.datetime(2024, 1, 1), 0), (4, "completed", dt.datetime(2024, 1, 2), 1)]
-    log = drained(spark, tmp_path, rows, lambda d: d.where("job_id <> 3").withColumn("ok", F.col("job_id") == 9), 1)
-    assert {r.job_id: (r.status, r.attempts) for r in jobs.latest_state(log).collect()} == {1: ("failed", 3), 2: ("failed", 3), 3: ("failed", 3)}
-    assert log.count() == 3 + 2 + 3
 
 
 @pytest.fixture

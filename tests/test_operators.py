@@ -267,16 +267,6 @@ def test_paged_source(spark):
     assert column(spark, paged.error_class(F.col("s")), s="<!doctype html><html>") == "html"
 
 
-def test_job_stream(spark, tmp_path):
-    schema = "job_id int, status string, at timestamp, attempts int"
-    rows = [(1, "queued", dt.datetime(2024, 1, 1), 0), (2, "queued", dt.datetime(2024, 1, 2), 2), (3, "completed", dt.datetime(2024, 1, 1), 1)]
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    jobs.poll_claim(stream, lambda d: d.withColumn("ok", F.col("job_id") == 1), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    got = {r.job_id: (r.status, r.attempts) for r in jobs.latest_state(spark.read.parquet(f"{tmp_path}/out")).collect()}
-    assert got == {1: ("completed", 1), 2: ("failed", 3)}
-
-
 def test_windows_on_a_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")
     table = spark.read.parquet(f"{tmp_path}/in")
