@@ -323,7 +323,7 @@ def collocations(spark: SparkSession, docs: DataFrame, text_col: str = "text", g
     most = longer.groupBy("grp", "phrase").agg(F.max("n").alias("most"))
     cuts = split.select("grp", F.col("phrase").alias("whole"), F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     both = F.array(_part("words", F.lit(1), F.col("cut")), _part("words", F.col("cut") + 1, F.size("words") - F.col("cut")))
-    parts = cuts.select("grp", "whole", "a", "cut", F.posexplode(both).alias("side", "phrase"))
+    parts = written(spark, cuts.select("grp", "whole", "a", "cut", F.posexplode(both).alias("side", "phrase")), "parts")
     found = looked_up(parts, counts.select("grp", "phrase", "n"), ["grp", "phrase"], "inner")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("n")))
     scored = found.groupBy("grp", F.col("whole").alias("phrase"), "a", "cut").agg(side(0).alias("l"), side(1).alias("r"))
