@@ -120,21 +120,47 @@ def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(F.col("key").alias(key), F.posexplode("records").alias("pos", "record"))
 
 
-def merge_cards(primary: list[dict], more: list[dict]) -> list[dict]:
-    """Primary cards, then those of more that bring a new text or new evidence; one answer's few cards."""
-    out, texts, seen = [], set(), set()
-    for card in [*primary, *more]:
-        text, evidence = " ".join(card["text"].split()), set(card.get("evidence", ()))
-        if text in texts or evidence and evidence <= seen and card not in primary:
-            continue
-        out.append(card)
-        texts.add(text)
-        seen |= evidence
-    return out
-
-
-def remap_citations(text: str, local: dict[int, int]) -> str:
-    """[n] of a local source list as its global number; unknown numbers go."""
-    import re
-
-    return re.sub(r"\[(\d+)\]", lambda m: f"[{local[int(m[1])]}]" if int(m[1]) in local else "", text)
+def merge_cards(cards: DataFrame, key: str, most: int | None = None, by_evidence: bool = True) -> DataFrame:
+    """Of each answer's cards (key, pos, text, evidence), in order, those that bring something new: key, pos, text, evidence.
+
+    A card goes if all its evidence was seen in cards that stay, or its text (in lower case, with plain spaces) was; with
+    `most`, what comes after so many goes too. What stays depends on what stayed before, so an answer's cards are folded
+    in order; they are few. Evidence comes out without repeats.
+    """
+    kind = "struct<pos:int,text:string,evidence:array<string>>"
+    ordered = cards.select(key, F.struct(F.col("pos").cast("int").alias("pos"), "text", F.array_distinct(F.coalesce(F.col("evidence").cast("array<string>"), F.expr("cast(array() as array<string>)"))).alias("evidence")).alias("c"))
+    none = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("kept"), F.expr("cast(array() as array<string>)").alias("ids"), F.expr("cast(array() as array<string>)").alias("texts"))
+
+    def step(acc: Column, c: Column) -> Column:
+        said = F.trim(F.regexp_replace(F.lower(F.coalesce(c["text"], F.lit(""))), r"\s+", " "))
+        old = (said != "") & F.array_contains(acc["texts"], said)
+        if by_evidence:
+            old |= (F.size(c["evidence"]) > 0) & (F.size(F.array_except(c["evidence"], acc["ids"])) == 0)
+        if most is not None:
+            old |= F.size(acc["kept"]) >= most
+        texts = F.when(said == "", acc["texts"]).otherwise(F.concat(acc["texts"], F.array(said)))
+        more = F.struct(F.concat(acc["kept"], F.array(c)).alias("kept"), F.array_union(acc["ids"], c["evidence"]).alias("ids"), texts.alias("texts"))
+        return F.when(old, acc).otherwise(more)
+
+    folded = ordered.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list("c")), none, step, lambda acc: acc["kept"]).alias("kept"))
+    return folded.select(key, F.inline("kept"))
+
+
+MARK = r"\[\s*(\d+)\s*\]"
+
+
+def remap_citations(answers: DataFrame, sent: DataFrame, sources: DataFrame, key: str, text: str = "answer") -> DataFrame:
+    """answers with each [n] of the n-th sent source as that of the same chunk's place among all sources; others stay.
+
+    sent and sources are (key, pos from 1, chunk_id). The places of marks are rows that are joined to the sources' and put
+    together in order again.
+    """
+    number = sent.select(key, F.col("pos").cast("string").alias("n"), "chunk_id").join(sources.select(key, F.col("pos").alias("to"), "chunk_id"), [key, "chunk_id"]).select(key, "n", "to")
+    marks = answers.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(MARK), 1)).alias("place", "given"))
+    marks = marks.withColumn("n", F.coalesce(F.nullif(F.ltrim("given", F.lit("0")), F.lit("")), F.lit("0")))
+    found = marks.join(number, [key, "n"], "left").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "to"))), lambda x: x["to"]).alias("to"))
+    plain, whole = F.split(F.col(text), MARK, -1), F.regexp_extract_all(text, F.lit(MARK), 0)
+    new = F.zip_with(whole, "to", lambda m, to: F.coalesce(F.concat(F.lit("["), to.cast("string"), F.lit("]")), m))
+    # plain parts and marks alternate, a plain part at either end
+    joined = F.array_join(F.flatten(F.zip_with(plain, new, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+    return answers.join(found, key, "left").withColumn(text, F.when(F.col("to").isNull(), F.col(text)).otherwise(joined)).select(answers.columns)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in ("retrieval", "relational", "state", "text", "cards", "extensions"):
+for _part in ("retrieval", "relational", "state", "text", "cards", "nested", "extensions"):
     _module = import_module(f"tessellar.plans.{_part}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +26,36 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(given).csv(path, header=True, multiLine=True, escape='"').select(*schema.names)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines of text files with their numbers, however many splits a file is read in.
+
+    Lines are counted by split; a split's first number is the sum over the splits before it, and a line's place within
+    is the distance of its row's id from the split's first. No file is read by one task.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
+    rows = spark.read.text(path).select("value", *place)
+    counted = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    counted = counted.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(counted, ["file", "split"]).select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "value")
+
+
+def _json_error(value: str) -> Column:
+    """What is wrong with a line of JSON, or null."""
+    kind = F.expr(f"schema_of_variant(try_parse_json({value}))")
+    return F.when(kind.isNull(), "invalid JSON").when(~kind.startswith("OBJECT"), "expected a JSON object")
+
+
+def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, error) of every line that is neither blank nor a JSON object."""
+    return numbered_lines(spark, path).where(F.trim("value") != "").withColumn("error", _json_error("value")).where("error is not null").select("file", "line", "error")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON objects by line; blank lines are skipped, a line that isn't an object fails with its text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    row = F.from_json("value", schema)
-    sound = F.trim("value").startswith("{") & F.expr("try_parse_json(value)").isNotNull()
-    return lines.select(F.when(sound, row).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))).cast(schema)).alias("r")).select("r.*")
+    """JSON objects by line; blank lines are skipped, a line that isn't an object fails with its file and number."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("error", _json_error("value"))
+    said = F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "line", F.concat(F.lit(" "), F.col("error")))
+    return lines.select(F.when(F.col("error").isNull(), F.from_json("value", schema)).otherwise(F.raise_error(said).cast(schema)).alias("r")).select("r.*")
 
 
 def read_pair(spark: SparkSession, csv_path: str, jsonl_path: str, schema: T.StructType, key: str) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +64,32 @@ def read_pair(spark: SparkSession, csv_path: str, jsonl_path: str, schema: T.Str
     return a, table_difference(a, b, key, [n for n in schema.names if n != key])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_table(spark: SparkSession, csv_path: str, jsonl_path: str, schema: T.StructType, key: str) -> DataFrame:
+    """A table that is kept twice: the CSV file, or the JSONL file where there is none; no rows where there is neither.
+
+    Where there are both they must agree in every cell, and every key must be filled; else it is an error.
+    """
+    if exists(spark, csv_path):
+        rows = read_csv(spark, csv_path, schema)
+        if exists(spark, jsonl_path):
+            found = read_pair(spark, csv_path, jsonl_path, schema, key)[1].first().asDict()
+            if found["only_a"] or found["only_b"] or found["cells_differ"]:
+                raise ValueError(f"the files differ: {found}")
+    elif exists(spark, jsonl_path):
+        rows = read_jsonl(spark, jsonl_path, schema)
+    else:
+        return spark.createDataFrame([], schema)
+    without = rows.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "").count()
+    if without:
+        raise ValueError(f"{key} is empty in {without} rows")
+    return rows
+
+
 TERM_TYPES = ("combined", "title", "content")
 
 
@@ -68,22 +119,27 @@ def write_both(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/jsonl")
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, check: Callable[[str, DataFrame], None] | None = None) -> None:
     """Writes every table beside its place first and only then puts all of them there.
 
-    A live table is set aside before the new one takes its place, and goes only when all are there; if
-    anything fails in between, those set aside come back. A crash leaves them in `.former`, from where the
-    next call, or `recover`, puts them back.
+    check(name, rows as written) may refuse by an error before anything live is touched. A live table is set aside
+    before the new one takes its place, and goes only when all are there; if anything fails in between, those set aside come
+    back and those that had no former one go. A crash leaves them in `.former`, from where the next call, or `recover`,
+    puts them back.
     """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     recover(spark, path)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/.staged/{name}")
+        if check:
+            check(name, spark.read.schema(df.schema).parquet(f"{path}/.staged/{name}"))
     fs.mkdirs(fs_path(f"{path}/.former"))
     try:
         for name in tables:
-            if fs.exists(fs_path(f"{path}/{name}")) and not fs.rename(fs_path(f"{path}/{name}"), fs_path(f"{path}/.former/{name}")):
+            if not fs.exists(fs_path(f"{path}/{name}")):
+                fs.mkdirs(fs_path(f"{path}/.former/.none-{name}"))
+            elif not fs.rename(fs_path(f"{path}/{name}"), fs_path(f"{path}/.former/{name}")):
                 raise OSError(f"could not set {name} aside")
         for name in tables:
             if not fs.rename(fs_path(f"{path}/.staged/{name}"), fs_path(f"{path}/{name}")):
@@ -98,30 +154,81 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> Non
 
 
 def recover(spark: SparkSession, path: str) -> list[str]:
-    """Puts back the tables that an unfinished publish set aside; their names."""
+    """Undoes an unfinished publish: the names of tables put back. Those that are new with it go."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(fs_path(f"{path}/.done"), True)
     former = fs_path(f"{path}/.former")
-    names = [x.getPath().getName() for x in fs.listStatus(former)] if fs.exists(former) else []
+    found = [x.getPath().getName() for x in fs.listStatus(former)] if fs.exists(former) else []
+    names = [n for n in found if not n.startswith(".none-")]
+    for name in found:
+        fs.delete(fs_path(f"{path}/{name.removeprefix('.none-')}"), True)
     for name in names:
-        fs.delete(fs_path(f"{path}/{name}"), True)
         fs.rename(fs_path(f"{path}/.former/{name}"), fs_path(f"{path}/{name}"))
     fs.delete(former, True)
     return names
 
 
+def _whole_keys(key: list[str]) -> Callable[[str, DataFrame], None]:
+    def check(name: str, rows: DataFrame) -> None:
+        bad = rows.groupBy(*key).count().where(" or ".join([f"`{k}` is null" for k in key]) + " or count > 1").count()
+        if bad:
+            raise ValueError(f"{key} is null or repeated in {bad} cases")
+
+    return check
+
+
 def replace_all(spark: SparkSession, rows: DataFrame, path: str, key: list[str]) -> int:
-    """Replaces a table's whole content by the rows: they are checked before, and counted after.
+    """Replaces a table's whole content by the rows, computed once and checked as written; the number of rows.
+
+    Keys must be whole and different, else nothing is replaced.
+    """
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    publish(spark, {name: rows}, parent, _whole_keys(key))
+    return spark.read.parquet(path).count()
+
+
+#: Folders by hash of the document that a table of replace_documents has.
+BUCKETS = 64
 
-    Keys must be whole and different, else nothing is replaced; the number of rows read back.
+
+def replace_documents(spark: SparkSession, rows: DataFrame, path: str, key: list[str], document: str = "document_id", gone: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Replaces what a table holds of the given documents by the rows; the number of rows now in the folders touched.
+
+    The table lies in folders by a hash of the document. Rows are computed once, beside the table, and checked there (keys
+    whole and different); then only the folders of documents in rows, or in gone (documents to delete), are written
+    anew. All others keep their files.
     """
-    name = path.rstrip("/").rsplit("/", 1)
-    bad = rows.groupBy(*key).count().where(" or ".join([f"`{k}` is null" for k in key]) + " or count > 1")
-    if bad.limit(1).count():
-        raise ValueError(f"{key} is null or repeated in {bad.count()} cases")
-    publish(spark, {name[1]: rows}, name[0])
-    return verify_stored(spark.read.parquet(path), rows, key)
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    bucket = F.pmod(F.xxhash64(F.col(document).cast("string")), F.lit(buckets)).cast("int")
+    try:
+        rows.withColumn("bucket", bucket).write.parquet(f"{beside}/rows")
+        new = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{beside}/rows")
+        _whole_keys(key)(path, new)
+        if new.where(F.col(document).isNull()).limit(1).count():
+            raise ValueError(f"{document} is null")
+        named = new.select(document, "bucket")
+        if gone is not None:
+            named = named.unionByName(gone.select(F.col(document).cast(rows.schema[document].dataType), bucket.alias("bucket")))
+        named.dropDuplicates().write.parquet(f"{beside}/named")
+        named = spark.read.parquet(f"{beside}/named")
+        touched = [r.bucket for r in named.select("bucket").distinct().collect()]  # at most `buckets`
+        if exists(spark, path):
+            held = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).join(named, [document, "bucket"], "left_anti")
+            new = new.unionByName(held)
+        # an empty folder of a touched bucket must lose its old files too
+        new.write.partitionBy("bucket").parquet(f"{beside}/merged")
+        merged = spark.read.schema(new.schema).parquet(f"{beside}/merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        filled = {r.bucket for r in merged.select("bucket").distinct().collect()}
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for b in set(touched) - filled:
+            fs.delete(fs_path(f"{path}/bucket={b}"), True)
+        return merged.count()
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def verify_stored(stored: DataFrame, rows: DataFrame, key: list[str]) -> int:
@@ -190,13 +297,19 @@ def verify_package(spark: SparkSession, path: str, sign: Callable[[bytes], str]
 def export_package(spark: SparkSession, documents: DataFrame, chunks: DataFrame, path: str, sign: Callable[[bytes], str], kinds: tuple[str, ...], info: dict | None = None, check: Callable[[bytes, str], bool] | None = None) -> dict:
     """A package from the live tables: active public documents of the given kinds, and their ready chunks in order.
 
-    Documents without a ready chunk stay out; the manifest's info names the counts.
+    Documents without a ready chunk stay out; the manifest's info names the counts. Vectors of two models or of two
+    dimensions are refused.
     """
     public = (F.col("access_level") == "public") & (F.col("lifecycle_status") == "active") & F.col("source_type").isin(*kinds)
     ready = chunks.where("embedding_status = 'ready' and embedding is not null")
     own = documents.where(public).join(ready.select("document_id").dropDuplicates(), "document_id", "left_semi")
     parts = ready.join(own.select("document_id"), "document_id", "left_semi")
-    counts = {"documents": own.count(), "chunks": parts.count()}
+    models = [c for c in ("embedding_model",) if c in chunks.columns]
+    found = parts.agg(F.count("*").alias("n"), F.countDistinct(F.size("embedding")).alias("sizes"), *(F.countDistinct(m).alias(m) for m in models)).first()
+    if found.sizes > 1 or any(found[m] > 1 for m in models):
+        raise ValueError(f"a package holds one model and one dimension: {found.asDict()}")
+    counts = {"documents": own.count(), "chunks": found.n}
+    parts = parts.repartition("document_id").sortWithinPartitions("document_id", "chunk_index")
     return write_package(spark, {"documents": own, "chunks": parts}, path, sign, {**(info or {}), **counts}, check)
 
 
