@@ -6,11 +6,13 @@ and so on), by role, when hidden, or when a whole class or id says so (comments,
 left-sidebar; not no-sidebar or content-sidebar-wrap). What holds a main element or an article (but
 one marked itself, as comments are), or more than half of the page's points and no other article
 or main has any, is never dropped by its name; nor is what lies inside an article, has a good part of
-its points and is named by a word that prose may have too (tags, notice). Of what is left each paragraph passes points for its length and its
+its points and is named by a word that prose may have too (notice), or has a paragraph and few links if the word names
+lists of links (tags, related). What readers say is dropped wherever it stands, however much it is, and forms are, unless no
+paragraph is outside of them: then only their controls go. Of what is left each paragraph passes points for its length and its
 commas to its ancestors, halved with every level and discounted by the share of its text in links.
 The container with the most points wins; an article or main element around it is preferred whole, with
 those beside it that aren't mostly links, else all that stands beside it (text, lists, tables, paragraphs of any length) is kept with it, but
-for what is mostly links.
+for what is mostly links, and on every level above, up to the body, what has a paragraph or the title: other columns, sections, a lead.
 
 All text of the chosen nodes is returned in page order: character references are decoded, white
 space inside a block becomes one space, blocks are joined by one space.
@@ -57,7 +59,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea label iframe object embed svg math canvas audio video map menu dialog title noembed noframes xmp".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea label iframe object embed svg math canvas audio video map menu dialog title noembed noframes xmp".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 #: Fixed words that mark what isn't an article's text: a class or id of them alone, or of them and NEUTRAL ones.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer footnav masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations widget widgets toolbar pager pagination copyright disclaimer skip hidden search tags tagcloud outbrain taboola".split())
@@ -71,6 +73,12 @@ ALONE = frozenset("hidden skip search alert".split())
 PROSE_WORDS = frozenset("alert aside header hidden masthead notice notices notification recommended related search skip tags topbar widget widgets".split())
 #: Such a part is kept with at least this share of its article's points.
 PROSE_SHARE = 0.25
+#: Of those, these mark lists of links: inside an article they drop only what is one, or has no paragraph.
+LINKED_WORDS = frozenset("recommended related search tags widget widgets".split())
+#: These mark what readers say.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: Points of a real paragraph; points of one that is kept beside the way up from the best container.
+PARAGRAPH_POINTS, BESIDE_POINTS = 2.0, 3.0
 #: What stands beside the best container stays if less than this share of its text is in links.
 MOST_LINKS = 0.5
 NEVER_BY_NAME = frozenset("html body article main".split())
@@ -78,12 +86,12 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article m
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "named", "prose", "score", "own", "commas", "links", "article", "around")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "prose", "linked", "comment", "score", "own", "commas", "links", "article", "around")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
-        self.dropped = self.named = self.prose = False
+        self.dropped = self.named = self.prose = self.linked = self.comment = False
         #: The nearest block or root above.
         self.around = parent if parent is None or parent.parent is None or parent.tag in BLOCKS else parent.around
         self.score = 0.0
@@ -235,6 +243,7 @@ def parse(page: str) -> Node:
         if attributes and not node.dropped and tag not in ("html", "body"):
             words = by_name(attributes, node.article)
             node.named, node.prose = bool(words), bool(words) and node.article and words <= PROSE_WORDS
+            node.linked, node.comment = node.prose and words <= LINKED_WORDS, bool(words & COMMENT_WORDS)
         here.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -278,13 +287,15 @@ def points(block: Node) -> float:
 
 
 def drop_named(root: Node) -> None:
-    """Drops what a class or id marks, unless it holds an article or most of the page."""
+    """Drops what a class or id marks, unless it holds an article or most of the page; what readers say, and forms,
+    wherever there is a paragraph outside of these."""
     nodes, blocks = gathered(root)
-    if not any(node.named for node in nodes):
+    if not any(node.named or node.tag == "form" for node in nodes):
         return
     inner = dict.fromkeys(map(id, nodes), 0.0)  # points of all blocks inside
+    best = dict.fromkeys(map(id, nodes), 0.0)  # most points of one block inside
     for block in blocks:
-        inner[id(block)] = points(block)
+        inner[id(block)] = best[id(block)] = points(block)
     holds: set[int] = set()
     articles = 0
     for node in reversed(nodes):
@@ -292,8 +303,21 @@ def drop_named(root: Node) -> None:
         articles += article and inner[id(node)] > 0
         if node.parent is not None:
             inner[id(node.parent)] += inner[id(node)]
+            best[id(node.parent)] = max(best[id(node.parent)], best[id(node)])
             if article or id(node) in holds:
                 holds.add(id(node.parent))
+    # whether a paragraph stands outside of all comments, or of all comments and forms
+    said: dict[int, bool] = {}
+    filled: dict[int, bool] = {}
+    besides_comments = besides_forms = False
+    own = {id(block): points(block) for block in blocks}
+    for node in nodes:
+        up = node.parent
+        said[id(node)] = node.comment or up is not None and said[id(up)]
+        filled[id(node)] = node.tag == "form" or up is not None and filled[id(up)]
+        if own.get(id(node), 0.0) >= PARAGRAPH_POINTS and not said[id(node)]:
+            besides_comments = True
+            besides_forms |= not filled[id(node)]
     around = {id(root): 0}  # articles with points that a node is in
     of_article = {id(root): 0.0}  # points of the innermost one
     for node in nodes:
@@ -304,7 +328,14 @@ def drop_named(root: Node) -> None:
         around[id(node)] = around[id(up)] + ((up.tag == "main" or up.tag == "article" and not up.named) and inner[id(up)] > 0)
         if up.dropped:
             node.dropped = True
+        elif node.comment and node.tag not in ("html", "body", "main"):
+            node.dropped = besides_comments
+        elif node.tag == "form" and id(node) not in holds:
+            node.dropped = besides_forms
         elif node.named and node.tag not in NEVER_BY_NAME and id(node) not in holds:
+            if node.linked:
+                node.dropped = best[id(node)] < PARAGRAPH_POINTS or not few_links([node])
+                continue
             most = inner[id(node)] > inner[id(root)] / 2
             node.dropped = not most or articles > around[id(node)]
             if node.dropped and node.prose:
@@ -327,8 +358,8 @@ def scored(root: Node) -> list[Node]:
     return list(containers.values())
 
 
-def chosen(root: Node) -> list[str | Node]:
-    """The nodes whose text is the article, in page order."""
+def chosen(root: Node) -> list[str | Node | None]:
+    """The nodes whose text is the article, in page order; None ends a block."""
     drop_named(root)
     containers = scored(root)
     if not containers:
@@ -342,9 +373,36 @@ def chosen(root: Node) -> list[str | Node]:
     if whole is not None:
         outer = whole.parent
         return [x for x in outer.parts if isinstance(x, Node) and x.tag == whole.tag and not x.dropped and (x is whole or few_links([x]))]
-    if top.parent is None or top.tag in ("body", "html"):
-        return [top]
-    return [x for run in runs(top.parent.parts) if top in run or few_links(run) for x in run]
+    # what is kept before and after, from the inside out
+    before: list[str | Node | None] = []
+    after: list[str | Node | None] = []
+    first, way = True, top
+    while way.parent is not None and way.tag not in ("body", "html"):
+        own, passed = [[], []], False
+        for run in runs(way.parent.parts):
+            if way in run:
+                passed = True
+                at = run.index(way)
+                own[0] += run[:at]
+                own[1] += run[at + 1 :]
+            elif few_links(run) and (first or stays(run)):
+                own[passed] += run
+        if own[0]:
+            before += [None, *reversed(own[0])]
+        if own[1]:
+            after += [None, *own[1]]
+        way, first = way.parent, False
+    return [*reversed(before), top, *after]
+
+
+def stays(run: list[str | Node]) -> bool:
+    """Whether what stands beside the way up from the best container is of its article: it has a paragraph, or the title."""
+    for x in run:
+        if isinstance(x, Node) and not x.dropped:
+            nodes, blocks = gathered(x)
+            if any(points(block) >= BESIDE_POINTS for block in blocks) or any(node.tag == "h1" for node in nodes):
+                return True
+    return False
 
 
 def runs(parts: list[str | Node]) -> list[list[str | Node]]:
@@ -374,7 +432,7 @@ def few_links(nodes: list[str | Node]) -> bool:
     return links < MOST_LINKS * size or not size
 
 
-def text_of(nodes: list[str | Node]) -> str:
+def text_of(nodes: list[str | Node | None]) -> str:
     blocks: list[list[str]] = [[]]
     stack: list[str | Node | None] = list(reversed(nodes))
     while stack:
