@@ -47,6 +47,25 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Bytes of a match whose dictionary hits are held at once; a longer match is taken window by window.
+WINDOW = 1 << 14
+
+
+class Windows:
+    """The hits of a long match: those of the window that is asked for and of the one before."""
+
+    def __init__(self, bpe: ByteBpe, raw: str):
+        self.bpe, self.raw, self.held = bpe, raw, {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        w, k = divmod(at, WINDOW)
+        if w not in self.held:
+            for other in [x for x in self.held if abs(x - w) > 1]:
+                del self.held[other]
+            self.held[w] = self.bpe.hits(self.raw, w * WINDOW, min((w + 1) * WINDOW, len(self.raw)))
+        return self.held[w][k]
+
+
 class ByteBpe(dict):
     """' ' and a piece after a space, or another piece -> number of its run of identifiers."""
 
@@ -67,6 +86,7 @@ class ByteBpe(dict):
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(self.size_of.values())
         self.chains: dict[tuple[int, bool], list[int]] = {}
         self.fits: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
@@ -130,11 +150,8 @@ class ByteBpe(dict):
 
     def backtrack(self, raw: str) -> list[int]:
         n = len(raw)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # shortest first
-        for end, (rank, size) in self.automaton.iter(raw):
-            starting[end - size + 1].append((rank, end + 1))
-        out: list[int] = []
-        ways: list[int] = []
+        starting = self.hits(raw, 0, n) if n <= WINDOW else Windows(self, raw)
+        out, ways = array("I"), array("H")
         dead = bytearray(n + 1)
         at, way = 0, len(starting[0]) - 1
         while at < n:
@@ -152,6 +169,14 @@ class ByteBpe(dict):
                 dead[at] = 1
                 at -= self.size_of[out.pop()]
                 way = ways.pop() - 1
+        return out.tolist()
+
+    def hits(self, raw: str, begin: int, end: int) -> list[list[tuple[int, int]]]:
+        """(entry, its end) of all entries that start at each place from begin up to end, shortest first; and none at end."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(end - begin + 1)]
+        for last, (rank, size) in self.automaton.iter(raw, begin, min(len(raw), end + self.longest)):
+            if last - size + 1 < end:
+                out[last - size + 1 - begin].append((rank, last + 1))
         return out
 
     def matches(self, piece: str) -> list[str]:

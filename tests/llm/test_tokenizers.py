@@ -153,3 +153,26 @@ def test_small_tables_of_counts_and_bytes(spark):
     assert op2.round_trip(docs.limit(0)).collect() == [] and op7.token_counts(docs.limit(0)).collect() == []
     back = op2.decode(op2.encode(spark.createDataFrame([(1, "Été, it's")], "doc_id long, text string"))).collect()
     assert bytes(back[0].bytes).decode() == "Été, it's"
+
+
+def test_long_matches_window_by_window(tik, monkeypatch):
+    bpe = op2.ByteBpe(op2.default_path(), P.PATTERN)
+    rng = random.Random(8)
+    runs = ["=" * 5000, "-" * 1024, "".join(rng.choice("abé") for _ in range(4096)), "e" * 2047, "".join(rng.choice("=-") for _ in range(3000))]
+    for window in (64, 1000, 1024):
+        monkeypatch.setattr(op2, "WINDOW", window)
+        for run in runs:
+            assert bpe.backtrack(run.encode().decode("latin-1")) == tik.encode_ordinary(run) or len(bpe.matches(run)) > 1
+            assert [x for m in bpe.matches(run) for x in bpe.backtrack(m.encode().decode("latin-1"))] == tik.encode_ordinary(run)
+
+
+def test_a_very_long_match_needs_little_memory():
+    import tracemalloc
+
+    bpe = op2.ByteBpe(op2.default_path(), P.PATTERN)
+    raw = "=" * 200_000
+    tracemalloc.start()
+    ids = bpe.backtrack(raw)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(bpe.bytes_of[i].decode() for i in ids) == raw and most < 60_000_000
