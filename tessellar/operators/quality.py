@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessellar.functions.repair import glued_left
@@ -24,6 +24,45 @@ def counters(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return out.withColumn("passed", clean)
 
 
+def observed(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The same rows, which count their violations while they are written or read for anything else: no pass of their own."""
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
+def write_observed(rows: DataFrame, path: str, rules: dict[str, Column], mode: str = "overwrite") -> dict:
+    """Writes the rows and gives their counts and whether all are zero, from the one run of the plan."""
+    rows, seen = observed(rows, rules)
+    rows.write.mode(mode).parquet(path)
+    counts = dict(seen.get)
+    return {**counts, "passed": all(counts[n] == 0 for n in rules)}
+
+
+def regressions(before: DataFrame, after: DataFrame, key: str, protected: list[str], again: DataFrame | None = None) -> DataFrame:
+    """One row about two states of a table: rows lost, rows added, keys whose protected columns changed, and, with `again`
+    (the same step applied to its own result), keys that a second application still changes; and passed.
+
+    Keys are unique in each state. States are joined by key, columns are compared with nulls equal.
+    """
+    differs = lambda a, b, names: F.coalesce(~F.struct(*(a[n] for n in names)).eqNullSafe(F.struct(*(b[n] for n in names))), F.lit(False)) if names else F.lit(False)
+    a, b = (df.select(F.col(key).alias("k"), F.struct(*df.columns).alias(s)) for df, s in ((before, "a"), (after, "b")))
+    both = a.join(b, "k", "full")
+    counts = [
+        F.count_if(F.col("b").isNull()).alias("lost_rows"),
+        F.count_if(F.col("a").isNull()).alias("added_rows"),
+        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull() & differs(F.col("a"), F.col("b"), protected)).alias("protected_column_regressions"),
+    ]
+    if again is not None:
+        both = both.join(again.select(F.col(key).alias("k"), F.struct(*after.columns).alias("c")), "k", "left")
+        counts.append(F.count_if(F.col("b").isNotNull() & (F.col("c").isNull() | differs(F.col("b"), F.col("c"), after.columns))).alias("idempotence_errors"))
+    out = both.agg(*counts)
+    clean = F.lit(True)
+    for n in out.columns:
+        clean &= F.col(n) == 0
+    return out.withColumn("passed", clean)
+
+
 def accident_rules(key: str, title: str, text: str, date: str, fields: list[str], parts: list[str], place: str) -> dict[str, Column]:
     """The named violations of an accident table that one row shows: date is text, fields are short metadata,
     parts the components that make up place, in order."""

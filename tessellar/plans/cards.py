@@ -64,15 +64,19 @@ CARD_TEXTS = ["", None, "후에 확인", "정지 및", "1 2 3 4 5 6", "사용자
 
 @query(
     "card_filters",
-    f"WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE {sql_pick('(doc_id // 2)', CARD_TEXTS)} END AS t FROM documents), s AS (SELECT doc_id, {SQUEEZED} AS s FROM r), "
+    f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), m AS (SELECT doc_id, pos, line, coalesce({sql_pick('(doc_id + pos)', CARD_TEXTS)}, '') AS more FROM l), "
+    f"r AS (SELECT doc_id, pos, CASE (doc_id + pos) % 5 WHEN 0 THEN more || ' ' || line WHEN 1 THEN line || ' ' || more WHEN 2 THEN right(line, 20) || more ELSE line END AS t FROM m), s AS (SELECT doc_id, pos, {SQUEEZED} AS s FROM r), "
     "b AS (SELECT *, s = '' OR contains(s, '...') OR regexp_matches(s, '^(은|는|이|가|을|를|에|에서|특히) ') OR starts_with(s, '후에') OR regexp_matches(s, '(예[.]|후에|직|및|또는)$') AS torn FROM s) "
-    "SELECT doc_id, torn OR (length(s) > 34 AND NOT ends_with(s, '니다.')) AS bad, torn AS bad_unbounded, contains(lower(s), '문서 id') OR contains(lower(s), '사용자 매뉴얼') OR contains(lower(s), '.pdf') AS meta, length(s) >= 6 AND regexp_matches(s, '[A-Za-z가-힣]') AS meaningful FROM b",
+    "SELECT doc_id, pos, torn OR (length(s) > 34 AND NOT ends_with(s, '니다.')) AS bad, torn AS bad_unbounded, contains(lower(s), '문서 id') OR contains(lower(s), '사용자 매뉴얼') OR contains(lower(s), '.pdf') AS meta, length(s) >= 6 AND regexp_matches(s, '[A-Za-z가-힣]') AS meaningful FROM b",
 )
 def card_filters(spark, sf_dir):
-    k = F.col("doc_id")
-    odd = F.element_at(F.array(*map(F.lit, CARD_TEXTS)), (F.floor(k / 2) % len(CARD_TEXTS) + 1).cast("int"))
+    """Every line of every text, some with what tells bad cards before or after it, some with it after their last 20 characters."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "line")
+    k, line = F.col("doc_id") + F.col("pos"), F.col("line")
+    more = F.coalesce(F.element_at(F.array(*map(F.lit, CARD_TEXTS)), (k % len(CARD_TEXTS) + 1).cast("int")), F.lit(""))
+    mixed = F.when(k % 5 == 0, F.concat(more, F.lit(" "), line)).when(k % 5 == 1, F.concat(line, F.lit(" "), more)).when(k % 5 == 2, F.concat(F.expr("right(line, 20)"), more)).otherwise(line)
     t = F.col("t")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 2 == 0, F.col("text")).otherwise(odd).alias("t")).select("doc_id", C.bad_card(t).alias("bad"), C.bad_card(t, False).alias("bad_unbounded"), C.meta_item(t).alias("meta"), C.meaningful(t).alias("meaningful"))
+    return lines.select("doc_id", "pos", mixed.alias("t")).select("doc_id", "pos", C.bad_card(t).alias("bad"), C.bad_card(t, False).alias("bad_unbounded"), C.meta_item(t).alias("meta"), C.meaningful(t).alias("meaningful"))
 
 
 def _hits(words: tuple[str, ...]) -> str:

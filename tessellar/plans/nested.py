@@ -1,12 +1,14 @@
-"""Nested JSON, cards and citations of answers, and lines of pages, made from eight events each."""
+"""Nested JSON, cards and citations of answers, lines of pages and named places, made from events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessellar.operators import answers as A
+from tessellar.operators import gazetteer as G
 from tessellar.operators import layout as L
 from tessellar.operators import nested as N
+from tessellar.operators import quality as Q
 from tessellar.plans.base import table
 
 QUERIES: dict = {}
@@ -116,3 +118,56 @@ def page_sections(spark, sf_dir):
     text = F.when(k % 4 == 0, "주").when(k % 4 == 1, "회로").when(k % 4 == 2, "abc").otherwise("x")
     lines = e.select(F.expr("event_id div 256").alias("file"), F.expr("event_id div 64").alias("page"), (F.col("event_id") % 64).cast("int").alias("line"), text.alias("text"), (k % 5 == 0).alias("is_header"))
     return L.sections(lines, ["file"])
+
+
+#: Two texts of an event: places by k and by user, as the rule says; NORTHSIDE is in every nation, PORT of a nation in one.
+PLACES = f"""{E}, n AS (SELECT n_nationkey AS nk, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), r AS (SELECT r_regionkey AS rk, r_name FROM region),
+    two AS (SELECT event_id, 0 AS run, k % 7 AS kind, (k + user_id) % 25 AS nk, user_id % 5 AS rk FROM e UNION ALL SELECT event_id, 1, (k + user_id) % 7, user_id % 25, k % 5 FROM e),
+    said AS (SELECT two.*, n.n_name, n.r_name AS own, r.r_name FROM two JOIN n USING (nk) JOIN r USING (rk))"""
+
+
+@query(
+    "place_resolution",
+    f"""WITH {PLACES} SELECT event_id, run,
+      CASE kind WHEN 2 THEN 'ambiguous' WHEN 0 THEN CASE WHEN own = r_name THEN 'resolved' ELSE 'invalid' END ELSE 'resolved' END AS status,
+      CASE WHEN kind = 2 OR kind = 0 AND own <> r_name THEN NULL WHEN kind = 4 THEN r_name ELSE own END AS province,
+      CASE WHEN kind IN (2, 4) OR kind = 0 AND own <> r_name THEN NULL ELSE n_name END AS city,
+      CASE kind WHEN 3 THEN 'NORTHSIDE' WHEN 6 THEN n_name || ' PORT' END AS district FROM said""",
+)
+def place_resolution(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    at = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("nk"), "n_name", F.col("r_name").alias("own"))
+    none = F.lit(None).cast("string")
+    levels = [at.select(F.col("own").alias("province"), none.alias("city"), none.alias("district")), at.select(F.col("own").alias("province"), F.col("n_name").alias("city"), none.alias("district"))]
+    levels += [at.select(F.col("own").alias("province"), F.col("n_name").alias("city"), d.alias("district")) for d in (F.lit("NORTHSIDE"), F.concat("n_name", F.lit(" PORT")))]
+    places = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]).dropDuplicates()
+    former = {f"OLD {r.n_name}": (r.own, r.n_name, None) for r in at.collect()}  # 25 nations
+    names = G.gazetteer(places, former=former, misspelt={"NORTSIDE": "NORTHSIDE"}, provinces={})
+
+    e, k, u = events(spark, sf_dir), F.col("k"), F.col("user_id")
+    regions = region.select(F.col("r_regionkey").cast("long").alias("rk"), "r_name")
+
+    def said(kind, n, r):
+        own = e.select("event_id", kind.alias("kind"), n.alias("nk"), r.alias("rk")).join(F.broadcast(at), "nk").join(F.broadcast(regions), "rk")
+        kind, city = F.col("kind"), F.col("n_name")
+        text = F.when(kind == 0, F.concat_ws(" ", "r_name", city)).when(kind == 1, city).when(kind == 2, F.lit("NORTSIDE")).when(kind == 3, F.concat(city, F.lit(" NORTSIDE"))).when(kind == 4, F.col("r_name"))
+        return own.select("event_id", text.when(kind == 5, F.concat(F.lit("OLD "), city)).otherwise(F.concat_ws(" ", "own", city, F.concat(city, F.lit(" PORT")))).alias("t"))
+
+    one, two = said(k % 7, (k + u) % 25, u % 5), said((k + u) % 7, u % 25, k % 5).withColumnRenamed("t", "t2")
+    texts = one.join(two, "event_id").select("event_id", F.concat(F.lit("A worker fell at "), "t", F.lit(", and was brought to "), "t2", F.lit(".")).alias("text"))
+    return G.named_places(texts, "event_id", "text", names).select("event_id", "run", "status", "province", "city", "district")
+
+
+@query(
+    "state_regressions",
+    f"""WITH {E} SELECT count(*) FILTER (WHERE event_id % 17 = 3) AS lost_rows, (SELECT count(*) FROM e WHERE event_id % 101 = 5) AS added_rows,
+    count(*) FILTER (WHERE event_id % 17 <> 3 AND (k % 9 = 0 AND user_id IS NOT NULL)) AS protected_column_regressions,
+    count(*) FILTER (WHERE event_id % 17 <> 3 AND k % 3 = 2) + (SELECT count(*) FROM e WHERE event_id % 101 = 5 AND k % 3 = 2) AS idempotence_errors, false AS passed FROM e""",
+)
+def state_regressions(spark, sf_dir):
+    """A step that takes one trailing space of up to three: it drops rows, adds some, clears a protected column, and isn't done after one time."""
+    e = events(spark, sf_dir).select("event_id", "k", "user_id", F.concat("event_type", F.repeat(F.lit(" "), (F.col("k") % 3).cast("int"))).alias("text"))
+    step = lambda df: df.withColumn("text", F.regexp_replace("text", " $", ""))
+    added = e.where("event_id % 101 = 5").withColumn("event_id", -1 - F.col("event_id"))
+    after = step(e.where("event_id % 17 <> 3").unionByName(added)).withColumn("user_id", F.when((F.col("k") % 9 != 0) | (F.col("event_id") < 0), F.col("user_id")))
+    return Q.regressions(e, after, "event_id", ["k", "user_id"], step(after))

@@ -146,10 +146,9 @@ def raw_metadata_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(raw, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("found"), (F.count("*") - F.count("hit")).alias("missing"))
 
 
-@query("profile_sample_listagg", f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY chunk_id) AS rn FROM chunks) SELECT title, string_agg(left(content, 20), chr(10) ORDER BY rn) AS sample, count(*) AS n FROM r WHERE rn <= 40 GROUP BY title")
+@query("profile_sample_listagg", f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY chunk_id) AS rn FROM chunks) SELECT title, string_agg(content, chr(10) ORDER BY rn) AS sample, count(*) AS n FROM r WHERE rn <= 40 GROUP BY title")
 def profile_sample_listagg(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("title", "chunk_id", F.substring("content", 1, 20).alias("head"))
-    return R.sample_text(rows, "title", "chunk_id", "head", 40)
+    return R.sample_text(chunks(spark, sf_dir).select("title", "chunk_id", "content"), "title", "chunk_id", "content", 40)
 
 
 @query("profile_sample_whole", f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY CASE WHEN page <= 4 THEN 0 ELSE 1 END, chunk_index, chunk_id) AS rn FROM chunks) SELECT title, string_agg(content, ' ' ORDER BY rn) AS sample, count(*) AS n FROM r WHERE rn <= 40 GROUP BY title")
