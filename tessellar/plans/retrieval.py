@@ -256,7 +256,10 @@ def fetch_versions_chunks(spark, sf_dir):
     return every.join(cited, "document_id", "left_semi").select("chunk_id", "document_id", "chunk_index")
 
 
-@query("keyword_list")
+_TOKENS = "list_filter(list_transform(regexp_extract_all(lower(content), '[0-9a-z가-힣_-]+'), lambda x: regexp_replace(x, '^[_-]+|[_-]+$', '', 'g')), lambda x: length(x) >= 2)"
+
+
+@query("keyword_list", f"WITH {CHUNKS}, t AS (SELECT chunk_id, unnest({_TOKENS}) AS t, generate_subscripts({_TOKENS}, 1) AS pos FROM chunks), f AS (SELECT chunk_id, t, min(pos) AS pos FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS rn FROM f) SELECT c.chunk_id, coalesce(list(t ORDER BY pos) FILTER (rn <= 30), []) AS keywords FROM chunks c LEFT JOIN r USING (chunk_id) GROUP BY c.chunk_id")
 def keyword_list(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", F.slice(tokenize(F.col("content")), 1, 30).alias("keywords"))
 

@@ -108,7 +108,13 @@ def sentence_units(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "unit"))
 
 
-@query("useful_sentences")
+#: Units of a text: marks go in where one ends, twice, as a unit of one letter is part of two matches.
+_ENDS = "'(^|[^0-9])([.!?]\\s)(\\S)', '\\1\\2' || chr(1) || '\\3', 'g')"
+UNITS = f"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '(\\n)([^\\n])', '\\1' || chr(1) || '\\2', 'g'), {_ENDS}, {_ENDS}, chr(1)), lambda x: x <> '')"
+UNITS = f"u AS (SELECT doc_id, unnest({UNITS}) AS unit, CAST(generate_subscripts({UNITS}, 1) - 1 AS INT) AS pos FROM documents)"
+
+
+@query("useful_sentences", f"WITH {UNITS}, t AS (SELECT doc_id, pos, trim(unit) AS unit FROM u) SELECT * FROM t WHERE length(unit) >= 10 AND NOT regexp_matches(unit, '^[\\d\\s.,-]+$') AND length(unit) - length(replace(unit, '|', '')) < 2 AND len(regexp_extract_all(unit, '\\S+:\\s')) < 3 AND regexp_matches(unit, '[A-Za-z가-힣]')")
 def useful_sentences(spark, sf_dir):
     units = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "unit"))
     return units.withColumn("unit", F.trim("unit")).where(T.useful_sentence(F.col("unit")))
@@ -142,18 +148,27 @@ def section_paths(spark, sf_dir):
     return C.with_section_paths(rows, "document", "ord")
 
 
-@query("intent_ladder")
+_Q = "lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))"
+_DOC, _FOR, _ACT, _HOW, _PART, _ANY, _PLAIN = (f"regexp_matches(q, '{x}')" for x in (A.DOCUMENT, A.DOCUMENT_PURPOSE, A.ACTION, A.ACTION_PURPOSE, A.COMPONENT_PURPOSE, A.GENERIC, A.PLAIN_ACTION))
+_RUNGS = ((f"{_DOC} AND {_FOR}", "document_qa", 0.96), (f"{_PART} AND NOT {_HOW}", "component_info", 0.94), (f"{_ACT} AND ({_HOW} OR NOT {_DOC} OR {_PLAIN})", "maintenance_guide", 0.92), (_PART, "component_info", 0.86), (_DOC, "document_qa", 0.72), (f"{_ANY} OR len(string_split(q, ' ')) <= 4", "clarification_required", 0.62), ("true", "clarification_required", 0.5))
+
+
+@query("intent_ladder", f"WITH c AS (SELECT conv_id, turn, text AS question, {_Q} AS q FROM conversations) SELECT conv_id, turn, question, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in _RUNGS) + " END AS intent, CAST(CASE " + " ".join(f"WHEN {c} THEN {v}" for c, _, v in _RUNGS) + " END AS DOUBLE) AS confidence FROM c")
 def intent_ladder(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
     return A.intents(rows, "question", F.lit(False))
 
 
-@query("best_sentence")
+_TERMS = "(contains(lower(unit), 'tion')::INT + contains(lower(unit), 'heit')::INT + contains(lower(unit), 'que')::INT)"
+_SIGNALS = "(contains(lower(unit), 'the')::INT + contains(lower(unit), 'der')::INT)"
+
+
+@query("best_sentence", f"WITH {UNITS}, s AS (SELECT *, round({_TERMS} / 3.0::DOUBLE + CASE WHEN {_SIGNALS} > 0 THEN 0.3::DOUBLE ELSE 0 END - 0.02::DOUBLE * pos, 6) AS score FROM u) SELECT doc_id, pos, trim(unit) AS unit, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1")
 def best_sentence(spark, sf_dir):
     return A.best_sentence(table(spark, sf_dir, "documents"), "doc_id", "text", ["tion", "heit", "que"], ["the", "der"])
 
 
-@query("top_sentences")
+@query("top_sentences", f"WITH {UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 2 * {_TERMS} + {_SIGNALS} - length(unit) / 400.0::DOUBLE DESC, pos) AS rn FROM u) SELECT doc_id, string_agg(trim(unit), ' ' ORDER BY pos) AS summary FROM r WHERE rn <= 3 GROUP BY doc_id")
 def top_sentences(spark, sf_dir):
     return A.top_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", ["tion", "heit", "que"], ["the", "der"], 3)
 
