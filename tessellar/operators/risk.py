@@ -18,16 +18,19 @@ class Rule:
     severity: int
     keywords: tuple[str, ...]
     checklist: tuple[str, ...] = ()
+    safety: tuple[str, ...] = ()
 
 
-# Keywords, levels and checklists of the rules; the default applies where none matches.
+# Keywords, levels, checklists and safety actions of the rules; the default applies where none matches.
 RULES = (
-    Rule("회전체 및 구동부 끼임 위험", "끼임", 3, 4, ("컨베이어", "벨트", "체인", "베어링", "회전체"), ("주전원 차단과 잠금·표지 상태 확인", "회전체 완전 정지 확인", "방호덮개와 작업구역 출입통제 확인")),
-    Rule("설비 불시 재가동 위험", "불시기동", 3, 4, ("정비", "점검", "청소", "교체", "이물질", "조정"), ("작업허가 및 담당자 확인", "잔류 에너지 제거 확인", "재가동 금지 표지와 연락 절차 확인")),
-    Rule("전기에너지 접촉 위험", "감전", 2, 4, ("전기", "모터", "판넬", "전압", "전원", "감전"), ("무전압 상태 확인", "잔류전하 방전 여부 확인", "전기작업 보호구와 절연공구 확인")),
-    Rule("고온·불꽃에 의한 화재 위험", "화재", 2, 4, ("용접", "불꽃", "화재", "가연성", "고온"), ("화기작업 허가 확인", "가연물 제거와 소화설비 배치 확인", "작업 종료 후 잔불 점검 계획 확인")),
+    Rule("회전체 및 구동부 끼임 위험", "끼임", 3, 4, ("컨베이어", "벨트", "체인", "베어링", "회전체"), ("주전원 차단과 잠금·표지 상태 확인", "회전체 완전 정지 확인", "방호덮개와 작업구역 출입통제 확인"), ("설비의 모든 에너지원을 차단하고 잠금·표지 절차를 확인합니다.", "회전체가 완전히 정지했는지 직접 확인합니다.", "방호덮개를 임의로 해제한 상태에서 작업하지 않습니다.")),
+    Rule("설비 불시 재가동 위험", "불시기동", 3, 4, ("정비", "점검", "청소", "교체", "이물질", "조정"), ("작업허가 및 담당자 확인", "잔류 에너지 제거 확인", "재가동 금지 표지와 연락 절차 확인"), ("정비 시작 전 작업허가와 설비 정지 상태를 확인합니다.", "에너지 차단 지점을 식별하고 잔류 에너지를 제거합니다.", "재가동 권한자와 작업자 사이의 연락 절차를 확인합니다.")),
+    Rule("전기에너지 접촉 위험", "감전", 2, 4, ("전기", "모터", "판넬", "전압", "전원", "감전"), ("무전압 상태 확인", "잔류전하 방전 여부 확인", "전기작업 보호구와 절연공구 확인"), ("차단기 개방 후 무전압 상태를 적절한 계측기로 확인합니다.", "잔류전하와 유도전압 가능성을 확인합니다.", "사업장 전기작업 절차와 적합한 보호구를 확인합니다.")),
+    Rule("고온·불꽃에 의한 화재 위험", "화재", 2, 4, ("용접", "불꽃", "화재", "가연성", "고온"), ("화기작업 허가 확인", "가연물 제거와 소화설비 배치 확인", "작업 종료 후 잔불 점검 계획 확인"), ("가연물을 제거하고 화기작업 허가 여부를 확인합니다.", "적합한 소화설비와 화재감시자를 배치합니다.", "작업 종료 후 잔불과 고온부를 확인합니다.")),
 )
-DEFAULT = Rule("작업 조건 추가 확인 필요", "미분류", 2, 2, (), ("제조사·모델·부품번호 확인", "사업장 작업표준서와 담당자 확인"))
+#: Checklist item of a request without evidence.
+NO_EVIDENCE = "공통 안전수칙(문서 근거 없음): 제조사 매뉴얼과 현장 절차를 추가 확인"
+DEFAULT = Rule("작업 조건 추가 확인 필요", "미분류", 2, 2, (), ("제조사·모델·부품번호 확인", "사업장 작업표준서와 담당자 확인"), ("설비·부품·에너지원과 작업 절차를 추가로 확인합니다.", "근거 문서가 연결되기 전에는 작업 가능 여부를 확정하지 않습니다."))
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
@@ -43,7 +46,7 @@ def hazards(requests: DataFrame, rules: tuple[Rule, ...] = RULES, default: Rule
     is joined or shuffled.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    struct = lambda i, r: F.struct(F.lit(i).alias("rule"), F.lit(r.name).alias("name"), F.lit(r.accident_type).alias("accident_type"), F.lit(r.likelihood).alias("likelihood"), F.lit(r.severity).alias("severity"), F.array(*map(F.lit, r.checklist)).cast("array<string>").alias("checklist"))
+    struct = lambda i, r: F.struct(F.lit(i).alias("rule"), F.lit(r.name).alias("name"), F.lit(r.accident_type).alias("accident_type"), F.lit(r.likelihood).alias("likelihood"), F.lit(r.severity).alias("severity"), F.array(*map(F.lit, r.checklist)).cast("array<string>").alias("checklist"), F.array(*map(F.lit, r.safety)).cast("array<string>").alias("safety_actions"))
     found = []
     for i, r in enumerate(rules):
         hit = F.lit(False)
@@ -57,6 +60,29 @@ def hazards(requests: DataFrame, rules: tuple[Rule, ...] = RULES, default: Rule
     return rows.withColumn("score", score).withColumn("risk_level", risk_level(score))
 
 
+def evidence_actions(evidence: DataFrame, key: str = "request_id", most: int = 3) -> DataFrame:
+    """(key, actions): for the first pieces of evidence (retrieval_rank, title, page_start) that the original is to be compared with."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("retrieval_rank", "title"))
+    first = evidence.withColumn("n", n).where(F.col("n") <= most)
+    page = F.when(F.coalesce("page_start", F.lit(0)) != 0, F.concat(F.lit(" ("), F.col("page_start").cast("string"), F.lit("쪽)"))).otherwise("")
+    said = F.concat(F.lit("근거 ["), F.col("retrieval_rank").cast("string"), F.lit("] "), F.col("title"), page, F.lit("의 관련 절차를 원문과 대조합니다."))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", said.alias("said")))), lambda x: x["said"]).alias("actions"))
+
+
+def with_evidence(found: DataFrame, evidence: DataFrame, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Hazards with their evidence's actions after their own, each once; and (key, sequence, item) of the whole checklist.
+
+    A request without evidence has the common rule as the last item of its checklist.
+    """
+    actions = evidence_actions(evidence, key)
+    more = F.coalesce("actions", F.array().cast("array<string>"))
+    rows = found.join(actions, key, "left").withColumn("safety_actions", F.array_distinct(F.concat("safety_actions", more))).drop("actions")
+    own = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rule", "checklist"))), lambda x: x["checklist"]))
+    items = found.groupBy(key).agg(own.alias("own")).join(actions, key, "left")
+    whole = F.array_distinct(F.concat("own", F.coalesce("actions", F.array(F.lit(NO_EVIDENCE)))))
+    return rows, items.select(key, F.posexplode(whole).alias("pos", "item")).select(key, (F.col("pos") + 1).alias("sequence"), "item")
+
+
 def checklists(found: DataFrame, key: str = "request_id", most: int = 5) -> DataFrame:
     """Ordered distinct items over a request's rules, numbered from 1."""
     items = found.select(key, "rule", F.posexplode("checklist").alias("pos", "item"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessellar.operators import answers as A
@@ -9,6 +10,7 @@ from tessellar.operators import gazetteer as G
 from tessellar.operators import layout as L
 from tessellar.operators import nested as N
 from tessellar.operators import quality as Q
+from tessellar.operators import risk as K
 from tessellar.plans.base import table
 
 QUERIES: dict = {}
@@ -171,3 +173,34 @@ def state_regressions(spark, sf_dir):
     added = e.where("event_id % 101 = 5").withColumn("event_id", -1 - F.col("event_id"))
     after = step(e.where("event_id % 17 <> 3").unionByName(added)).withColumn("user_id", F.when((F.col("k") % 9 != 0) | (F.col("event_id") < 0), F.col("user_id")))
     return Q.regressions(e, after, "event_id", ["k", "user_id"], step(after))
+
+
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_all = (*enumerate(K.RULES), (-1, K.DEFAULT))
+#: A request of an event: a task and a part, each from words of which some are no rule's; evidence by other events of the answer.
+ASKED = ("컨베이어", "벨트 청소", "모터", "용접", "문서", "전압과 베어링", "산책")
+RISK = f"""{E}, rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{r.name}', {_list(r.keywords)}::VARCHAR[], {_list(r.checklist)}, {_list(r.safety)})" for i, r in _all)}) r(rule, name, keys, items, acts)),
+    q AS (SELECT event_id, answer_id, {_list(ASKED)}[k % 7 + 1] || ' 및 ' || {_list(ASKED)}[user_id % 7 + 1] AS t FROM e),
+    hit AS (SELECT event_id, answer_id, rules.* FROM q JOIN rules ON len(list_filter(keys, lambda x: contains(t, x))) > 0), h AS (SELECT * FROM hit UNION ALL SELECT event_id, answer_id, rules.* FROM q, rules WHERE rule = -1 AND event_id NOT IN (SELECT event_id FROM hit)),
+    n AS (SELECT answer_id, k AS retrieval_rank, event_type AS title, user_id % 4 AS page_start, row_number() OVER (PARTITION BY answer_id ORDER BY k, event_type, user_id % 4) AS n FROM e WHERE k % 3 = 0),
+    v AS (SELECT answer_id, list('근거 [' || retrieval_rank || '] ' || title || CASE WHEN page_start <> 0 THEN ' (' || page_start || '쪽)' ELSE '' END || '의 관련 절차를 원문과 대조합니다.' ORDER BY n) AS acts FROM n WHERE n <= 3 GROUP BY answer_id)"""
+
+
+def _assessed(spark, sf_dir):
+    e = events(spark, sf_dir)
+    word = lambda n: F.element_at(F.array(*map(F.lit, ASKED)), (n % 7 + 1).cast("int"))
+    found = K.hazards(e.select("event_id", F.concat(word(F.col("k")), F.lit(" 및 "), word(F.col("user_id"))).alias("text")), key="event_id")
+    kept = e.where("k % 3 = 0").select("answer_id", F.col("k").alias("retrieval_rank"), F.col("event_type").alias("title"), (F.col("user_id") % 4).alias("page_start"))
+    first = F.row_number().over(Window.partitionBy("answer_id").orderBy("retrieval_rank", "title", "page_start"))
+    evidence = e.select("event_id", "answer_id").join(kept.withColumn("n", first).where("n <= 3"), "answer_id").drop("answer_id")
+    return K.with_evidence(found, evidence, "event_id")
+
+
+@query("safety_actions", f"WITH {RISK}, a AS (SELECT event_id, name, unnest(list_concat(h.acts, coalesce(v.acts, []))) AS act, generate_subscripts(list_concat(h.acts, coalesce(v.acts, [])), 1) AS pos FROM h LEFT JOIN v USING (answer_id)), f AS (SELECT event_id, name, act, min(pos) AS pos FROM a GROUP BY ALL) SELECT event_id, name, string_agg(act, '; ' ORDER BY pos) AS actions FROM f GROUP BY ALL")
+def safety_actions(spark, sf_dir):
+    return _assessed(spark, sf_dir)[0].select("event_id", "name", F.array_join("safety_actions", "; ").alias("actions"))
+
+
+@query("evidence_checklist", f"WITH {RISK}, i AS (SELECT event_id, rule, unnest(items) AS item, unnest(range(len(items))) AS pos FROM h UNION ALL SELECT q.event_id, 99, unnest(coalesce(v.acts, ['{K.NO_EVIDENCE}'])), unnest(range(len(coalesce(v.acts, ['x'])))) FROM q LEFT JOIN v USING (answer_id)), f AS (SELECT event_id, item, min((rule, pos)) AS fst FROM i GROUP BY ALL) SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY fst, item) AS INT) AS sequence, item FROM f")
+def evidence_checklist(spark, sf_dir):
+    return _assessed(spark, sf_dir)[1]
