@@ -53,6 +53,38 @@ def scope_clause(types: list[str] | None = None, documents: list[int] | None = N
     return out
 
 
+def selected(column: str, chosen: list, supplements: bool) -> Column:
+    """An independent restriction by documents or versions; none if nothing is chosen, and public supplements pass it."""
+    if not chosen:
+        return F.lit(True)
+    out = F.coalesce(F.col(column).isin(chosen), F.lit(False))
+    return out | ((F.col("document_scope") == "public") & (F.col("access_level") == "public")) if supplements else out
+
+
+def may_read(scope: Scope, deleted: str = "deleted_at") -> Column:
+    """The access check of one document row: not deleted, active, and in scope."""
+    return F.col(deleted).isNull() & (F.col("lifecycle_status") == "active") & F.coalesce(in_scope(scope), F.lit(False))
+
+
+def candidates(chunks: DataFrame, documents: DataFrame, types: DataFrame, versions: DataFrame, scope: Scope, user: int | None = None, chosen_documents: list | None = None, chosen_versions: list | None = None, supplements: bool = False) -> DataFrame:
+    """Ready chunks with their document, type and version, as far as a request may see them.
+
+    chunks (document_id, version_id, embedding_status), documents (document_id, type_code, access_level, site_id, lifecycle_status,
+    deleted_at), types (type_code, document_scope, is_active), versions (version_id, document_id, version_number, status,
+    uploaded_by). Seen are chunks of active versions, or of none, of documents that may be read; and, of chosen company
+    documents, the newest version under review that the user uploaded. Types and each user's drafts are joined as they are
+    small by nature; Spark decides by size how.
+    """
+    own = versions.where((F.col("status") == "review_required") & (F.col("uploaded_by") == user)) if user is not None else versions.limit(0)
+    newest = own.groupBy("document_id").agg(F.max("version_number").alias("newest_own"))
+    rows = chunks.where("embedding_status = 'ready'").join(documents.where("deleted_at is null"), "document_id").join(types.where("is_active"), "type_code")
+    rows = rows.join(versions.select("version_id", "version_number", "status", "uploaded_by"), "version_id", "left").join(newest, "document_id", "left")
+    live = may_read(scope) & (F.col("version_id").isNull() | F.coalesce(F.col("status") == "active", F.lit(False)))
+    draft = F.coalesce((F.col("document_scope") == "company") & (F.col("status") == "review_required") & (F.col("uploaded_by") == user) & (F.col("version_number") == F.col("newest_own")), F.lit(False)) if user is not None else F.lit(False)
+    draft &= F.col("document_id").isin(chosen_documents) if chosen_documents else F.lit(False)
+    return rows.where((live | draft) & selected("document_id", chosen_documents or [], supplements) & selected("version_id", chosen_versions or [], supplements)).drop("newest_own")
+
+
 def bucket_of(source_type: Column) -> Column:
     return F.when(source_type.isin("equipment_manual", "component_manual"), "manual").otherwise(source_type)
 

@@ -273,3 +273,34 @@ def metadata_inheritance(spark, sf_dir):
     # the chunk's values win: the document's keys that it doesn't have, and its own
     merged = F.map_concat(F.map_filter(doc, lambda k, v: ~F.map_contains_key(own, k)), own)
     return chunks(spark, sf_dir).select("chunk_id", merged["source"].alias("doc_source"), merged["level"].alias("merged"), merged["kind"].alias("kept"))
+
+
+CHOSEN = list(range(0, 90, 2))
+#: Customers as documents, nations as types, orders as versions, their lines as chunks.
+FOUR = f"""d AS (SELECT c_custkey AS document_id, c_nationkey AS type_code, CASE c_custkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'site' ELSE 'private' END AS access_level, c_custkey % 5 AS site_id, CASE WHEN c_custkey % 7 = 3 THEN 'draft' ELSE 'active' END AS lifecycle_status, CASE WHEN c_custkey % 13 = 1 THEN 1 END AS deleted_at FROM customer),
+    y AS (SELECT n_nationkey AS type_code, CASE WHEN n_regionkey % 2 = 0 THEN 'public' ELSE 'company' END AS document_scope, n_nationkey % 6 <> 1 AS is_active FROM nation),
+    v AS (SELECT o_orderkey AS version_id, o_custkey AS document_id, o_orderkey AS version_number, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'review_required' ELSE 'superseded' END AS status, o_orderkey % 3 AS uploaded_by FROM orders),
+    c AS (SELECT l_orderkey * 8 + l_linenumber AS chunk_id, o_custkey AS document_id, CASE WHEN l_linenumber % 4 <> 0 THEN l_orderkey END AS version_id, CASE WHEN l_linenumber = 3 THEN 'pending' ELSE 'ready' END AS embedding_status FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "four_way_candidates",
+    f"""WITH {FOUR} SELECT chunk_id, c.document_id, c.version_id, document_scope, status FROM c JOIN d USING (document_id) JOIN y USING (type_code) LEFT JOIN v ON v.version_id = c.version_id
+    WHERE embedding_status = 'ready' AND deleted_at IS NULL AND is_active AND (
+      (lifecycle_status = 'active' AND (c.version_id IS NULL OR status = 'active') AND ((document_scope = 'public' AND access_level = 'public') OR (document_scope = 'company' AND access_level <> 'private' AND site_id IN (0, 1, 2))))
+      OR (c.document_id IN {tuple(CHOSEN)} AND document_scope = 'company' AND status = 'review_required' AND uploaded_by = 2 AND version_number = (SELECT max(w.version_number) FROM v w WHERE w.document_id = c.document_id AND w.status = 'review_required' AND w.uploaded_by = 2)))
+    AND (c.document_id IN {tuple(CHOSEN)} OR (document_scope = 'public' AND access_level = 'public'))""",
+)
+def four_way_candidates(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    k, n, o = F.col("c_custkey"), F.col("n_nationkey"), F.col("o_orderkey")
+    access = F.when(k % 3 == 0, "public").when(k % 3 == 1, "site").otherwise("private")
+    documents = t("customer").select(k.alias("document_id"), F.col("c_nationkey").alias("type_code"), access.alias("access_level"), (k % 5).alias("site_id"), F.when(k % 7 == 3, "draft").otherwise("active").alias("lifecycle_status"), F.when(k % 13 == 1, 1).alias("deleted_at"))
+    types = t("nation").select(n.alias("type_code"), F.when(F.col("n_regionkey") % 2 == 0, "public").otherwise("company").alias("document_scope"), (n % 6 != 1).alias("is_active"))
+    status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "review_required").otherwise("superseded")
+    versions = t("orders").select(o.alias("version_id"), F.col("o_custkey").alias("document_id"), o.alias("version_number"), status.alias("status"), (o % 3).alias("uploaded_by"))
+    line = F.col("l_linenumber")
+    lines = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("document_id")), "l_orderkey")
+    rows = lines.select((F.col("l_orderkey") * 8 + line).alias("chunk_id"), "document_id", F.when(line % 4 != 0, F.col("l_orderkey")).alias("version_id"), F.when(line == 3, "pending").otherwise("ready").alias("embedding_status"))
+    found = R.candidates(rows, documents, types, versions, SCOPE, user=2, chosen_documents=CHOSEN, supplements=True)
+    return found.select("chunk_id", "document_id", "version_id", "document_scope", "status")
