@@ -150,8 +150,14 @@ class ByteBpe(dict):
 
     def backtrack(self, raw: str) -> list[int]:
         n = len(raw)
-        starting = self.hits(raw, 0, n) if n <= WINDOW else Windows(self, raw)
-        out, ways = array("I"), array("H")
+        out: list[int] | array = []
+        ways: list[int] | array = []
+        if n <= WINDOW:
+            starting = [[] for _ in range(n + 1)]  # shortest first
+            for end, (rank, size) in self.automaton.iter(raw):
+                starting[end - size + 1].append((rank, end + 1))
+        else:
+            starting, out, ways = Windows(self, raw), array("I"), array("H")
         dead = bytearray(n + 1)
         at, way = 0, len(starting[0]) - 1
         while at < n:
@@ -169,7 +175,7 @@ class ByteBpe(dict):
                 dead[at] = 1
                 at -= self.size_of[out.pop()]
                 way = ways.pop() - 1
-        return out.tolist()
+        return list(out)
 
     def hits(self, raw: str, begin: int, end: int) -> list[list[tuple[int, int]]]:
         """(entry, its end) of all entries that start at each place from begin up to end, shortest first; and none at end."""
