@@ -65,6 +65,23 @@ def pdf_pages(spark: SparkSession, path: str, **limits) -> DataFrame:
     return rows.groupBy("path", "page", "error").agg(text.alias("text")).select("path", "page", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
+def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, page, text, error) by a caller's extractor, which gives the pages' texts of one file: as for files with pictures of text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            out = []
+            for name, content in zip(own["path"], own["content"], strict=True):
+                try:
+                    out += [(name, i + 1, text, None) for i, text in enumerate(extract(bytes(content)))]
+                except Exception as e:  # any error of the caller's library is the file's state
+                    out.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, page int, text string, error string")
+
+
 def pdf_outline(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
     """(path, place, level, title, page, error) of every bookmark, in order; page 0 if it leads to no page."""
     rows_of = lambda pdf: ((k, *row) for k, row in enumerate(pdf.outline(), 1))
