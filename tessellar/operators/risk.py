@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tessellar.functions.numbers import METRES_PER_DEGREE, haversine_m, risk_level
 
@@ -91,22 +93,59 @@ def checklists(found: DataFrame, key: str = "request_id", most: int = 5) -> Data
     return first.withColumn("sequence", n).where(F.col("sequence") <= most).select(key, "sequence", "item")
 
 
-def within_radius(points: DataFrame, equipment: DataFrame, metres: float) -> DataFrame:
-    """Equipment within a radius of each point, by haversine distance.
+def in_blocks(left: DataFrame, right: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Inner join on equal keys; where a key has over `most` rows on the right, they are dealt to several tasks.
 
-    Both sides get cells at least a radius wide and a point looks at its own and the eight around
-    it, so candidates come from a join on equal keys instead of a product. Latitudes up to 80 degrees.
+    The left side keeps as many partitions as the session shuffles to: few bytes may make many rows here, which
+    Spark cannot know when it merges small partitions.
     """
-    step = metres / METRES_PER_DEGREE * 1.01
-    wide = step / 0.17  # a degree of longitude at 80 degrees
-    cell = lambda lat, lon: (F.floor(F.col(lat) / step).cast("long"), F.floor(F.col(lon) / wide).cast("long"))
-    y, x = cell("lat", "lon")
-    at = equipment.withColumn("cy", y).withColumn("cx", x)
-    y, x = cell("point_lat", "point_lon")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = right.groupBy(*key).count().where(F.col("count") > most).select(*key, F.ceil(F.col("count") / most).cast("int").alias("__blocks"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    plain = [f.name for f in right.schema.fields if isinstance(f.dataType, AtomicType)]
+    dealt = right.join(F.broadcast(often), key, "left").withColumn("__block", F.pmod(F.xxhash64(*plain), blocks).cast("int")).drop("__blocks")
+    every = left.join(F.broadcast(often), key, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__blocks")
+    return every.repartition(tasks, *key, "__block").join(dealt, [*key, "__block"]).drop(*key, "__block")
+
+
+def within_radius(points: DataFrame, equipment: DataFrame, metres: float, digits: int | None = None, most: int = 10_000) -> DataFrame:
+    """Equipment within a radius of each point, by haversine distance, which is then rounded to digits if given.
+
+    Distances are taken and rounded once for each two positions, however many points and equipment share them.
+    Both sides get cells at least a radius wide at their latitude, counted around the globe, and a position looks
+    at its own and the eight around it, so candidates come from a join on equal keys instead of a product.
+    """
+    step = max(metres, 1.0) / METRES_PER_DEGREE * 1.01
+    reach = math.sin(math.radians(min(step, 90.0)))
+
+    def cells(band: Column) -> Column:
+        """Around the globe; one where the radius takes in a pole."""
+        least = F.cos(F.radians(F.least(F.greatest(F.abs(band * step), F.abs((band + 1) * step)), F.lit(90.0))))
+        return F.when(least <= reach, F.lit(1).cast("long")).otherwise(F.floor(360 / F.degrees(F.asin(F.least(reach / least, F.lit(1.0))))))
+
+    def positions(rows: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+        at = rows.select(F.col(lat).alias(f"{name}_lat"), F.col(lon).alias(f"{name}_lon")).distinct()
+        return at.where(F.greatest(F.abs(f"{name}_lat"), F.abs(f"{name}_lon")) < float("inf"))
+
+    def placed(rows: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+        """A hash of the position to join by, as floating keys would be shuffled twice; the positions themselves are compared then."""
+        return rows.withColumn(name, F.xxhash64(lat, lon))
+
+    to = positions(equipment, "lat", "lon", "__to").withColumn("cy", F.floor(F.col("__to_lat") / step))
+    to = to.withColumn("cx", F.pmod(F.floor(F.col("__to_lon") * cells(F.col("cy")) / 360), cells(F.col("cy"))))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    looked = points.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).withColumn("cy", y + F.col("dy")).withColumn("cx", x + F.col("dx"))
-    distance = haversine_m(F.col("point_lat"), F.col("point_lon"), F.col("lat"), F.col("lon"))
-    return looked.join(at, ["cy", "cx"]).withColumn("distance_m", distance).where(F.col("distance_m") <= metres).drop("cy", "cx", "dy", "dx")
+    looked = positions(points, "point_lat", "point_lon", "__at").withColumn("dy", F.explode(near)).withColumn("cy", F.floor(F.col("__at_lat") / step) + F.col("dy")).withColumn("n", cells(F.col("cy")))
+    own = F.floor(F.col("__at_lon") * F.col("n") / 360)
+    looked = looked.withColumn("cx", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(own + d, F.col("n")))))).drop("dy", "n")
+    distance = haversine_m(F.col("__at_lat"), F.col("__at_lon"), F.col("__to_lat"), F.col("__to_lon"))
+    pairs = in_blocks(looked, to, ["cy", "cx"], most).withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
+    if digits is not None:
+        pairs = pairs.withColumn("distance_m", F.round("distance_m", digits))
+    same = lambda a, b: (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))  # noqa: E731  not taken for a key
+    pairs = placed(placed(pairs, "__at_lat", "__at_lon", "__at"), "__to_lat", "__to_lon", "__to")
+    pairs = in_blocks(pairs, placed(equipment, "lat", "lon", "__to"), ["__to"], most).where(same("__to_lat", "lat") & same("__to_lon", "lon"))
+    found = in_blocks(pairs, placed(points, "point_lat", "point_lon", "__at"), ["__at"], most).where(same("__at_lat", "point_lat") & same("__at_lon", "point_lon"))
+    return found.select(*points.columns, *equipment.columns, "distance_m")
 
 
 def first_known(*choices: Column) -> Column:

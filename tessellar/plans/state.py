@@ -272,8 +272,8 @@ HAVERSINE = "2 * 6371000.0 * asin(sqrt(power(sin(radians(lat - point_lat) / 2),
 def radius_join(spark, sf_dir):
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (35.0 + (k % 101) / 2100.0).alias("point_lat"), (129.0 + (k % 83) / 1900.0).alias("point_lon"))
-    out = K.within_radius(points, equipment(spark, sf_dir).where("is_active"), 400.0)
-    return out.select("point_id", "equipment_id", F.round("distance_m", 3).alias("distance_m"))
+    out = K.within_radius(points, equipment(spark, sf_dir).where("is_active"), 400.0, digits=3)
+    return out.select("point_id", "equipment_id", "distance_m")
 
 
 @query("nearest_sort", f"WITH {EQUIPMENT}, p AS (SELECT *, 35.01 AS point_lat, 129.02 AS point_lon FROM equipment) SELECT equipment_id, round({HAVERSINE}, 3) AS distance_m FROM p ORDER BY {HAVERSINE}, equipment_id LIMIT 20")
