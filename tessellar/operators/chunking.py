@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ from html.parser import HTMLParser
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,18 +166,118 @@ def section_paths(headings: list[tuple[int, str]]) -> list[list[str]]:
     return out
 
 
-def with_section_paths(headings: DataFrame, document: str, order: str) -> DataFrame:
-    """headings (document, order, level, title) with path, one document's bounded outline at a time.
+def _runs(batch: pa.RecordBatch, document: str) -> Iterator[tuple[tuple, int, int]]:
+    """((document, piece), first row, row after the last) of each run of equal ones."""
+    cuts = sorted({0}.union(*(pc.run_end_encode(batch[c]).run_ends.to_pylist() for c in (document, "__piece")))) if batch.num_rows else []
+    for start, end in zip(cuts, cuts[1:]):
+        yield (batch[document][start].as_py(), batch["__piece"][start].as_py()), start, end
+
+
+def _levels(batch: pa.RecordBatch) -> list:
+    """A missing level is NaN: it closes no heading, and none closes it."""
+    own = batch["level"]
+    return [math.nan if x is None else x for x in own.to_pylist()] if own.null_count else own.to_numpy(zero_copy_only=False).tolist()
 
-    Headings of equal order follow each other by level, then title.
-    """
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([order, "level", "title"])
-        return own.assign(path=section_paths(list(zip(own["level"], own["title"], strict=True))))
+def _close(stack: list[tuple], level: float) -> None:
+    while stack and stack[-1][0] >= level:
+        stack.pop()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in headings.schema.fields)
-    return headings.groupBy(document).applyInPandas(run, f"{fields}, path array<string>")
+
+def with_section_paths(headings: DataFrame, document: str, order: str, size: int = 250_000) -> DataFrame:
+    """headings (document, order, level, title) with path.
+
+    Headings of equal order follow each other by level, then title. A document of over about `size` headings is cut
+    by their order into pieces, and tasks read pieces as a stream, so neither is held whole. What is open where a
+    piece ends is a few titles; carried from piece to piece, they go above the paths of the next. Cuts come from a
+    sample, by a hash of the rows: it decides how even the pieces are, nothing else.
+    """
+    each = 100  # rows of the sample to a piece
+    last = lambda c: F.struct(F.col(c).isNull(), F.col(c))  # noqa: E731  as nulls come last
+    place = F.struct(last(order), last("level"), last("title"))
+    sample = headings.where(F.pmod(F.xxhash64(document, order, "level", "title"), F.lit(max(size // each, 1))) == 0)
+    places = sample.groupBy(F.col(document).alias("__of")).agg(F.sort_array(F.collect_list(place)).alias("__places"))
+    cuts = places.where(F.size("__places") > each).select("__of", F.array_distinct(F.filter("__places", lambda _, i: (i > 0) & (i % each == 0))).alias("__cuts"))
+    piece = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(-1))
+    dealt = headings.join(F.broadcast(cuts), F.col(document).eqNullSafe(F.col("__of")), "left").withColumn("__piece", F.when(F.col("__cuts").isNull(), -1).otherwise(piece)).drop("__of", "__cuts")
+    ordered = dealt.repartition(document, "__piece").sortWithinPartitions(document, "__piece", *(F.col(c).asc_nulls_last() for c in (order, "level", "title")))
+    kind = {f.name: f.dataType.simpleString() for f in headings.schema.fields}
+    outline = f"`{document}` {kind[document]}, __piece int, __open array<struct<level: {kind['level']}, title: {kind['title']}>>"
+
+    def own_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack, kept = None, [], []  # (level, place of the title): in what was open before the batch, then in the batch
+        for batch in batches:
+            titles = pa.concat_arrays([pa.array(kept, batch["title"].type), batch["title"]])
+            stack = [(level, i) for i, (level, _) in enumerate(stack)]
+            flat, ends, lowest, levels, before = [], [0], [], _levels(batch), len(kept)
+            for key, start, end in _runs(batch, document):
+                if key != at:
+                    at, stack = key, []
+                for i in range(start, end):
+                    level = levels[i]
+                    while stack and stack[-1][0] >= level:
+                        stack.pop()
+                    stack.append((level, before + i))
+                    flat.extend([x for _, x in stack])
+                    ends.append(len(flat))
+                    lowest.append(stack[0][0])
+            paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), titles.take(pa.array(flat, pa.int64())))
+            kept = [titles[i].as_py() for _, i in stack]
+            yield pa.RecordBatch.from_arrays([*batch.columns, paths, pa.array(lowest, batch["level"].type, from_pandas=True)], [*batch.schema.names, "path", "__lowest"])
+
+    def listed(found: list[tuple[tuple, list[tuple]]], of: pa.DataType, level: pa.DataType, title: pa.DataType) -> pa.RecordBatch:
+        opened = [[{"level": None if x != x else x, "title": t} for x, t in stack] for _, stack in found]
+        columns = [pa.array([k[0] for k, _ in found], of), pa.array([k[1] for k, _ in found], pa.int32()), pa.array(opened, pa.list_(pa.struct([("level", level), ("title", title)])))]
+        return pa.RecordBatch.from_arrays(columns, [document, "__piece", "__open"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack, kinds = None, [], ()
+        for batch in batches:
+            kinds, found, levels = (batch[document].type, batch["level"].type, batch["title"].type), [], _levels(batch)
+            for key, start, end in _runs(batch, document):
+                if key[1] < 0:
+                    continue
+                if key != at:
+                    if at is not None:
+                        found.append((at, stack))
+                    at, stack = key, []
+                new = []  # (level, row), as far as what was open before the batch is not closed
+                for i in range(start, end):
+                    level = levels[i]
+                    while new and new[-1][0] >= level:
+                        new.pop()
+                    if not new:
+                        _close(stack, level)
+                    new.append((level, i))
+                stack += [(level, batch["title"][i].as_py()) for level, i in new]
+            if found:
+                yield listed(found, *kinds)
+        if at is not None:
+            yield listed([(at, stack)], *kinds)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, stack = None, []
+        for batch in batches:
+            found = []
+            inner = batch["__open"].type.value_type
+            for name, number, opened in zip(*(batch[c].to_pylist() for c in (document, "__piece", "__open")), strict=True):
+                if (name,) != of:
+                    of, stack = (name,), []
+                found.append(((name, number), stack))
+                own = [(math.nan if x["level"] is None else x["level"], x["title"]) for x in opened]
+                stack = list(stack)
+                _close(stack, own[0][0])
+                stack += own
+            yield listed(found, batch[document].type, inner.field("level").type, inner.field("title").type)
+
+    by_piece = ordered.mapInArrow(ends, outline).repartition(document).sortWithinPartitions(document, "__piece").mapInArrow(carried, outline)
+    before = by_piece.where(F.size("__open") > 0).select(F.col(document).alias("__of"), F.col("__piece").alias("__next"), "__open")
+    fields = ", ".join(f"`{c}` {t}" for c, t in kind.items())
+    own = ordered.mapInArrow(own_paths, f"{fields}, __piece int, path array<{kind['title']}>, __lowest {kind['level']}")
+    both = own.join(F.broadcast(before), F.col(document).eqNullSafe(F.col("__of")) & (F.col("__piece") == F.col("__next")), "left")
+    stays = F.array_max(F.transform("__open", lambda x, i: F.when(F.coalesce(x["level"] < F.col("__lowest"), F.lit(True)), i + 1).otherwise(0)))
+    above = F.transform(F.slice("__open", F.lit(1), stays), lambda x: x["title"])
+    return both.withColumn("path", F.when(F.col("__open").isNull(), F.col("path")).otherwise(F.concat(above, "path"))).select(*headings.columns, "path")
 
 
 def merge_fragments(lines: list[tuple[str, float, float, float]], aligned: float = 1.5, gap: float = 3.0) -> list[str]:

@@ -2,11 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tessellar.functions import numbers as N
-from tessellar.operators import risk
+from tessellar.operators import chunking, risk
 
 POINT, PLACE = "point_id int, point_lat double, point_lon double", "equipment_id int, lat double, lon double"
 
@@ -69,3 +70,42 @@ def test_radius_over_the_date_line_and_near_the_poles(spark):
         expected = by_product(points, places, radius)
         assert [x[:2] for x in got] == [x[:2] for x in expected] and len(expected) > 50
         assert all(abs(a[2] - b[2]) < 0.0015 for a, b in zip(got, expected, strict=True))
+
+
+def outlined(rows):
+    """(document, order, level, title, path) by a stack; a heading without level closes none and is closed by none."""
+    out, last = [], lambda x: (x is None, x)
+    for document in {r[0] for r in rows}:
+        stack = []
+        for row in sorted((r for r in rows if r[0] == document), key=lambda r: [*map(last, r[1:4])]):
+            while stack and None not in (stack[-1][0], row[2]) and stack[-1][0] >= row[2]:
+                stack.pop()
+            stack.append(row[2:4])
+            out.append((*row[:4], tuple(t for _, t in stack)))
+    return Counter(out)
+
+
+HEADINGS = "document long, ord long, level int, title string"
+
+
+def test_section_paths_of_a_long_document_go_to_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay
+    rng = random.Random(3)
+    rows = [(1, i // 2, min(9, 1 + int(rng.expovariate(0.5))), f"t{i % 1000}") for i in range(60_000)] + [(2, i, 1 + i % 3, f"u{i}") for i in range(50)]
+    got = chunking.with_section_paths(spark.createDataFrame(rows, HEADINGS).repartition(7), "document", "ord", size=5_000).withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter((*r[:4], tuple(r.path)) for r in got) == outlined(rows)
+    by_task = Counter(r.task for r in got if r.document == 1)
+    assert len(by_task) > 1 and max(by_task.values()) < 50_000
+
+
+def test_section_paths_over_cuts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice((1, 2, 3, None)), rng.randrange(900), rng.choice((1, 2, 3, 4, 7)), f"t{rng.randrange(50)}") for _ in range(8_000)]
+    rows += [(4, i, 1 if i == 0 else 2 if i == 1 else 3 + i % 2, f"v{i}") for i in range(3_000)]  # the first two stay open over every cut
+    rows += [(5, None if i % 9 == 0 else i, None if i in (700, 1500) else 1 + i % 4, None if i % 5 == 0 else f"w{i}") for i in range(2_000)]
+    rows += [(6, 1, 2, "same")] * 900
+    for size in (100, 700, 250_000):
+        got = chunking.with_section_paths(spark.createDataFrame(rows, HEADINGS), "document", "ord", size=size)
+        assert got.dtypes == [("document", "bigint"), ("ord", "bigint"), ("level", "int"), ("title", "string"), ("path", "array<string>")]
+        assert Counter((*r[:4], tuple(r.path)) for r in got.collect()) == outlined(rows), size
