@@ -184,13 +184,13 @@ def _close(stack: list[tuple], level: float) -> None:
         stack.pop()
 
 
-def with_section_paths(headings: DataFrame, document: str, order: str, size: int = 250_000) -> DataFrame:
+def with_section_paths(headings: DataFrame, document: str, order: str, size: int = 1_000_000) -> DataFrame:
     """headings (document, order, level, title) with path.
 
     Headings of equal order follow each other by level, then title. A document of over about `size` headings is cut
     by their order into pieces, and tasks read pieces as a stream, so neither is held whole. What is open where a
-    piece ends is a few titles; carried from piece to piece, they go above the paths of the next. Cuts come from a
-    sample, by a hash of the rows: it decides how even the pieces are, nothing else.
+    piece ends is a few titles; carried from piece to piece, they go above the paths of the next. Only documents that
+    are cut are read twice. Cuts come from a sample, by a hash of the rows: it decides how even the pieces are, nothing else.
     """
     each = 100  # rows of the sample to a piece
     last = lambda c: F.struct(F.col(c).isNull(), F.col(c))  # noqa: E731  as nulls come last
@@ -200,7 +200,7 @@ def with_section_paths(headings: DataFrame, document: str, order: str, size: int
     cuts = places.where(F.size("__places") > each).select("__of", F.array_distinct(F.filter("__places", lambda _, i: (i > 0) & (i % each == 0))).alias("__cuts"))
     piece = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(-1))
     dealt = headings.join(F.broadcast(cuts), F.col(document).eqNullSafe(F.col("__of")), "left").withColumn("__piece", F.when(F.col("__cuts").isNull(), -1).otherwise(piece)).drop("__of", "__cuts")
-    ordered = dealt.repartition(document, "__piece").sortWithinPartitions(document, "__piece", *(F.col(c).asc_nulls_last() for c in (order, "level", "title")))
+    ordered = lambda rows: rows.repartition(document, "__piece").sortWithinPartitions(document, "__piece", *(F.col(c).asc_nulls_last() for c in (order, "level", "title")))
     kind = {f.name: f.dataType.simpleString() for f in headings.schema.fields}
     outline = f"`{document}` {kind[document]}, __piece int, __open array<struct<level: {kind['level']}, title: {kind['title']}>>"
 
@@ -235,8 +235,6 @@ def with_section_paths(headings: DataFrame, document: str, order: str, size: int
         for batch in batches:
             kinds, found, levels = (batch[document].type, batch["level"].type, batch["title"].type), [], _levels(batch)
             for key, start, end in _runs(batch, document):
-                if key[1] < 0:
-                    continue
                 if key != at:
                     if at is not None:
                         found.append((at, stack))
@@ -270,10 +268,10 @@ def with_section_paths(headings: DataFrame, document: str, order: str, size: int
                 stack += own
             yield listed(found, batch[document].type, inner.field("level").type, inner.field("title").type)
 
-    by_piece = ordered.mapInArrow(ends, outline).repartition(document).sortWithinPartitions(document, "__piece").mapInArrow(carried, outline)
+    by_piece = ordered(dealt.where("__piece >= 0")).mapInArrow(ends, outline).repartition(document).sortWithinPartitions(document, "__piece").mapInArrow(carried, outline)
     before = by_piece.where(F.size("__open") > 0).select(F.col(document).alias("__of"), F.col("__piece").alias("__next"), "__open")
     fields = ", ".join(f"`{c}` {t}" for c, t in kind.items())
-    own = ordered.mapInArrow(own_paths, f"{fields}, __piece int, path array<{kind['title']}>, __lowest {kind['level']}")
+    own = ordered(dealt).mapInArrow(own_paths, f"{fields}, __piece int, path array<{kind['title']}>, __lowest {kind['level']}")
     both = own.join(F.broadcast(before), F.col(document).eqNullSafe(F.col("__of")) & (F.col("__piece") == F.col("__next")), "left")
     stays = F.array_max(F.transform("__open", lambda x, i: F.when(F.coalesce(x["level"] < F.col("__lowest"), F.lit(True)), i + 1).otherwise(0)))
     above = F.transform(F.slice("__open", F.lit(1), stays), lambda x: x["title"])
