@@ -199,7 +199,7 @@ def with_section_paths(headings: DataFrame, document: str, order: str, size: int
     places = sample.groupBy(F.col(document).alias("__of")).agg(F.sort_array(F.collect_list(place)).alias("__places"))
     cuts = places.where(F.size("__places") > each).select("__of", F.array_distinct(F.filter("__places", lambda _, i: (i > 0) & (i % each == 0))).alias("__cuts"))
     piece = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(-1))
-    dealt = headings.join(F.broadcast(cuts), F.col(document).eqNullSafe(F.col("__of")), "left").withColumn("__piece", F.when(F.col("__cuts").isNull(), -1).otherwise(piece)).drop("__of", "__cuts")
+    dealt = lambda how: headings.join(F.broadcast(cuts), F.col(document).eqNullSafe(F.col("__of")), how).withColumn("__piece", F.when(F.col("__cuts").isNull(), -1).otherwise(piece)).drop("__of", "__cuts")
     ordered = lambda rows: rows.repartition(document, "__piece").sortWithinPartitions(document, "__piece", *(F.col(c).asc_nulls_last() for c in (order, "level", "title")))
     kind = {f.name: f.dataType.simpleString() for f in headings.schema.fields}
     outline = f"`{document}` {kind[document]}, __piece int, __open array<struct<level: {kind['level']}, title: {kind['title']}>>"
@@ -268,10 +268,10 @@ def with_section_paths(headings: DataFrame, document: str, order: str, size: int
                 stack += own
             yield listed(found, batch[document].type, inner.field("level").type, inner.field("title").type)
 
-    by_piece = ordered(dealt.where("__piece >= 0")).mapInArrow(ends, outline).repartition(document).sortWithinPartitions(document, "__piece").mapInArrow(carried, outline)
+    by_piece = ordered(dealt("inner")).mapInArrow(ends, outline).repartition(document).sortWithinPartitions(document, "__piece").mapInArrow(carried, outline)
     before = by_piece.where(F.size("__open") > 0).select(F.col(document).alias("__of"), F.col("__piece").alias("__next"), "__open")
     fields = ", ".join(f"`{c}` {t}" for c, t in kind.items())
-    own = ordered(dealt).mapInArrow(own_paths, f"{fields}, __piece int, path array<{kind['title']}>, __lowest {kind['level']}")
+    own = ordered(dealt("left")).mapInArrow(own_paths, f"{fields}, __piece int, path array<{kind['title']}>, __lowest {kind['level']}")
     both = own.join(F.broadcast(before), F.col(document).eqNullSafe(F.col("__of")) & (F.col("__piece") == F.col("__next")), "left")
     stays = F.array_max(F.transform("__open", lambda x, i: F.when(F.coalesce(x["level"] < F.col("__lowest"), F.lit(True)), i + 1).otherwise(0)))
     above = F.transform(F.slice("__open", F.lit(1), stays), lambda x: x["title"])
